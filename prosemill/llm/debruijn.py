@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, text_bytes
-from .repeats import _LOWEST, Rule, covered, keyed, with_hits
+from .common import batches
+from .repeats import _LOWEST, Rule, covered, keyed, unpacked, with_hits
 from .suffixes import joined_hits
 
 WINDOW_WORDS, GRAM_WORDS = 20, 10
@@ -28,8 +28,8 @@ def _cut_out(rule: Rule) -> Callable:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             n_words, n_removed, spans, kept = [], [], [], []
-            for text, hits in zip(text_bytes(batch.column(2)), joined_hits(batch), strict=True):
-                words = (text or b"").split()
+            for text, hits in zip(unpacked(batch.column(2)), joined_hits(batch), strict=True):
+                words = text.split()
                 n_words.append(len(words))
                 if not len(hits):
                     n_removed.append(0)

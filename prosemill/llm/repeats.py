@@ -7,8 +7,9 @@ earlier.  Listing every window would shuffle many times the input, so only sampl
    documents, keeps the anchors, and sends for each the name of its q-gram (the initial bucket), the name of its full
    context of 2L - q units, two short names of half contexts and its coordinate.
 2. *Contexts.*  Anchors with equal full contexts agree in all windows around them, so all but the first are settled at
-   once.  Of the others, only anchors that share a half context with another one of their bucket stay open.
-3. *Windows.*  The windows around open anchors are named and compared one by one; all but the first are settled.
+   once.  Any window holds the left or the right half of the context, so of the others only anchors that share a half
+   context with another one of their bucket stay open, to that side.
+3. *Windows.*  The windows that hold a shared half are named and compared one by one; all but the first are settled.
 
 Equal rows of a task are reduced to the first before they are sent, so a key sends at most one row per task however
 many documents hold it.  A document's result is the union of its settled windows.
@@ -22,13 +23,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, own_columns, parts, text_bytes
 from .rolling import U64, anchors, bounds, byte_names, doubled, mix, word_names
 
-SETTLED, OPEN, WINDOW = 0, 1, 2
+#: A hit is position * 8 + kind; an open anchor is LEFT, RIGHT or both.
+SETTLED, LEFT, RIGHT, WINDOW = 0, 1, 2, 4
 #: Units named at once, and rows kept before they are sent; neither changes a result.
 _PIECE, _FLUSH = 1 << 19, 1 << 20
 _BLOB = pa.schema([("bucket", pa.int64()), ("blob", pa.binary()), ("id", pa.int64()), ("ord", pa.int32()), ("v", pa.int64())])
@@ -181,7 +184,7 @@ def _shared(key: np.ndarray, rank: np.ndarray, within: bool) -> np.ndarray:
 
 
 def _hits(ids: np.ndarray, ords: np.ndarray, pos: np.ndarray, kind: int | np.ndarray) -> dict:
-    return {"id": ids, "ord": ords.astype(np.int32), "v": pos.astype(np.int64) * 4 + kind}
+    return {"id": ids, "ord": ords.astype(np.int32), "v": pos.astype(np.int64) * 8 + kind}
 
 
 def _send(buckets: np.ndarray, n_buckets: int, ids: np.ndarray, ords: np.ndarray, columns: list[np.ndarray], hits: dict) -> Iterator[pa.RecordBatch]:
@@ -236,10 +239,23 @@ def _passed(table: pa.Table) -> pa.Table:
     return table.filter(pc.is_null(table.column("blob"))).select(["id", "ord", "v"]).cast(_HIT)
 
 
+def _pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=1).compress
+    for batch in it:
+        texts = [None if t is None else press(t) for t in text_bytes(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["id", "ord", "text"])
+
+
+def unpacked(column: pa.Array) -> list[bytes]:
+    """Texts that went through a shuffle compressed."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    return [b"" if t is None else open_(t) for t in column.to_pylist()]
+
+
 def _pieces(batch: pa.RecordBatch, extra: bool = False) -> Iterator[tuple]:
-    """Runs of rows with about _PIECE bytes of text: ids, ords, texts (and what a fourth column holds)."""
+    """Runs of rows with about _PIECE bytes of text: ids, ords, texts (and what a fourth column holds, the texts then being packed)."""
     ids, ords = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-    texts = text_bytes(batch.column(2))
+    texts = unpacked(batch.column(2)) if extra else text_bytes(batch.column(2))
     rest = batch.column(3) if extra else None
     at = 0
     while at < len(texts):
@@ -304,10 +320,11 @@ def _anchor_reduce(rule: Rule) -> Callable:
         kind = np.full(len(ids), -1, np.int8)
         kind[gone] = SETTLED
         rest = np.flatnonzero(~gone)
-        for half in (left, right):
+        for half, side in ((left, LEFT), (right, RIGHT)):
             some = rest[half[rest] > 0]
             key64 = low[some].astype(U64) << U64(16) | half[some]
-            kind[some[_shared(key64, rank[some], rule.within)]] = OPEN
+            open_ = some[_shared(key64, rank[some], rule.within)]
+            kind[open_] = np.maximum(kind[open_], 0) | side
         use = kind >= 0
         return pa.concat_tables([_passed(table), pa.table(_hits(ids[use], ords[use], pos[use], kind[use]), schema=_HIT)])
 
@@ -315,6 +332,8 @@ def _anchor_reduce(rule: Rule) -> Callable:
 
 
 def _window_map(rule: Rule, n_buckets: int) -> Callable:
+    c, half = rule.context, -(-rule.context // 2)
+
     def flush(rows: _Rows) -> Iterator[pa.RecordBatch]:
         ids, ords, (doc, name, pos) = rows.take()
         gone = later(name, _rank(ids, ords)[doc], pos, rule.within)
@@ -327,15 +346,16 @@ def _window_map(rule: Rule, n_buckets: int) -> Callable:
             for ids, ords, texts, hits in _pieces(batch, extra=True):
                 x = Named(texts, rule)
                 v = hits.flatten().to_numpy(zero_copy_only=False)
-                counts = np.diff(hits.offsets.to_numpy())
-                doc = np.repeat(np.arange(len(counts)), counts)
-                is_open = v % 4 == OPEN
+                doc = np.repeat(np.arange(len(ids)), np.diff(hits.offsets.to_numpy()))
                 starts = np.zeros(len(ids), np.int64)
                 starts[x.doc] = x.start
-                at = starts[doc[is_open]] + v[is_open] // 4
                 mark = np.zeros(len(x.doc) + 1, np.int32)
-                np.add.at(mark, np.maximum(at - rule.context, x.start[at]), 1)
-                np.add.at(mark, at + 1, -1)
+                for side, far, near in ((LEFT, c, half), (RIGHT, c - half, 0)):
+                    use = (v & 7 < WINDOW) & (v & side > 0)
+                    at = starts[doc[use]] + v[use] // 8
+                    begin = np.maximum(at - far, starts[doc[use]])
+                    np.add.at(mark, begin, 1)
+                    np.add.at(mark, np.maximum(at - near + 1, begin), -1)
                 s = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
                 s = s[s + rule.window <= x.end[s]]
                 rows.add(ids, ords, x.doc[s], x.ranges(s, s + rule.window, rule.window), (s - x.start[s]).astype(np.uint32))
@@ -359,7 +379,7 @@ def _window_reduce(rule: Rule) -> Callable:
 def covered(values: np.ndarray, n: int, rule: Rule) -> np.ndarray:
     """Which of a document's n units the settled hits cover."""
     mark = np.zeros(n + 1, np.int32)
-    at, kind = values // 4, values % 4
+    at, kind = values // 8, values & 7
     for which, before in ((SETTLED, rule.context), (WINDOW, 0)):
         p = at[kind == which]
         np.add.at(mark, np.maximum(p - before, 0), 1)
@@ -368,12 +388,13 @@ def covered(values: np.ndarray, n: int, rule: Rule) -> np.ndarray:
 
 
 def with_hits(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Keyed documents (id, ord, text) with all hits of their anchors and windows: arrays hits and more, or null."""
+    """Keyed documents (id, ord, packed text) with all hits of their anchors and windows: arrays hits and more, or null."""
     n = parts(docs.sparkSession)
     blob, hit = "bucket long, blob binary, id long, ord int, v long", "id long, ord int, v long"
     by_doc = lambda hits, name: hits.groupBy("id", "ord").agg(F.collect_list("v").alias(name))
     first = docs.mapInArrow(_anchor_map(rule, n), blob).groupBy("bucket").applyInArrow(_anchor_reduce(rule), hit)
-    held = docs.join(by_doc(first, "hits"), ["id", "ord"], "left")
-    opened = held.where(F.exists("hits", lambda v: v % 4 == OPEN)).select("id", "ord", "text", "hits")
+    packed = docs.mapInArrow(_pack, "id long, ord int, text binary")
+    held = packed.join(by_doc(first, "hits"), ["id", "ord"], "left")
+    opened = held.where(F.exists("hits", lambda v: v.bitwiseAND(F.lit(7)).isin(LEFT, RIGHT, LEFT | RIGHT))).select("id", "ord", "text", "hits")
     second = opened.mapInArrow(_window_map(rule, n), blob).groupBy("bucket").applyInArrow(_window_reduce(rule), hit)
     return held.join(by_doc(second, "more"), ["id", "ord"], "left")
