@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, debruijn, quality, simhash, suffixes
+from . import bpe, debruijn, quality, simhash, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,7 +45,7 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_debruijn": op1_debruijn, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op6_bpe": op6_bpe, "op8_suffixes": op8_suffixes}
+    return {"op1_debruijn": op1_debruijn, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_toxicity": op5_toxicity, "op6_bpe": op6_bpe, "op8_suffixes": op8_suffixes}
 
 
 def oracle_sql() -> dict[str, str]:
