@@ -26,7 +26,7 @@ from .common import batches, own_columns, text_bytes
 #: How the vocabulary's files split a text into pieces before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Entries of a memo before it is emptied, pieces and ids handled at once; none changes a result.
-_MEMO, _BLOCK = 300_000, 1 << 16
+_MEMO, _BLOCK, _SHORT = 800_000, 1 << 16, 64
 _NEVER = 1 << 60
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 _DECODED = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
@@ -41,14 +41,14 @@ def alphabet() -> dict[str, int]:
 
 
 class _Memo(dict):
-    """A dict that makes what it lacks and is emptied once it holds too much."""
+    """A dict that makes what it lacks and is emptied once it holds ``most`` entries."""
 
-    def __init__(self, make: Callable):
+    def __init__(self, make: Callable, most: int = 300_000):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= _MEMO:
+        if len(self) >= self.most:
             self.clear()
         self[key] = value = self.make(key)
         return value
@@ -78,6 +78,12 @@ class Transducer:
                 self.right.append(number[b])
         self.token = {text: n for text, n in number.items() if n < 256 or self._whole(n)}
         self.longest = max(map(len, self.token))
+        self.length = [0] * len(self.left)
+        self.reach: dict[bytes, int] = {}
+        for text, n in number.items():
+            self.length[n] = len(text)
+            if n >= 256 and text in self.token:
+                self.reach[text[-2:]] = max(self.reach.get(text[-2:], 0), len(text))
         self.code = [b""] * len(self.left)
         for text, n in number.items():
             if text in names:
@@ -92,7 +98,7 @@ class Transducer:
         self.pieces = regex.compile(PIECES)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.fits = _Memo(lambda pair: self.compatible(*pair))
-        self.memo = _Memo(lambda piece: self.encode_piece(piece.encode()))
+        self.memo = _Memo(lambda piece: self.encode_piece(piece.encode()), _MEMO)
 
     def _crosses(self, a: int, b: int, skip_top: bool) -> bool:
         """Whether a merge joins what is left of the boundary a|b with what is right of it.
@@ -142,44 +148,53 @@ class Transducer:
 
     def stream(self, blocks: Iterator[bytes]) -> Iterator[int]:
         """Tokens of one piece that arrives in blocks, each as soon as it is stable."""
-        held, last, base = b"", [-1], 0
-        token, fits, longest = self.token, self.fits, self.longest
+        held, last = b"", [-1]
         for block in blocks:
             held += block
-            for i in range(len(last), len(held) + 1):
-                for s in range(max(0, i - longest), i):
-                    t = token.get(held[s:i])
-                    if t is not None and (last[s] < 0 or fits[last[s], t]):
-                        last.append(t)
-                        break
+            self._extend(held, last)
             n = len(held)
-            alive = set(range(max(0, n - longest + 1), n + 1))
+            alive = set(range(max(0, n - self.longest + 1), n + 1))
             while len(alive) > 1:
                 far = max(alive)
                 alive.remove(far)
-                alive.add(far - len(self._bytes(last[far])) if last[far] >= 0 else far)
+                alive.add(far - self.length[last[far]])
             stable = alive.pop()
             if stable:
                 yield from self._back(last, stable)
-                held, last, base = held[stable:], last[stable:], base + stable
+                held, last = held[stable:], last[stable:]
         yield from self._back(last, len(held))
 
-    def _bytes(self, token: int) -> bytes:
-        return self.text_of[int.from_bytes(self.code[token], "little")]
+    def _extend(self, held: bytes, last: list[int]) -> None:
+        """Find the last token of every further prefix of ``held``; longer tokens are tried first."""
+        token, fits, reach = self.token.get, self.fits, self.reach
+        for i in range(len(last), len(held) + 1):
+            s = i - reach.get(held[i - 2 : i], 1) if i > 1 else 0
+            if s < 0:
+                s = 0
+            while True:
+                t = token(held[s:i])
+                if t is not None and (last[s] < 0 or fits[last[s], t]):
+                    last.append(t)
+                    break
+                s += 1
 
     def _back(self, last: list[int], at: int) -> list[int]:
         out = []
         while at > 0:
             out.append(last[at])
-            at -= len(self._bytes(last[at]))
+            at -= self.length[last[at]]
         return out[::-1]
 
     def encode_piece(self, piece: bytes) -> bytes:
-        """Ids of one piece, little-endian."""
+        """Ids of one piece, little-endian; all of a short piece is looked ahead at once."""
         whole = self.token.get(piece)
         if whole is not None:
             return self.code[whole]
         code = self.code
+        if len(piece) <= _SHORT:
+            last = [-1]
+            self._extend(piece, last)
+            return b"".join([code[t] for t in self._back(last, len(piece))])
         return b"".join([code[t] for t in self.stream(piece[k : k + 256] for k in range(0, len(piece), 256))])
 
     def encode(self, text: str) -> Iterator[bytes]:
@@ -192,7 +207,7 @@ class Transducer:
             else:
                 found = (m[0] for m in self.pieces.finditer(part))
                 while run := list(islice(found, _BLOCK)):
-                    yield b"".join([self.memo[p] if len(p) < 64 else self.encode_piece(p.encode()) for p in run])
+                    yield b"".join([self.memo[p] if len(p) < _SHORT else self.encode_piece(p.encode()) for p in run])
 
     def decode(self, ids: bytes) -> Iterator[str]:
         """Text of little-endian ids in runs; the decoder holds bytes back until their character is whole."""
