@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, debruijn, quality, simhash, suffixes, toxicity
+from . import bpe, debruijn, quality, simhash, suffixes, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean(_table(spark, sf_dir, "documents")).select(*quality.COLUMNS)
 
@@ -45,7 +49,7 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_debruijn": op1_debruijn, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_toxicity": op5_toxicity, "op6_bpe": op6_bpe, "op8_suffixes": op8_suffixes}
+    return {"op1_debruijn": op1_debruijn, "op2_vectors": op2_vectors, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_toxicity": op5_toxicity, "op6_bpe": op6_bpe, "op8_suffixes": op8_suffixes}
 
 
 def oracle_sql() -> dict[str, str]:
