@@ -188,8 +188,12 @@ def _hits(ids: np.ndarray, ords: np.ndarray, pos: np.ndarray, kind: int | np.nda
 
 
 def _send(buckets: np.ndarray, n_buckets: int, ids: np.ndarray, ords: np.ndarray, columns: list[np.ndarray], hits: dict) -> Iterator[pa.RecordBatch]:
-    """One blob per bucket, and the hits settled here (dealt over the buckets with the blobs)."""
-    order = np.lexsort((columns[1], buckets))
+    """One blob per bucket, and the hits settled here (dealt over the buckets with the blobs).
+
+    columns: index of the document, further columns, position.  Rows come in the order of their coordinates, so index
+    and position are sent as steps, which are small.
+    """
+    order = np.argsort(buckets, kind="stable")
     edges = np.searchsorted(buckets[order], np.arange(n_buckets + 1))
     out: dict[str, list] = {"bucket": [], "blob": []}
     size = 0
@@ -205,7 +209,8 @@ def _send(buckets: np.ndarray, n_buckets: int, ids: np.ndarray, ords: np.ndarray
             continue
         used, local = np.unique(columns[0][rows], return_inverse=True)
         head = np.array([len(rows), len(used)], np.int64).tobytes()
-        blob = head + _planes(ids[used], ords[used]) + _planes(local.astype(np.uint32), *(c[rows] for c in columns[1:]))
+        steps = [np.diff(x.astype(np.uint32), prepend=np.uint32(0)) for x in (local, columns[-1][rows])]
+        blob = head + _planes(ids[used], ords[used]) + _planes(*steps, *(c[rows] for c in columns[1:-1]))
         out["bucket"].append(b)
         out["blob"].append(blob)
         size += len(blob)
@@ -226,12 +231,13 @@ def _received(table: pa.Table, *kinds: type) -> tuple[np.ndarray, np.ndarray, li
             continue
         n, n_docs = np.frombuffer(blob, np.int64, 2).tolist()
         (i, o), at = _unplane(blob, 16, n_docs, np.int64, np.int32)
-        (local, *rest), at = _unplane(blob, at, n, np.uint32, *kinds)
+        (local, pos, *rest), at = _unplane(blob, at, n, np.uint32, np.uint32, *kinds)
+        local = np.cumsum(local, dtype=np.uint32)
         ids.append(i[local])
         ords.append(o[local])
-        columns.append(rest)
+        columns.append([*rest, np.cumsum(pos, dtype=np.uint32)])
     if not ids:
-        return np.empty(0, np.int64), np.empty(0, np.int32), [np.empty(0, k) for k in kinds]
+        return np.empty(0, np.int64), np.empty(0, np.int32), [np.empty(0, k) for k in (*kinds, np.uint32)]
     return np.concatenate(ids), np.concatenate(ords), [np.concatenate(c) for c in zip(*columns, strict=True)]
 
 
@@ -303,7 +309,7 @@ def _anchor_map(rule: Rule, n_buckets: int) -> Callable:
                 left = _half(x, at - h, at + q, at - h >= start, q + h)
                 right = _half(x, at, at + q + h, at + q + h <= end, q + h)
                 name = names[at]
-                rows.add(ids, ords, x.doc[at], name.astype(np.uint32), full, left, right, (at - start).astype(np.uint32), (name >> U64(32)).astype(np.uint32))
+                rows.add(ids, ords, x.doc[at], name.astype(np.uint16), full, left, right, (at - start).astype(np.uint32), (name >> U64(32)).astype(np.uint32))
                 if rows.n >= _FLUSH:
                     yield from flush(rows)
         if rows.n:
@@ -314,7 +320,7 @@ def _anchor_map(rule: Rule, n_buckets: int) -> Callable:
 
 def _anchor_reduce(rule: Rule) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids, ords, (low, full, left, right, pos) = _received(table, np.uint32, U64, np.uint16, np.uint16, np.uint32)
+        ids, ords, (low, full, left, right, pos) = _received(table, np.uint16, U64, np.uint16, np.uint16)
         rank = _rank(ids, ords)
         gone = later(full, rank, pos, rule.within)
         kind = np.full(len(ids), -1, np.int8)
@@ -322,8 +328,8 @@ def _anchor_reduce(rule: Rule) -> Callable:
         rest = np.flatnonzero(~gone)
         for half, side in ((left, LEFT), (right, RIGHT)):
             some = rest[half[rest] > 0]
-            key64 = low[some].astype(U64) << U64(16) | half[some]
-            open_ = some[_shared(key64, rank[some], rule.within)]
+            key = low[some].astype(np.uint32) << np.uint32(16) | half[some]
+            open_ = some[_shared(key, rank[some], rule.within)]
             kind[open_] = np.maximum(kind[open_], 0) | side
         use = kind >= 0
         return pa.concat_tables([_passed(table), pa.table(_hits(ids[use], ords[use], pos[use], kind[use]), schema=_HIT)])
@@ -369,7 +375,7 @@ def _window_map(rule: Rule, n_buckets: int) -> Callable:
 
 def _window_reduce(rule: Rule) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids, ords, (name, pos) = _received(table, U64, np.uint32)
+        ids, ords, (name, pos) = _received(table, U64)
         gone = later(name, _rank(ids, ords), pos, rule.within)
         return pa.concat_tables([_passed(table), pa.table(_hits(ids[gone], ords[gone], pos[gone], WINDOW), schema=_HIT)])
 
@@ -395,6 +401,8 @@ def with_hits(docs: DataFrame, rule: Rule) -> DataFrame:
     first = docs.mapInArrow(_anchor_map(rule, n), blob).groupBy("bucket").applyInArrow(_anchor_reduce(rule), hit)
     packed = docs.mapInArrow(_pack, "id long, ord int, text binary")
     held = packed.join(by_doc(first, "hits"), ["id", "ord"], "left")
-    opened = held.where(F.exists("hits", lambda v: v.bitwiseAND(F.lit(7)).isin(LEFT, RIGHT, LEFT | RIGHT))).select("id", "ord", "text", "hits")
+    is_open = F.coalesce(F.exists("hits", lambda v: v.bitwiseAND(F.lit(7)).isin(LEFT, RIGHT, LEFT | RIGHT)), F.lit(False))
+    # No filter here: it would be pushed below the join and keep its shuffles from being used again further down.
+    opened = held.select("id", "ord", F.when(is_open, F.col("text")).alias("text"), F.when(is_open, F.col("hits")).alias("hits"))
     second = opened.mapInArrow(_window_map(rule, n), blob).groupBy("bucket").applyInArrow(_window_reduce(rule), hit)
     return held.join(by_doc(second, "more"), ["id", "ord"], "left")
