@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, debruijn, quality, simhash, suffixes, toxicity, vectors, warc
+from . import bpe, debruijn, html, quality, simhash, suffixes, toxicity, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,12 +48,16 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_debruijn": op1_debruijn, "op2_vectors": op2_vectors, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_toxicity": op5_toxicity, "op6_bpe": op6_bpe, "op8_suffixes": op8_suffixes, "op10_warc": op10_warc}
+    return {"op1_debruijn": op1_debruijn, "op2_vectors": op2_vectors, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_toxicity": op5_toxicity, "op6_bpe": op6_bpe, "op8_suffixes": op8_suffixes, "op9_html": op9_html, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
