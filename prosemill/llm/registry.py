@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, debruijn, html, quality, simhash, suffixes, toxicity, vectors, warc
+from . import bpe, debruijn, html, mixing, quality, simhash, suffixes, toxicity, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix(_table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", mixing.taken("pieces").alias("taken"))
+
+
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.remove_repeated_bytes(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -57,8 +62,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_debruijn": op1_debruijn, "op2_vectors": op2_vectors, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_toxicity": op5_toxicity, "op6_bpe": op6_bpe, "op8_suffixes": op8_suffixes, "op9_html": op9_html, "op10_warc": op10_warc}
+    return {"op1_debruijn": op1_debruijn, "op2_vectors": op2_vectors, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_toxicity": op5_toxicity, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op8_suffixes": op8_suffixes, "op9_html": op9_html, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": quality.ORACLE}
+    return {"op3_quality": quality.ORACLE, "op7_mixing": mixing.ORACLE}
