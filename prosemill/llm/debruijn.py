@@ -9,7 +9,7 @@ their first coordinate.  A document's removed spans are the unions of its settle
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches
-from .repeats import _LOWEST, Rule, covered, keyed, unpacked, with_hits
+from .repeats import _LOWEST, Rule, covered, keyed, unpacked, with_hits, with_rest
 from .suffixes import joined_hits
 
 WINDOW_WORDS, GRAM_WORDS = 20, 10
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.string())])
 
 
-def _cut_out(rule: Rule) -> Callable:
+def _cut_out(rule: Rule, untouched: bool) -> Callable:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             n_words, n_removed, spans, kept = [], [], [], []
@@ -34,7 +34,7 @@ def _cut_out(rule: Rule) -> Callable:
                 if not len(hits):
                     n_removed.append(0)
                     spans.append([])
-                    kept.append(b" ".join(words))
+                    kept.append(text if untouched else b" ".join(words))
                     continue
                 gone = covered(hits, len(words), rule)
                 n_removed.append(int(gone.sum()))
@@ -43,23 +43,26 @@ def _cut_out(rule: Rule) -> Callable:
                 stay = np.concatenate([[0], edges, [len(words)]]).reshape(-1, 2).tolist()
                 kept.append(b" ".join([w for a, b in stay for w in words[a:b]]))
             text = pa.array(kept, pa.binary()).cast(pa.string())
-            yield batches({"doc_id": batch.column(0), "n_words": n_words, "n_removed": n_removed, "spans": spans, "kept": text}, _OUT)
+            own = batches({"doc_id": batch.column(0), "n_words": n_words, "n_removed": n_removed, "spans": spans, "kept": text}, _OUT)
+            yield pa.RecordBatch.from_arrays([*own.columns, batch.column(3)], names=[*_OUT.names, "rest"])
 
     return run
 
 
-def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_WORDS, gram: int = GRAM_WORDS) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_WORDS, gram: int = GRAM_WORDS, carry: Sequence[str] = (), untouched: bool = False) -> DataFrame:
     """Remove every word covered by a ``window``-word sequence that also starts earlier in the corpus.
 
     Earlier means in a document with a smaller id, or in the same document at a smaller position; sequences are judged
     on the input.  Returns doc_id, n_words, n_removed, spans (removed runs as start, end, start, end ... in words) and
-    kept (the other words joined by one space).  Words are runs of anything but ASCII white space.  A null text has no
+    kept (the other words joined by one space; the text as it is where nothing is removed, if ``untouched``), and the
+    columns named in ``carry`` under their names.  Words are runs of anything but ASCII white space.  A null text has no
     words; texts under ``window`` words lose nothing.  A null id counts as smaller than any other; rows that agree in
     id and text count as one document, so neither removes the other; rows that share only the id are ordered by a hash
     of their texts.  One document's names are held in the memory of one task; any number of documents may share a
     passage.
     """
     rule = Rule("words", window, gram, within=True)
-    rows = with_hits(keyed(docs, id_col, text_col), rule).select("id", "ord", "text", "hits", "more")
-    out = rows.mapInArrow(_cut_out(rule), "doc_id long, n_words long, n_removed long, spans array<long>, kept string")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(_LOWEST), F.col("doc_id")))
+    rows = with_hits(keyed(docs, id_col, text_col, carry), rule).select("id", "ord", "text", "rest", "hits", "more")
+    out = rows.mapInArrow(_cut_out(rule, untouched), with_rest("doc_id long, n_words long, n_removed long, spans array<long>, kept string", rows))
+    out = out.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(_LOWEST), F.col("doc_id")))
+    return out.select(*_OUT.names, *([f"rest.`{c}`" for c in carry]))

@@ -10,10 +10,12 @@ hash.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, own_columns
+from .common import cut
 from .quality import let, words_of
 
 WEIGHTS, MAX_REPEATS = (1, 2, 3), 3
@@ -117,20 +119,22 @@ def _line(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, offsets
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, block_words: int = BLOCK_WORDS, with_text: bool = False) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, block_words: int = BLOCK_WORDS, carry: Sequence[str] = ()) -> DataFrame:
     """Plan of a mix over all documents.
 
     Returns doc_id, size (words), source, source_size, target and pieces, an array of (pass, draw, shard, position,
-    start, words): the runs of the document's words that the mix takes, the shard that gets each and its place there.
+    start, words): the runs of the document's words that the mix takes, the shard that gets each and its place there;
+    and, as the struct carried, the columns named in ``carry``.
     A pass takes a document at most once and there are at most three, so none is taken more than three times.  The words
     taken from a source add up to its rounded target.  A null text has no words; a null source is a source of its own;
     rows with equal ids and sizes are interchangeable.  The result depends on nothing but the rows, so reruns agree.
     An empty table gives an empty result.  Sources are assumed to be few enough for one array.
     """
-    rows = own_columns(docs, doc_id=id_col, source=source_col, text=text_col)
-    sized = rows.select("doc_id", "source", F.coalesce(F.size(words_of(F.col("text"))), F.lit(0)).cast("long").alias("size"), *(["text"] if with_text else []))
+    size = F.coalesce(F.size(words_of(docs[f"`{text_col}`"])), F.lit(0)).cast("long")
+    carried = [F.struct(*[docs[f"`{c}`"].alias(c) for c in carry]).alias("carried")] if carry else []
+    sized = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{source_col}`"].alias("source"), size.alias("size"), *carried)
     narrow = cut(sized.select("doc_id", "source", "size"))
-    if not with_text:
+    if not carry:
         sized = narrow
     b = F.lit(block_words).cast("long")
     stats = source_targets(narrow).withColumn("wanted", F.floor(F.col("target") + 0.5).cast("long")).withColumn("blocks", F.expr(f"(source_size + {block_words - 1}) div {block_words}"))
@@ -164,23 +168,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     nested = F.flatten(F.transform(turns, lambda t: F.transform(block_numbers, lambda k: piece(t, k))))
     pieces = F.when(~none, F.filter(nested, lambda p: p["words"] > 0))
     empty = F.array().cast("array<struct<pass:bigint,draw:bigint,shard:int,position:bigint,start:bigint,words:bigint>>")
-    return joined.select("doc_id", "size", "source", "source_size", "target", F.coalesce(pieces, empty).alias("pieces"), *(["text"] if with_text else []))
+    return joined.select("doc_id", "size", "source", "source_size", "target", F.coalesce(pieces, empty).alias("pieces"), *(["carried"] if carry else []))
 
 
 def taken(pieces: Column | str) -> Column:
     return F.aggregate(pieces, F.lit(0).cast("long"), lambda a, p: a + p["words"])
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix as documents: one row per document and pass, with the words that the pass takes.
+def mixed_documents(docs: DataFrame, text_col: str = "text", **options: object) -> DataFrame:
+    """The mix as documents: the columns of ``docs``, one row per document and pass, with the words the pass takes.
 
     A pass over the whole document returns its text as it is; a part of it is its words joined by one space.
     """
-    plan = mix(docs, with_text=True)
+    plan = mix(docs, text_col=text_col, carry=docs.columns, **options)
     turns = F.filter(F.transform(F.sequence(F.lit(0), F.lit(MAX_REPEATS)), lambda t: F.filter("pieces", lambda p: p["pass"] == t)), lambda ps: F.size(ps) > 0)
-    rows = plan.select("doc_id", "text", "source", "size", F.explode(turns).alias("ps"))
-    part = let(words_of(F.col("text")), lambda w: F.array_join(F.flatten(F.transform(F.array_sort("ps", lambda x, y: F.when(x["start"] < y["start"], F.lit(-1)).otherwise(F.lit(1))), lambda p: F.slice(w, (p["start"] + 1).cast("int"), p["words"].cast("int")))), " "))
-    return rows.select("doc_id", F.when(taken("ps") == F.col("size"), F.col("text")).otherwise(part).alias("text"), "source")
+    rows = plan.select("carried", "size", F.explode(turns).alias("ps"))
+    text = F.col(f"carried.`{text_col}`")
+    runs = F.array_sort(F.transform("ps", lambda p: F.struct(p["start"].cast("int").alias("start"), p["words"].cast("int").alias("words"))))
+    part = let(words_of(text), lambda w: F.array_join(F.flatten(F.transform(runs, lambda p: F.slice(w, p["start"] + 1, p["words"]))), " "))
+    taken_text = F.when(taken("ps") == F.col("size"), text).otherwise(part)
+    return rows.select(*[taken_text.alias(c) if c == text_col else F.col(f"carried.`{c}`").alias(c) for c in docs.columns])
 
 
 ORACLE = f"""

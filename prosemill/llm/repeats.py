@@ -17,7 +17,7 @@ many documents hold it.  A document's result is the union of its settled windows
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,8 +26,9 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import batches, own_columns, parts, text_bytes
+from .common import batches, parts, text_bytes
 from .rolling import U64, anchors, bounds, byte_names, doubled, mix, word_names
 
 #: A hit is position * 8 + kind; an open anchor is LEFT, RIGHT or both.
@@ -53,16 +54,20 @@ class Rule:
         return self.window - self.gram
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, ord, text).  A null id counts as the smallest; rows that share an id are numbered by their text."""
-    rows = own_columns(docs, id=id_col, text=text_col).withColumn("id", F.coalesce(F.col("id").cast("long"), F.lit(_LOWEST)))
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
+    """(id, ord, text, rest) with the columns to carry in the struct rest.
+
+    A null id counts as the smallest; rows that share an id are numbered by their text.
+    """
+    rest = F.struct(*[docs[f"`{c}`"].alias(c) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
+    rows = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"), rest.alias("rest")).withColumn("id", F.coalesce(F.col("id").cast("long"), F.lit(_LOWEST)))
     twice = rows.groupBy("id").count().where("count > 1")
     if twice.isEmpty():
-        return rows.select("id", F.lit(0).alias("ord"), "text")
+        return rows.select("id", F.lit(0).alias("ord"), "text", "rest")
     texts = rows.join(twice.select("id"), "id", "left_semi").select("id", "text").distinct()
     numbered = texts.groupBy("id").agg(F.array_sort(F.collect_list(F.sha2(F.coalesce("text", F.lit("")), 256))).alias("all"))
     place = F.coalesce(F.array_position("all", F.sha2(F.coalesce("text", F.lit("")), 256)).cast("int"), F.lit(0))
-    return rows.join(numbered, "id", "left").select("id", place.alias("ord"), "text")
+    return rows.join(numbered, "id", "left").select("id", place.alias("ord"), "text", "rest")
 
 
 class Named:
@@ -249,7 +254,7 @@ def _pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1).compress
     for batch in it:
         texts = [None if t is None else press(t) for t in text_bytes(batch.column(2))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["id", "ord", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary()), batch.column(3)], names=["id", "ord", "text", "rest"])
 
 
 def unpacked(column: pa.Array) -> list[bytes]:
@@ -393,13 +398,18 @@ def covered(values: np.ndarray, n: int, rule: Rule) -> np.ndarray:
     return np.cumsum(mark[:-1]) > 0
 
 
+def with_rest(ddl: str, docs: DataFrame) -> T.StructType:
+    """The schema of ``ddl`` and the struct of carried columns."""
+    return T.StructType.fromDDL(ddl).add(docs.schema["rest"])
+
+
 def with_hits(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Keyed documents (id, ord, packed text) with all hits of their anchors and windows: arrays hits and more, or null."""
+    """Keyed documents (id, ord, packed text, rest) with all hits of their anchors and windows: arrays hits and more, or null."""
     n = parts(docs.sparkSession)
     blob, hit = "bucket long, blob binary, id long, ord int, v long", "id long, ord int, v long"
     by_doc = lambda hits, name: hits.groupBy("id", "ord").agg(F.collect_list("v").alias(name))
-    first = docs.mapInArrow(_anchor_map(rule, n), blob).groupBy("bucket").applyInArrow(_anchor_reduce(rule), hit)
-    packed = docs.mapInArrow(_pack, "id long, ord int, text binary")
+    first = docs.select("id", "ord", "text").mapInArrow(_anchor_map(rule, n), blob).groupBy("bucket").applyInArrow(_anchor_reduce(rule), hit)
+    packed = docs.mapInArrow(_pack, with_rest("id long, ord int, text binary", docs))
     held = packed.join(by_doc(first, "hits"), ["id", "ord"], "left")
     is_open = F.coalesce(F.exists("hits", lambda v: v.bitwiseAND(F.lit(7)).isin(LEFT, RIGHT, LEFT | RIGHT)), F.lit(False))
     # No filter here: it would be pushed below the join and keep its shuffles from being used again further down.
