@@ -2,10 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..operators import readability as R
+from . import oracles
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def readability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.readability(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def readability_by_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = R.readability(table(spark, sf_dir, "documents").select("lang", "text"))
+    micro = F.floor(F.col("consensus") * 1e6 + 0.5)
+    mean = T.round6(F.sum(micro).cast("double") / 1e6 / F.count("consensus"))
+    return scored.groupBy("lang", "band").agg(F.count(F.lit(1)).alias("documents"), F.sum("words").alias("words"), F.sum("sentences").alias("sentences"), mean.alias("mean_grade"))
+
+
+def word_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    styled = T.style_words(F.col("text"))
+    return docs.select(
+        "doc_id",
+        F.size(T.words(F.col("text"))).cast("long").alias("n_words"),
+        F.size(styled).cast("long").alias("n_style_words"),
+        F.size(F.array_distinct(styled)).cast("long").alias("n_distinct"),
+        F.size(T.simple_sentences(F.col("text"))).cast("long").alias("n_sentences"),
+        T.sha256(F.col("text")).alias("text_sha256"),
+        T.excerpt(F.col("text")).alias("excerpt"),
+        T.line_number(F.col("text"), F.lit(100)).cast("long").alias("line_of_100"),
+    )
+
+
+def syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words are counted before their shapes are looked at, so each word is judged once."""
+    found = table(spark, sf_dir, "documents").select(F.explode(T.words(F.col("text"))).alias("word"))
+    return found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumn("syllables", T.syllables(F.col("word")).cast("long"))
+
+
+QUERIES: dict[str, Query] = {"readability": readability, "readability_by_band": readability_by_band, "word_measures": word_measures, "syllables": syllables}
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(oracles.TABLE)
