@@ -37,7 +37,7 @@ def payload_digest(payload: bytes) -> str:
 
 
 def _hash(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=1).compress
+    press = zstandard.ZstdCompressor(level=7).compress
     for batch in it:
         payloads = [p or b"" for p in text_bytes(batch.column(2))]
         yield batches({"page_id": batch.column(0), "url": batch.column(1), "digest": [payload_digest(p) for p in payloads], "n": [len(p) for p in payloads], "packed": [press(p) for p in payloads]}, _HASHED)
