@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import readability as R
-from . import oracles
+from ..operators import style as S
+from . import oracles, style_oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,7 +51,44 @@ def syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumn("syllables", T.syllables(F.col("word")).cast("long"))
 
 
+def conversation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents of blocks: a turn is a paragraph, every seventh a list item, every eleventh a heading."""
+    heading = (F.col("turn") % 11 == 0) & (F.col("turn") > 0)
+    kind = F.when(F.col("turn") % 7 == 6, "list_item").when(heading, "heading").otherwise("paragraph")
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("position"), kind.alias("kind"), F.when(heading, 1 + F.col("turn") % 3).alias("level"), "text")
+
+
+def style_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.document_metrics(table(spark, sf_dir, "documents"))
+
+
+def block_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.block_metrics(conversation_blocks(spark, sf_dir))
+
+
+def sentence_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.sentence_diagnostics(table(spark, sf_dir, "documents"))
+
+
+def block_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.block_diagnostics(conversation_blocks(spark, sf_dir))
+
+
+def profile_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.interpret(sentence_diagnostics(spark, sf_dir), S.rules_table(spark))
+
+
+def profile_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, rules = conversation_blocks(spark, sf_dir), S.rules_table(spark)
+    return S.coverage(blocks, S.interpret(S.block_diagnostics(blocks), rules), rules)
+
+
+def profile_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.against_targets(style_metrics(spark, sf_dir), S.targets_table(spark), style_oracles.TARGET_METRICS)
+
+
 QUERIES: dict[str, Query] = {"readability": readability, "readability_by_band": readability_by_band, "word_measures": word_measures, "syllables": syllables}
+QUERIES |= {f.__name__: f for f in (style_metrics, block_metrics, sentence_diagnostics, block_diagnostics, profile_findings, profile_coverage, profile_targets)}
 
 
 def queries() -> dict[str, Query]:
@@ -58,4 +96,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracles.TABLE)
+    return oracles.TABLE | style_oracles.TABLE
