@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import facts as X
 from ..operators import readability as R
 from ..operators import style as S
-from . import oracles, style_oracles
+from . import oracles, style_oracles, templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,8 +88,24 @@ def profile_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.against_targets(style_metrics(spark, sf_dir), S.targets_table(spark), style_oracles.TARGET_METRICS)
 
 
+def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.facts(table(spark, sf_dir, "documents"))
+
+
+def fact_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.signature(X.facts(templates.template_docs(table(spark, sf_dir, "orders"))))
+
+
+def fact_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.violations(templates.template_pairs(table(spark, sf_dir, "orders")))
+
+
+def fact_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.check(templates.template_pairs(table(spark, sf_dir, "orders")))
+
+
 QUERIES: dict[str, Query] = {"readability": readability, "readability_by_band": readability_by_band, "word_measures": word_measures, "syllables": syllables}
-QUERIES |= {f.__name__: f for f in (style_metrics, block_metrics, sentence_diagnostics, block_diagnostics, profile_findings, profile_coverage, profile_targets)}
+QUERIES |= {f.__name__: f for f in (style_metrics, block_metrics, sentence_diagnostics, block_diagnostics, profile_findings, profile_coverage, profile_targets, document_facts, fact_signature, fact_violations, fact_check)}
 
 
 def queries() -> dict[str, Query]:
@@ -96,4 +113,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.TABLE | style_oracles.TABLE
+    return oracles.TABLE | style_oracles.TABLE | templates.TABLE
