@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import barriers as B
+from ..operators import edits as E
 from ..operators import facts as X
 from ..operators import readability as R
 from ..operators import style as S
-from . import oracles, style_oracles, templates
+from ..operators import verify as VF
+from . import edit_oracles, oracles, style_oracles, templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,8 +107,61 @@ def fact_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.check(templates.template_pairs(table(spark, sf_dir, "orders")))
 
 
+def rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.matches(templates.template_docs(table(spark, sf_dir, "orders"))).groupBy("doc_id", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def conflict_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.col("l_linenumber") * 6 + F.col("l_partkey") % 5
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), start.alias("start"), (start + 3 + F.col("l_suppkey") % 7).alias("end"), F.concat(F.lit("R"), (F.col("l_partkey") % 6).cast("string")).alias("rule_id"),
+        (F.col("l_quantity").cast("long") % 3).alias("priority"), F.concat(F.lit("x"), (F.col("l_suppkey") % 2).cast("string")).alias("replacement"), F.col("l_linenumber").cast("long").alias("n"),
+    )
+    return E.settle(rows).select("doc_id", "n", "island", "decision")
+
+
+def guarded_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.guarded(templates.template_docs(table(spark, sf_dir, "orders"))).drop("before")
+
+
+def revised_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.col("l_linenumber") * 10
+    edits = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), start.cast("int").alias("start"), (start + 2 + F.col("l_partkey") % 6).cast("int").alias("end"), F.repeat(F.lit("x"), (F.col("l_suppkey") % 9).cast("int")).alias("replacement"))
+    return E.edit_lists(edits).select("doc_id", E.revised_offset(F.col("edits"), F.lit(35)).cast("long").alias("revised"))
+
+
+def fix_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.collect_list("o_orderpriority").alias("hits"))
+    return hits.select("doc_id", E.fix_budget(F.col("hits"), F.lit("1-URGENT"), F.lit("5-LOW"), F.lit(0.4)).cast("long").alias("budget"))
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = templates.template_pairs(table(spark, sf_dir, "orders"))
+    return VF.verify(pairs).join(pairs.select("pair_id", "edit"), "pair_id").groupBy("edit", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _unique_barriers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.deduplicate(B.detect(B.sentence_rows(table(spark, sf_dir, "documents"))))
+
+
+def barriers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unique_barriers(spark, sf_dir).select("doc_id", F.col("sentence").cast("long").alias("sentence"), "type", "match", "severity", "words")
+
+
+def barrier_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.summary(table(spark, sf_dir, "documents"), _unique_barriers(spark, sf_dir))
+
+
+def barriers_by_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.by_sentence(_unique_barriers(spark, sf_dir)).withColumn("sentence", F.col("sentence").cast("long"))
+
+
+def top_improvements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.top_improvements(_unique_barriers(spark, sf_dir)).withColumn("sentence", F.col("sentence").cast("long"))
+
+
 QUERIES: dict[str, Query] = {"readability": readability, "readability_by_band": readability_by_band, "word_measures": word_measures, "syllables": syllables}
-QUERIES |= {f.__name__: f for f in (style_metrics, block_metrics, sentence_diagnostics, block_diagnostics, profile_findings, profile_coverage, profile_targets, document_facts, fact_signature, fact_violations, fact_check)}
+QUERIES |= {f.__name__: f for f in (style_metrics, block_metrics, sentence_diagnostics, block_diagnostics, profile_findings, profile_coverage, profile_targets, document_facts, fact_signature, fact_violations, fact_check, rule_matches, conflict_settlement, guarded_edits, revised_offsets, fix_budgets, verdicts, barriers, barrier_summary, barriers_by_sentence, top_improvements)}
 
 
 def queries() -> dict[str, Query]:
@@ -113,4 +169,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.TABLE | style_oracles.TABLE | templates.TABLE
+    return oracles.TABLE | style_oracles.TABLE | templates.TABLE | edit_oracles.TABLE
