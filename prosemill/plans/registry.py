@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import segment
 from ..functions import text as T
+from ..functions import vocabulary as V
 from ..operators import barriers as B
 from ..operators import edits as E
 from ..operators import facts as X
 from ..operators import readability as R
 from ..operators import style as S
 from ..operators import verify as VF
-from . import edit_oracles, oracles, style_oracles, templates
+from ..sources import readers, reports
+from ..streaming import documents
+from . import edit_oracles, oracles, source_oracles, style_oracles, templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -160,8 +164,54 @@ def top_improvements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.top_improvements(_unique_barriers(spark, sf_dir)).withColumn("sentence", F.col("sentence").cast("long"))
 
 
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.sentences(table(spark, sf_dir, "documents"))
+
+
+def paragraph_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+    return segment.paragraphs(turns)
+
+
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.pages_text(table(spark, sf_dir, "pages"))
+
+
+def page_text_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.native_pages_text(table(spark, sf_dir, "pages"))
+
+
+def supported_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.supported(spark)
+
+
+def url_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", readers.format_of(F.col("url")).alias("format"), readers.is_reviewable(F.col("url")).alias("reviewable"))
+
+
+def json_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.json_reports(R.readability(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def canonical_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.canonical_audit(fact_check(spark, sf_dir), "pair_id")
+
+
+def protected_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of art by word: an exploded count joined with a small fixed table."""
+    words = table(spark, sf_dir, "documents").select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    terms = spark.createDataFrame(list(V.PROTECTED_TERMS.items()), "word string, domain string")
+    return words.join(F.broadcast(terms), "word")
+
+
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming aggregation over the events table as a batch; sums of whole cents, so order doesn't matter."""
+    rows = table(spark, sf_dir, "events").withColumn("value", F.floor(F.col("value") * 100 + 0.5).cast("long"))
+    return documents.event_counts(rows)
+
+
 QUERIES: dict[str, Query] = {"readability": readability, "readability_by_band": readability_by_band, "word_measures": word_measures, "syllables": syllables}
-QUERIES |= {f.__name__: f for f in (style_metrics, block_metrics, sentence_diagnostics, block_diagnostics, profile_findings, profile_coverage, profile_targets, document_facts, fact_signature, fact_violations, fact_check, rule_matches, conflict_settlement, guarded_edits, revised_offsets, fix_budgets, verdicts, barriers, barrier_summary, barriers_by_sentence, top_improvements)}
+QUERIES |= {f.__name__: f for f in (style_metrics, block_metrics, sentence_diagnostics, block_diagnostics, profile_findings, profile_coverage, profile_targets, document_facts, fact_signature, fact_violations, fact_check, rule_matches, conflict_settlement, guarded_edits, revised_offsets, fix_budgets, verdicts, barriers, barrier_summary, barriers_by_sentence, top_improvements, sentences, paragraph_ranges, page_text, page_text_native, supported_formats, url_formats, json_reports, canonical_audit, protected_words, event_windows)}
 
 
 def queries() -> dict[str, Query]:
@@ -169,4 +219,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.TABLE | style_oracles.TABLE | templates.TABLE | edit_oracles.TABLE
+    return oracles.TABLE | style_oracles.TABLE | templates.TABLE | edit_oracles.TABLE | source_oracles.TABLE
