@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,5 +116,12 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def slices(it: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Short runs of the rows, so that Python holds few texts at a time."""
+    for batch in it:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+
+
 def batches(rows: dict[str, list | np.ndarray | pa.Array], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], type=f.type) for f in schema], schema=schema)

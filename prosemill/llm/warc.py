@@ -9,6 +9,7 @@ records.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -21,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, own_columns, rejoin, shared_dir, text_bytes
+from .common import batches, own_columns, rejoin, shared_dir, slices, text_bytes
 
 MAGIC = b"WARC/1."
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -38,7 +39,7 @@ def payload_digest(payload: bytes) -> str:
 
 def _hash(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=7).compress
-    for batch in it:
+    for batch in slices(it):
         payloads = [p or b"" for p in text_bytes(batch.column(2))]
         yield batches({"page_id": batch.column(0), "url": batch.column(1), "digest": [payload_digest(p) for p in payloads], "n": [len(p) for p in payloads], "packed": [press(p) for p in payloads]}, _HASHED)
 
@@ -71,7 +72,7 @@ def _lines(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0, records_per_file: int = 2000) -> None:
-    """Write one record per row as uncompressed WARC files under ``path``.
+    """Write one record per row as gzip-compressed WARC files under ``path``.
 
     Of rows with equal payloads of at least ``min_revisit_bytes`` bytes, the one with the largest id becomes a response
     and the others revisit it; smaller payloads are all responses.  A null html is an empty payload, a null url writes
@@ -85,7 +86,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     joined = rejoin(hashed, last, "digest")
     revisit = (F.col("n") >= min_revisit_bytes) & F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     planned = joined.select("page_id", "url", "digest", "packed", F.when(revisit, F.col("last")).alias("refers_to"), revisit.alias("revisit"))
-    planned.mapInArrow(_lines, "value string").write.option("maxRecordsPerFile", records_per_file).mode("errorifexists").text(path)
+    planned.mapInArrow(_lines, "value string").write.option("maxRecordsPerFile", records_per_file).option("compression", "gzip").mode("errorifexists").text(path)
 
 
 _LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*(\d+)[ \t]*(?=\r\n|$)", re.I)
@@ -154,7 +155,8 @@ def _read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         for content in batch.column(0):
             rows, size = [], 0
-            for row in parse(content.as_py()):
+            data = content.as_py()
+            for row in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                 rows.append(row)
                 size += row[6]
                 if size > 1 << 22:
@@ -165,7 +167,7 @@ def _read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the uncompressed archives under ``path``.
+    """All records of the archives, plain or compressed as a whole, under ``path``.
 
     record_id, page_id (of ids written here), url, record_type, refers_to, payload_digest (recomputed where there is a
     payload), payload_bytes (of the full payload; for revisits from the kept response header) and payload.  What the
