@@ -13,20 +13,19 @@ from ..functions import vocabulary as V
 from ..operators import barriers as B
 from ..operators import edits as E
 from ..operators import facts as X
+from ..operators import lexicon as L
+from ..operators import present as P
 from ..operators import readability as R
 from ..operators import style as S
 from ..operators import verify as VF
 from ..sources import readers, reports
+from ..sources.tables import load as table
 from ..streaming import documents
-from . import edit_oracles, oracles, source_oracles, style_oracles, templates
+from . import edit_oracles, oracles, present_oracles, source_oracles, style_oracles, templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def readability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.readability(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -210,8 +209,49 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.event_counts(rows)
 
 
+def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select(F.explode(T.words(F.col("text"))).alias("word")).distinct()
+    return words.select("word", L.stem(F.col("word")).alias("stem"))
+
+
+def change_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.changes(templates.template_docs(table(spark, sf_dir, "orders")))
+
+
+def connected_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document of several sentences per customer, where one connective may stand out."""
+    k = F.col("o_orderkey") % 4
+    sentence = F.when(k == 0, "However, it came late.").when(k == 1, "Nevertheless, it was paid in full.").otherwise("Nevertheless, it was sent on time.")
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", sentence.alias("t")))).alias("s"))
+    return rows.select("doc_id", F.array_join(F.transform("s", lambda x: x["t"]), " ").alias("text"))
+
+
+def style_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.style_proposals(connected_docs(spark, sf_dir), "plain")
+    return rows.groupBy("doc_id", "budget").agg(F.count(F.lit(1)).alias("proposals"))
+
+
+def approved_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = connected_docs(spark, sf_dir)
+    proposals = P.style_proposals(docs, "plain")
+    decided = P.decide(proposals, proposals.select("doc_id", "proposal_id", F.lit(True).alias("approve")))
+    return P.apply_approved(docs, proposals, decided)
+
+
+def style_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.style_guard(templates.template_docs(table(spark, sf_dir, "orders")), "natural")
+
+
+def present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.present(table(spark, sf_dir, "documents").select("doc_id", "text"), "government")
+
+
+def diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.diagnose(table(spark, sf_dir, "documents").select("doc_id", "text"), "plain")
+
+
 QUERIES: dict[str, Query] = {"readability": readability, "readability_by_band": readability_by_band, "word_measures": word_measures, "syllables": syllables}
-QUERIES |= {f.__name__: f for f in (style_metrics, block_metrics, sentence_diagnostics, block_diagnostics, profile_findings, profile_coverage, profile_targets, document_facts, fact_signature, fact_violations, fact_check, rule_matches, conflict_settlement, guarded_edits, revised_offsets, fix_budgets, verdicts, barriers, barrier_summary, barriers_by_sentence, top_improvements, sentences, paragraph_ranges, page_text, page_text_native, supported_formats, url_formats, json_reports, canonical_audit, protected_words, event_windows)}
+QUERIES |= {f.__name__: f for f in (style_metrics, block_metrics, sentence_diagnostics, block_diagnostics, profile_findings, profile_coverage, profile_targets, document_facts, fact_signature, fact_violations, fact_check, rule_matches, conflict_settlement, guarded_edits, revised_offsets, fix_budgets, verdicts, barriers, barrier_summary, barriers_by_sentence, top_improvements, sentences, paragraph_ranges, page_text, page_text_native, supported_formats, url_formats, json_reports, canonical_audit, protected_words, event_windows, stems, change_rows, style_proposals, approved_edits, style_guard, present, diagnose)}
 
 
 def queries() -> dict[str, Query]:
@@ -219,4 +259,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.TABLE | style_oracles.TABLE | templates.TABLE | edit_oracles.TABLE | source_oracles.TABLE
+    return oracles.TABLE | style_oracles.TABLE | templates.TABLE | edit_oracles.TABLE | source_oracles.TABLE | present_oracles.TABLE
