@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosemill.llm import bpe, debruijn, mixing, simhash, toxicity
-from prosemill.llm.common import shared_dir, text_bytes
+from prosemill.llm.common import shared_dir, slices, text_bytes
 
 
 def _with_lengths(docs: DataFrame) -> DataFrame:
@@ -32,9 +32,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         own.start()
-        for batch in it:
+        for batch in slices(it):
             clean = np.array([own.score(t) < 0.5 for t in text_bytes(batch.column(at))], bool)
             yield batch.filter(pa.array(clean))
+        own.stop()
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -21,12 +21,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import batches, own_columns, text_bytes
+from .common import batches, own_columns, slices, text_bytes
 
 #: How the vocabulary's files split a text into pieces before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Entries of a memo before it is emptied, pieces and ids handled at once; none changes a result.
-_MEMO, _BLOCK, _SHORT = 800_000, 1 << 16, 64
+_MEMO, _BLOCK, _SHORT = 400_000, 1 << 16, 64
 _NEVER = 1 << 60
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 _DECODED = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
@@ -41,16 +41,22 @@ def alphabet() -> dict[str, int]:
 
 
 class _Memo(dict):
-    """A dict that makes what it lacks and is emptied once it holds ``most`` entries."""
+    """A dict that makes what it lacks.  It holds at most ``most`` entries: those of the older half that aren't asked for
+    again while the younger half fills are dropped."""
 
-    def __init__(self, make: Callable, most: int = 300_000):
+    def __init__(self, make: Callable, most: int = 200_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.half = make, most // 2
+        self.older: dict = {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
-        self[key] = value = self.make(key)
+        value = self.older.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
@@ -237,7 +243,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             ids = [b"".join(transducer(path).encode(t)) for t in _texts(batch.column(1))]
             yield batches({"doc_id": batch.column(0), "n_tokens": [len(x) // 4 for x in ids], "ids": ids}, _ENCODED)
 
@@ -248,7 +254,7 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     """(doc_id, text) of little-endian ids; null ids give an empty text, broken UTF-8 the replacement character."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             texts = ["".join(transducer(path).decode(x or b"")) for x in batch.column(1).to_pylist()]
             yield batches({"doc_id": batch.column(0), "text": texts}, _DECODED)
 
@@ -259,7 +265,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """``encode`` and ``decode`` in one pass: doc_id, n_tokens, ids, decoded."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             t = transducer(path)
             ids = [b"".join(t.encode(x)) for x in _texts(batch.column(1))]
             decoded = ["".join(t.decode(x)) for x in ids]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -117,10 +119,22 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
 
 
 def slices(it: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Short runs of the rows, so that Python holds few texts at a time."""
+    """Short runs of the rows, so that Python holds few texts at a time.
+
+    After the last one what the allocators still hold is given back, because a worker waits in memory for later tasks.
+    """
     for batch in it:
         for k in range(0, len(batch), rows):
             yield batch.slice(k, rows)
+        del batch
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def batches(rows: dict[str, list | np.ndarray | pa.Array], schema: pa.Schema) -> pa.RecordBatch:

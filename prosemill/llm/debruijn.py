@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, slices
 from .repeats import _LOWEST, Rule, covered, keyed, unpacked, with_hits, with_rest
 from .suffixes import joined_hits
 
@@ -26,7 +26,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 
 def _cut_out(rule: Rule, untouched: bool) -> Callable:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             n_words, n_removed, spans, kept = [], [], [], []
             for text, hits in zip(unpacked(batch.column(2)), joined_hits(batch), strict=True):
                 words = text.split()

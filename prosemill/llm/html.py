@@ -16,7 +16,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches, own_columns, text_bytes
+from .common import batches, own_columns, slices, text_bytes
 
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
@@ -229,7 +229,7 @@ def main_text(html: str) -> str:
 
 
 def _extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
+    for batch in slices(it):
         texts = [main_text((h or b"").decode("utf-8", "replace")) for h in text_bytes(batch.column(2))]
         yield batches({"page_id": batch.column(0), "url": batch.column(1), "text": texts, "n_chars": [len(t) for t in texts]}, _OUT)
 

@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, parts, text_bytes
+from .common import batches, give_back, parts, slices, text_bytes
 from .rolling import U64, anchors, bounds, byte_names, doubled, mix, word_names
 
 #: A hit is position * 8 + kind; an open anchor is LEFT, RIGHT or both.
 SETTLED, LEFT, RIGHT, WINDOW = 0, 1, 2, 4
 #: Units named at once, and rows kept before they are sent; neither changes a result.
-_PIECE, _FLUSH = 1 << 19, 1 << 20
+_PIECE, _FLUSH = 1 << 18, 1 << 19
 _BLOB = pa.schema([("bucket", pa.int64()), ("blob", pa.binary()), ("id", pa.int64()), ("ord", pa.int32()), ("v", pa.int64())])
 _HIT = pa.schema([("id", pa.int64()), ("ord", pa.int32()), ("v", pa.int64())])
 _LOWEST = -(1 << 63)
@@ -252,7 +252,7 @@ def _passed(table: pa.Table) -> pa.Table:
 
 def _pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1).compress
-    for batch in it:
+    for batch in slices(it):
         texts = [None if t is None else press(t) for t in text_bytes(batch.column(2))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary()), batch.column(3)], names=["id", "ord", "text", "rest"])
 
@@ -299,7 +299,7 @@ def _anchor_map(rule: Rule, n_buckets: int) -> Callable:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows()
-        for batch in it:
+        for batch in slices(it):
             for ids, ords, texts, _ in _pieces(batch):
                 x = Named(texts, rule)
                 if not len(x.doc):
@@ -319,6 +319,7 @@ def _anchor_map(rule: Rule, n_buckets: int) -> Callable:
                     yield from flush(rows)
         if rows.n:
             yield from flush(rows)
+        give_back()
 
     return run
 
@@ -353,7 +354,7 @@ def _window_map(rule: Rule, n_buckets: int) -> Callable:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows()
-        for batch in it:
+        for batch in slices(it):
             for ids, ords, texts, hits in _pieces(batch, extra=True):
                 x = Named(texts, rule)
                 v = hits.flatten().to_numpy(zero_copy_only=False)
@@ -374,6 +375,7 @@ def _window_map(rule: Rule, n_buckets: int) -> Callable:
                     yield from flush(rows)
         if rows.n:
             yield from flush(rows)
+        give_back()
 
     return run
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import batches, components, cut, own_columns, parts, reduce_links, rejoin, text_bytes
+from .common import batches, components, cut, own_columns, parts, reduce_links, rejoin, slices, text_bytes
 
 SHINGLE, SEED, BITS = 4, 42, 64
 _FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -52,7 +52,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
 
 
 def _fingerprint_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
+    for batch in slices(rows):
         fps = np.array([fingerprint(t) for t in text_bytes(batch.column(1))], np.uint64).view(np.int64)
         yield batches({"doc_id": batch.column(0), "fp": fps}, _FP)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _Memo
-from .common import batches, own_columns, text_bytes
+from .common import batches, own_columns, slices, text_bytes
 
 #: What a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou"}
@@ -53,7 +53,7 @@ def _classes(text: str) -> np.ndarray:
 
 def _gram_counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(CLASSES**3, np.int64)
-    for batch in it:
+    for batch in slices(it):
         texts = [(t or b"").decode("utf-8", "replace") for t in text_bytes(batch.column(0))]
         at = 0
         while at < len(texts):
@@ -151,8 +151,8 @@ def features(readings_: Iterable[str]) -> Iterator[str]:
 
 def _feature_map(costs) -> Callable:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo(lambda token: tuple(features(readings(token, costs.value))))
-        for batch in it:
+        memo = _Memo(lambda token: tuple(features(readings(token, costs.value))), 30_000)
+        for batch in slices(it):
             seen: dict[str, list[int]] = {}
             for text, toxic in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 low = (text or b"").decode("utf-8", "replace").lower()
@@ -178,6 +178,10 @@ class Scorer:
         number = self.number
         self.memo = _Memo(lambda token: tuple({number[f] for f in features(readings(token, self.costs)) if f in number}))
 
+    def stop(self) -> None:
+        """Give the memo back; a worker keeps its scorer for later tasks."""
+        del self.memo
+
     def hits(self, text: bytes | None) -> list[int]:
         low = (text or b"").decode("utf-8", "replace").lower()
         found = set(chain.from_iterable(map(self.memo.__getitem__, set(low.split()))))
@@ -237,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def vectors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer.start()
-        for batch in it:
+        for batch in slices(it):
             yield batches({"hits": [scorer.hits(t) for t in text_bytes(batch.column(0))], "toxic": batch.column(1)}, _VECTORS)
 
     fitted = rows.mapInArrow(vectors, "hits array<int>, toxic int").collect()
@@ -256,8 +260,9 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         own.start()
-        for batch in it:
+        for batch in slices(it):
             yield batches({"doc_id": batch.column(0), "score": [own.score(t) for t in text_bytes(batch.column(1))]}, _SCORED)
+        own.stop()
 
     out = own_columns(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT_OF == 0, F.lit(False))
