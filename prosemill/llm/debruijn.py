@@ -4,11 +4,13 @@ Token k-mers (k = 20) are the graph's edges.  Around every sampled anchor the up
 path of 30 tokens; where all occurrences of the anchor continue alike, the path doesn't branch and is compacted to one
 row, its name.  Equal paths are joined with their first source coordinate (document, position), which settles all their
 edges at once.  Only at branching nodes, where occurrences of an anchor part, are single edges listed and joined with
-their first coordinate.  A document's removed spans are the unions of its settled edges in source coordinates.
+their first coordinate.  Edges of a document that follow each other at one distance from their sources are compacted to
+long spans; each span is verified against the words at its source coordinate, by a join with that document.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -17,33 +19,102 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, slices
-from .repeats import _LOWEST, Rule, covered, keyed, unpacked, with_hits, with_rest
+from .repeats import _LOWEST, SETTLED, Rule, covered, keyed, unpacked, with_hits, with_rest
 from .suffixes import joined_hits
 
 WINDOW_WORDS, GRAM_WORDS = 20, 10
+_CLAIM = pa.schema([("id", pa.int64()), ("ord", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("sid", pa.int64()), ("sord", pa.int32()), ("at", pa.int64()), ("digest", pa.binary())])
+_REFUTED = pa.schema(list(_CLAIM)[:-1])
+_REFUTED_SQL = "id long, ord int, start long, end long, sid long, sord int, at long"
+_CLAIM_SQL = _REFUTED_SQL + ", digest binary"
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.string())])
 
 
+def spans(found: list[dict], n: int, rule: Rule) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, source id, source ord, source start) of the compacted hits of a document with n words."""
+    hits = []
+    for h in found:
+        at, before = h["v"] >> 3, rule.context if h["v"] & 7 == SETTLED else 0
+        start = max(at - before, 0)
+        hits.append((h["sid"], h["sord"], at - h["spos"], start, min(at + rule.window, n)))
+    out: list[list[int]] = []
+    shift = None
+    for sid, sord, by, start, end in sorted(hits):
+        if out and shift == (sid, sord, by) and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end, sid, sord, start - by])
+            shift = (sid, sord, by)
+    return [tuple(x) for x in out]
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _claims(rule: Rule) -> Callable:
+    """Spans with a digest of their own words and the coordinates of the words they should equal."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(it):
+            rows = []
+            for i, o, packed, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if found:
+                    words = unpacked(pa.array([packed], pa.binary()))[0].split()
+                    rows += [(i, o, a, b, sid, sord, at, _digest(words[a:b])) for a, b, sid, sord, at in spans(found, len(words), rule)]
+            if rows:
+                yield batches(dict(zip(_CLAIM.names, zip(*rows, strict=True), strict=True)), _CLAIM)
+
+    return run
+
+
+def _refuted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Claims whose words differ from those at their source; rows of one source follow each other."""
+    last: tuple = (None, [])
+    for batch in slices(it):
+        rows = []
+        for i, o, a, b, sid, sord, at, digest, packed in zip(*(c.to_pylist() for c in batch.columns[:9]), strict=True):
+            if last[0] != (sid, sord):
+                last = ((sid, sord), unpacked(pa.array([packed], pa.binary()))[0].split())
+            if _digest(last[1][at : at + b - a]) != digest:
+                rows.append((i, o, a, b, sid, sord, at))
+        if rows:
+            yield batches(dict(zip(_REFUTED.names, zip(*rows, strict=True), strict=True)), _REFUTED)
+
+
+def _standing(found: list[dict] | None, bad: list[dict] | None, n: int, rule: Rule) -> np.ndarray:
+    """Hits (as positions and kinds) outside every refuted span."""
+    wrong = {(b["start"], b["end"], b["sid"], b["sord"], b["at"]) for b in bad or []}
+    good = []
+    for h in found or []:
+        own = spans([h], n, rule)[0]
+        if not any(own[2:4] == w[2:4] and own[0] - own[4] == w[0] - w[4] and w[0] <= own[0] and own[1] <= w[1] for w in wrong):
+            good.append(h["v"])
+    return np.array(good, np.int64)
+
+
 def _cut_out(rule: Rule, untouched: bool) -> Callable:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(it):
-            n_words, n_removed, spans, kept = [], [], [], []
-            for text, hits in zip(unpacked(batch.column(2)), joined_hits(batch), strict=True):
+            n_words, n_removed, spans_, kept = [], [], [], []
+            for k, (text, hits) in enumerate(zip(unpacked(batch.column(2)), joined_hits(batch), strict=True)):
                 words = text.split()
                 n_words.append(len(words))
+                if batch.column(7)[k].is_valid:
+                    hits = _standing(batch.column(6)[k].as_py(), batch.column(7)[k].as_py(), len(words), rule)
                 if not len(hits):
                     n_removed.append(0)
-                    spans.append([])
+                    spans_.append([])
                     kept.append(text if untouched else b" ".join(words))
                     continue
                 gone = covered(hits, len(words), rule)
                 n_removed.append(int(gone.sum()))
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                spans.append(edges)
+                spans_.append(edges)
                 stay = np.concatenate([[0], edges, [len(words)]]).reshape(-1, 2).tolist()
                 kept.append(b" ".join([w for a, b in stay for w in words[a:b]]))
             text = pa.array(kept, pa.binary()).cast(pa.string())
-            own = batches({"doc_id": batch.column(0), "n_words": n_words, "n_removed": n_removed, "spans": spans, "kept": text}, _OUT)
+            own = batches({"doc_id": batch.column(0), "n_words": n_words, "n_removed": n_removed, "spans": spans_, "kept": text}, _OUT)
             yield pa.RecordBatch.from_arrays([*own.columns, batch.column(3)], names=[*_OUT.names, "rest"])
 
     return run
@@ -62,7 +133,12 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     passage.
     """
     rule = Rule("words", window, gram, within=True)
-    rows = with_hits(keyed(docs, id_col, text_col, carry), rule).select("id", "ord", "text", "rest", "hits", "more")
+    rows, packed = with_hits(keyed(docs, id_col, text_col, carry), rule, sources=True)
+    claims = rows.select("id", "ord", "text", "found").mapInArrow(_claims(rule), _CLAIM_SQL)
+    at_source = claims.join(packed.withColumnsRenamed({"id": "p_id", "ord": "p_ord"}), (F.col("sid") == F.col("p_id")) & (F.col("sord") == F.col("p_ord")))
+    refuted = at_source.select(*_CLAIM.names, "text", "rest").mapInArrow(_refuted, _REFUTED_SQL)
+    bad = refuted.groupBy("id", "ord").agg(F.collect_list(F.struct("start", "end", "sid", "sord", "at")).alias("bad"))
+    rows = rows.join(bad, ["id", "ord"], "left").select("id", "ord", "text", "rest", "hits", "more", F.when(F.col("bad").isNotNull(), F.col("found")).alias("found"), "bad")
     out = rows.mapInArrow(_cut_out(rule, untouched), with_rest("doc_id long, n_words long, n_removed long, spans array<long>, kept string", rows))
     out = out.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(_LOWEST), F.col("doc_id")))
     return out.select(*_OUT.names, *([f"rest.`{c}`" for c in carry]))

@@ -35,8 +35,9 @@ from .rolling import U64, anchors, bounds, byte_names, doubled, mix, word_names
 SETTLED, LEFT, RIGHT, WINDOW = 0, 1, 2, 4
 #: Units named at once, and rows kept before they are sent; neither changes a result.
 _PIECE, _FLUSH = 1 << 18, 1 << 19
-_BLOB = pa.schema([("bucket", pa.int64()), ("blob", pa.binary()), ("id", pa.int64()), ("ord", pa.int32()), ("v", pa.int64())])
-_HIT = pa.schema([("id", pa.int64()), ("ord", pa.int32()), ("v", pa.int64())])
+_BLOB = pa.schema([("bucket", pa.int64()), ("blob", pa.binary()), ("id", pa.int64()), ("ord", pa.int32()), ("v", pa.int64()), ("sid", pa.int64()), ("sord", pa.int32()), ("spos", pa.int64())])
+_HIT = pa.schema(list(_BLOB)[2:])
+_HIT_SQL = "id long, ord int, v long, sid long, sord int, spos long"
 _LOWEST = -(1 << 63)
 
 
@@ -157,10 +158,13 @@ def _rank(ids: np.ndarray, ords: np.ndarray) -> np.ndarray:
     return rank
 
 
-def later(names: np.ndarray, rank: np.ndarray, pos: np.ndarray, within: bool) -> np.ndarray:
-    """Rows that aren't first among equal names: of a later document, or also of a later position."""
+def later(names: np.ndarray, rank: np.ndarray, pos: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that aren't first among equal names, the first of each row).
+
+    Not first: of a later document, or also of a later position.
+    """
     if not len(names):
-        return np.empty(0, bool)
+        return np.empty(0, bool), np.empty(0, np.int64)
     order = np.lexsort((pos, rank, names)) if within else np.lexsort((rank, names))
     n, r, p = names[order], rank[order], pos[order]
     head = np.concatenate([[True], n[1:] != n[:-1]])
@@ -168,9 +172,10 @@ def later(names: np.ndarray, rank: np.ndarray, pos: np.ndarray, within: bool) ->
     after = r > r[head][group]
     if within:
         after |= p > p[head][group]
-    out = np.empty(len(names), bool)
+    out, first = np.empty(len(names), bool), np.empty(len(names), np.int64)
     out[order] = after
-    return out
+    first[order] = order[head][group]
+    return out, first
 
 
 def _shared(key: np.ndarray, rank: np.ndarray, within: bool) -> np.ndarray:
@@ -188,8 +193,10 @@ def _shared(key: np.ndarray, rank: np.ndarray, within: bool) -> np.ndarray:
     return out
 
 
-def _hits(ids: np.ndarray, ords: np.ndarray, pos: np.ndarray, kind: int | np.ndarray) -> dict:
-    return {"id": ids, "ord": ords.astype(np.int32), "v": pos.astype(np.int64) * 8 + kind}
+def _hits(ids: np.ndarray, ords: np.ndarray, pos: np.ndarray, rows: np.ndarray, first: np.ndarray, kind: int | np.ndarray) -> dict:
+    """Hits of the given rows with the coordinates of their first equals."""
+    source = first[rows]
+    return {"id": ids[rows], "ord": ords[rows].astype(np.int32), "v": pos[rows].astype(np.int64) * 8 + kind, "sid": ids[source], "sord": ords[source].astype(np.int32), "spos": pos[source].astype(np.int64)}
 
 
 def _send(buckets: np.ndarray, n_buckets: int, ids: np.ndarray, ords: np.ndarray, columns: list[np.ndarray], hits: dict) -> Iterator[pa.RecordBatch]:
@@ -206,7 +213,7 @@ def _send(buckets: np.ndarray, n_buckets: int, ids: np.ndarray, ords: np.ndarray
     def batch() -> pa.RecordBatch:
         n = len(out["bucket"])
         empty = np.zeros(n, np.int64)
-        return batches(out | {"id": empty, "ord": empty.astype(np.int32), "v": empty}, _BLOB)
+        return batches(out | {f.name: empty.astype(np.int32 if f.type == pa.int32() else np.int64) for f in _HIT}, _BLOB)
 
     for b in range(n_buckets):
         rows = order[edges[b] : edges[b + 1]]
@@ -247,7 +254,7 @@ def _received(table: pa.Table, *kinds: type) -> tuple[np.ndarray, np.ndarray, li
 
 
 def _passed(table: pa.Table) -> pa.Table:
-    return table.filter(pc.is_null(table.column("blob"))).select(["id", "ord", "v"]).cast(_HIT)
+    return table.filter(pc.is_null(table.column("blob"))).select(_HIT.names).cast(_HIT)
 
 
 def _pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,10 +299,10 @@ def _anchor_map(rule: Rule, n_buckets: int) -> Callable:
     def flush(rows: _Rows) -> Iterator[pa.RecordBatch]:
         ids, ords, (doc, low, full, left, right, pos, high) = rows.take()
         rank = _rank(ids, ords)[doc]
-        gone = later(full, rank, pos, rule.within)
+        gone, first = later(full, rank, pos, rule.within)
         keep = ~gone
         columns = [x[keep] for x in (doc, low, full, left, right, pos)]
-        yield from _send((high[keep] % n_buckets).astype(np.int64), n_buckets, ids, ords, columns, _hits(ids[doc[gone]], ords[doc[gone]], pos[gone], SETTLED))
+        yield from _send((high[keep] % n_buckets).astype(np.int64), n_buckets, ids, ords, columns, _hits(ids[doc], ords[doc], pos, np.flatnonzero(gone), first, SETTLED))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows()
@@ -328,7 +335,7 @@ def _anchor_reduce(rule: Rule) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         ids, ords, (low, full, left, right, pos) = _received(table, np.uint16, U64, np.uint16, np.uint16)
         rank = _rank(ids, ords)
-        gone = later(full, rank, pos, rule.within)
+        gone, first = later(full, rank, pos, rule.within)
         kind = np.full(len(ids), -1, np.int8)
         kind[gone] = SETTLED
         rest = np.flatnonzero(~gone)
@@ -337,8 +344,8 @@ def _anchor_reduce(rule: Rule) -> Callable:
             key = low[some].astype(np.uint32) << np.uint32(16) | half[some]
             open_ = some[_shared(key, rank[some], rule.within)]
             kind[open_] = np.maximum(kind[open_], 0) | side
-        use = kind >= 0
-        return pa.concat_tables([_passed(table), pa.table(_hits(ids[use], ords[use], pos[use], kind[use]), schema=_HIT)])
+        use = np.flatnonzero(kind >= 0)
+        return pa.concat_tables([_passed(table), pa.table(_hits(ids, ords, pos, use, first, kind[use]), schema=_HIT)])
 
     return run
 
@@ -348,9 +355,9 @@ def _window_map(rule: Rule, n_buckets: int) -> Callable:
 
     def flush(rows: _Rows) -> Iterator[pa.RecordBatch]:
         ids, ords, (doc, name, pos) = rows.take()
-        gone = later(name, _rank(ids, ords)[doc], pos, rule.within)
+        gone, first = later(name, _rank(ids, ords)[doc], pos, rule.within)
         keep = ~gone
-        yield from _send((name[keep] >> U64(32)).astype(np.int64) % n_buckets, n_buckets, ids, ords, [x[keep] for x in (doc, name, pos)], _hits(ids[doc[gone]], ords[doc[gone]], pos[gone], WINDOW))
+        yield from _send((name[keep] >> U64(32)).astype(np.int64) % n_buckets, n_buckets, ids, ords, [x[keep] for x in (doc, name, pos)], _hits(ids[doc], ords[doc], pos, np.flatnonzero(gone), first, WINDOW))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows()
@@ -383,8 +390,8 @@ def _window_map(rule: Rule, n_buckets: int) -> Callable:
 def _window_reduce(rule: Rule) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         ids, ords, (name, pos) = _received(table, U64)
-        gone = later(name, _rank(ids, ords), pos, rule.within)
-        return pa.concat_tables([_passed(table), pa.table(_hits(ids[gone], ords[gone], pos[gone], WINDOW), schema=_HIT)])
+        gone, first = later(name, _rank(ids, ords), pos, rule.within)
+        return pa.concat_tables([_passed(table), pa.table(_hits(ids, ords, pos, np.flatnonzero(gone), first, WINDOW), schema=_HIT)])
 
     return run
 
@@ -405,16 +412,29 @@ def with_rest(ddl: str, docs: DataFrame) -> T.StructType:
     return T.StructType.fromDDL(ddl).add(docs.schema["rest"])
 
 
-def with_hits(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Keyed documents (id, ord, packed text, rest) with all hits of their anchors and windows: arrays hits and more, or null."""
+def with_hits(docs: DataFrame, rule: Rule, sources: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(documents with hits, packed documents).
+
+    The first has id, ord, the packed text, rest, and the hits of anchors and windows as arrays hits and more, or null; with
+    ``sources`` also found, an array of (v, sid, sord, spos) with the first coordinate of every settled hit.
+    """
     n = parts(docs.sparkSession)
-    blob, hit = "bucket long, blob binary, id long, ord int, v long", "id long, ord int, v long"
-    by_doc = lambda hits, name: hits.groupBy("id", "ord").agg(F.collect_list("v").alias(name))
-    first = docs.select("id", "ord", "text").mapInArrow(_anchor_map(rule, n), blob).groupBy("bucket").applyInArrow(_anchor_reduce(rule), hit)
+    blob = f"bucket long, blob binary, {_HIT_SQL}"
+    source = F.when(F.col("v").bitwiseAND(F.lit(7)).isin(SETTLED, WINDOW), F.struct("v", "sid", "sord", "spos"))
+
+    def by_doc(hits: DataFrame, name: str) -> DataFrame:
+        more = [F.collect_list(source).alias(f"{name}_from")] if sources else []
+        return hits.groupBy("id", "ord").agg(F.collect_list("v").alias(name), *more)
+
+    first = docs.select("id", "ord", "text").mapInArrow(_anchor_map(rule, n), blob).groupBy("bucket").applyInArrow(_anchor_reduce(rule), _HIT_SQL)
     packed = docs.mapInArrow(_pack, with_rest("id long, ord int, text binary", docs))
     held = packed.join(by_doc(first, "hits"), ["id", "ord"], "left")
     is_open = F.coalesce(F.exists("hits", lambda v: v.bitwiseAND(F.lit(7)).isin(LEFT, RIGHT, LEFT | RIGHT)), F.lit(False))
     # No filter here: it would be pushed below the join and keep its shuffles from being used again further down.
     opened = held.select("id", "ord", F.when(is_open, F.col("text")).alias("text"), F.when(is_open, F.col("hits")).alias("hits"))
-    second = opened.mapInArrow(_window_map(rule, n), blob).groupBy("bucket").applyInArrow(_window_reduce(rule), hit)
-    return held.join(by_doc(second, "more"), ["id", "ord"], "left")
+    second = opened.mapInArrow(_window_map(rule, n), blob).groupBy("bucket").applyInArrow(_window_reduce(rule), _HIT_SQL)
+    out = held.join(by_doc(second, "more"), ["id", "ord"], "left")
+    if sources:
+        none = F.array().cast("array<struct<v:bigint,sid:bigint,sord:int,spos:bigint>>")
+        out = out.withColumn("found", F.concat(F.coalesce("hits_from", none), F.coalesce("more_from", none))).drop("hits_from", "more_from")
+    return out, packed

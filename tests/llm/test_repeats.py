@@ -64,3 +64,33 @@ def test_result_does_not_depend_on_partitions(docs):
     one = {(r.doc_id, hashlib.md5(r.kept.encode()).hexdigest()) for r in debruijn.remove_repeated_words(docs.coalesce(1)).collect()}
     many = {(r.doc_id, hashlib.md5(r.kept.encode()).hexdigest()) for r in debruijn.remove_repeated_words(docs.repartition(9)).collect()}
     assert one == many
+
+
+RULE = debruijn.Rule("words", 4, 2, within=True)
+
+
+def hit(pos, kind, sid, spos):
+    return {"v": pos * 8 + kind, "sid": sid, "sord": 0, "spos": spos}
+
+
+def test_hits_are_compacted_to_spans():
+    found = [hit(0, 4, 7, 10), hit(1, 4, 7, 11), hit(5, 4, 7, 15), hit(9, 0, 7, 29), hit(20, 4, 8, 3)]
+    assert sorted(debruijn.spans(found, 100, RULE)) == [(0, 9, 7, 0, 10), (7, 13, 7, 0, 27), (20, 24, 8, 0, 3)]
+    assert debruijn.spans([hit(1, 0, 7, 1)], 4, RULE) == [(0, 4, 7, 0, 0)]
+
+
+def test_refuted_spans_are_left_alone():
+    import numpy as np
+    import pyarrow as pa
+    import zstandard
+
+    press = zstandard.ZstdCompressor().compress
+    source = b"a b c d e f"
+    rows = [(1, 0, 0, 4, 9, 0, 1, debruijn._digest(b"b c d e".split()), press(source)), (2, 0, 0, 4, 9, 0, 2, debruijn._digest(b"b c d e".split()), press(source))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=[*debruijn._CLAIM.names, "text"])
+    (out,) = debruijn._refuted(iter([batch]))
+    assert out.column("id").to_pylist() == [2]
+    found = [hit(0, 4, 9, 2), hit(8, 4, 9, 40)]
+    bad = [{"start": 0, "end": 4, "sid": 9, "sord": 0, "at": 2}]
+    assert np.array_equal(debruijn._standing(found, bad, 20, RULE), [8 * 8 + 4])
+    assert np.array_equal(debruijn._standing(found, None, 20, RULE), [4, 8 * 8 + 4])
