@@ -129,6 +129,20 @@ def deduplicate(found: DataFrame) -> DataFrame:
     return found.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
+def place(found: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Add start, end and status to findings: where the matched text stands in its sentence.
+
+    placed where it occurs once, ambiguous where it occurs more often, absent where it doesn't (a cut excerpt).  Offsets
+    count code points; only placed findings have them.
+    """
+    rows = found.join(sentences.select("doc_id", "sentence", "text"), ["doc_id", "sentence"])
+    text, match = F.lower("text"), F.lower("match")
+    times = F.when(F.length(match) > 0, (F.length(text) - F.length(F.replace(text, match, F.lit("")))) / F.length(match)).otherwise(F.lit(0)).cast("long")
+    status = F.when(times == 1, "placed").when(times > 1, "ambiguous").otherwise("absent")
+    start = F.when(times == 1, F.instr(text, match) - 1).cast("long")
+    return rows.withColumn("status", status).withColumn("start", start).withColumn("end", F.col("start") + F.length("match")).drop("text")
+
+
 def lookup(kind: Column, table: dict[str, str], default: str) -> Column:
     out = F.lit(default)
     for k, v in table.items():

@@ -68,6 +68,7 @@ TABLE = {
     "fix_budgets": "WITH h AS (SELECT o_custkey AS doc_id, count(*) AS n, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS t, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS r, greatest(count(*) FILTER (WHERE o_orderpriority = '2-HIGH'), count(*) FILTER (WHERE o_orderpriority = '3-MEDIUM'), count(*) FILTER (WHERE o_orderpriority = '4-NOT SPECIFIED')) AS o FROM orders GROUP BY 1), k AS (SELECT *, unnest(range(1, t + 1)) AS k FROM h) SELECT h.doc_id, CAST(coalesce(min(k.k) FILTER (WHERE greatest(k.t - k.k, k.r + k.k, k.o) / CAST(k.n AS DOUBLE) < 0.4::DOUBLE), 0) AS BIGINT) AS budget FROM h LEFT JOIN k USING (doc_id) GROUP BY h.doc_id",
     "verdicts": f"WITH {PAIRS_SQL} SELECT edit, CASE WHEN edit IN ('none', 'comparator') THEN 'ACCEPTED' WHEN edit = 'wording' THEN 'INCONCLUSIVE' ELSE 'REFUSED' END AS verdict, count(*) AS n FROM template_pairs GROUP BY ALL",
     "barriers": f"WITH {_FOUND} SELECT doc_id, sentence, type, match, severity, CAST(words AS BIGINT) AS words FROM uniq",
+    "placed_barriers": f"WITH {_FOUND}, m AS (SELECT u.doc_id, u.sentence, u.type, u.match, lower(s.t) AS t, lower(u.match) AS x FROM uniq u JOIN sents s USING (doc_id, sentence)), c AS (SELECT *, (length(t) - length(replace(t, x, ''))) // length(x) AS k FROM m) SELECT doc_id, sentence, type, match, CASE WHEN k = 1 THEN 'placed' WHEN k > 1 THEN 'ambiguous' ELSE 'absent' END AS status, CAST(CASE WHEN k = 1 THEN strpos(t, x) - 1 END AS BIGINT) AS start, CAST(CASE WHEN k = 1 THEN strpos(t, x) - 1 + length(match) END AS BIGINT) AS \"end\" FROM c",
     "barrier_summary": f"WITH {_FOUND} SELECT d.doc_id, count(u.type) AS total, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'info') AS infos FROM documents d LEFT JOIN uniq u USING (doc_id) GROUP BY d.doc_id",
     "barriers_by_sentence": f"WITH {_FOUND} SELECT doc_id, sentence, count(*) AS issues, count(DISTINCT type) AS types, ['info', 'consider', 'high'][max(p)] AS priority FROM ranked GROUP BY ALL",
     "top_improvements": f"WITH {_FOUND}, t AS (SELECT doc_id, sentence, type, p, min(place) AS place FROM ranked GROUP BY ALL), s AS (SELECT *, max(p) OVER (PARTITION BY doc_id, sentence) AS sp FROM t), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sp DESC, sentence, p DESC, place) AS rank FROM s WHERE type IN {text_list(B.ADVICE)}) SELECT doc_id, rank, sentence, type, {_ACTION} AS action FROM o WHERE rank <= 7",

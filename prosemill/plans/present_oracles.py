@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions import vocabulary as V
 from ..operators import lexicon as L
 from .oracles import WORDS, text_list
 from .templates import DOCS_SQL
@@ -37,6 +38,13 @@ TABLE = {
     "stems": f"SELECT w AS word, {_stem()} AS stem FROM (SELECT DISTINCT w FROM (SELECT unnest({WORDS}) AS w FROM documents))",
     "change_rows": f"""WITH {DOCS_SQL}, e AS (SELECT doc_id, text, unnest([{_CHANGES}], recursive := true) FROM template_docs), p AS (SELECT *, strpos(text, surface) - 1 AS s FROM e)
 SELECT doc_id, CAST(s AS INTEGER) AS start, CAST(s + len AS INTEGER) AS "end", rule_id, surface, replacement, CAST(s + coalesce(sum(length(replacement) - len) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS revised_start FROM p""",
+    "markdown_blocks": """SELECT o_orderkey AS doc_id, CAST(i - 1 AS INTEGER) AS position, kinds[i] AS kind, CAST(CASE WHEN i IN (1, 8 + 1) THEN 1 END AS INTEGER) AS level,
+  ['Order ' || o_orderkey, 'It is ' || o_orderstatus || ' and listed. Second line.', 'first', 'second ' || o_orderkey, 'quoted text', 'sql', '', '', 'Under'][i] AS text
+FROM orders, (SELECT unnest(range(1, 10)) AS i, ['heading', 'paragraph', 'list_item', 'list_item', 'quote', 'code', 'table', 'rule', 'heading'] AS kinds)""",
+    "markdown_projection": "SELECT o_orderkey AS doc_id, array_to_string(['Order ' || o_orderkey, 'It is ' || o_orderstatus || ' and listed. Second line.', 'first', 'second ' || o_orderkey, 'quoted text', 'Under'], chr(10) || chr(10)) AS text FROM orders",
+    "verdict_tokens": f"WITH {DOCS_SQL} SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ ]')) AS BIGINT) AS tokens FROM template_docs",
+    "plain_words": f"""WITH w AS (SELECT DISTINCT w FROM (SELECT unnest({WORDS}) AS w FROM documents)), s AS (SELECT w, {_stem()} AS stem FROM w), g(word, plain) AS (VALUES ('erth', 'earth'), ('there', 'here'), ('notice', 'see'), ('ation', 'act'), ('heat', 'warmth')), t(word, domain) AS (VALUES {", ".join(f"('{w}', '{d}')" for w, d in V.PROTECTED_TERMS.items())})
+SELECT s.w AS word, CASE WHEN t.domain IS NULL THEN coalesce(a.plain, b.plain) END AS plain, t.domain FROM s LEFT JOIN t ON t.word = s.w LEFT JOIN g a ON a.word = s.w LEFT JOIN g b ON b.word = s.stem WHERE t.domain IS NOT NULL OR coalesce(a.plain, b.plain) IS NOT NULL""",
     # Turning k of c into another label that isn't counted yet leaves shares (c - k) / n, k / n and (n - c) / n.
     "style_proposals": f"""WITH {CONNECTED}, k AS (SELECT doc_id, n, c, unnest(range(1, c + 1)) AS k FROM connected WHERE n >= 6 AND c >= 2 AND c >= n - c AND c / CAST(n AS DOUBLE) >= 0.7::DOUBLE),
 b AS (SELECT doc_id, c, min(k) AS budget FROM k WHERE greatest(c - k, k, n - c) / CAST(n AS DOUBLE) < 0.7::DOUBLE GROUP BY ALL)

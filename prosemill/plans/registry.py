@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import segment
+from ..functions import markdown, segment
 from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import barriers as B
@@ -250,8 +250,43 @@ def diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.diagnose(table(spark, sf_dir, "documents").select("doc_id", "text"), "plain")
 
 
+def placed_barriers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sentences = B.sentence_rows(table(spark, sf_dir, "documents"))
+    found = B.place(B.deduplicate(B.detect(sentences)), sentences)
+    return found.select("doc_id", F.col("sentence").cast("long").alias("sentence"), "type", "match", "status", "start", "end")
+
+
+def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Markdown document per order, with a block of every kind."""
+    k, fence = F.col("o_orderkey").cast("string"), "```"
+    text = F.concat(F.lit("# Order *"), k, F.lit("*\n\nIt is **"), F.col("o_orderstatus"), F.lit("** and [listed](http://x/y).\nSecond line.\n\n- first\n- second "), k, F.lit(f"\n\n> quoted\n> text\n\n{fence}sql\nselect 1\n{fence}\n\na | b\n--|--\n1 | 2\n\n---\n\nUnder\n===\n"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+
+
+def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markdown.document_blocks(markdown_docs(spark, sf_dir)).select("doc_id", "position", "kind", "level", "text")
+
+
+def markdown_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markdown.projection(markdown.document_blocks(markdown_docs(spark, sf_dir)))
+
+
+def plain_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents looked up in a small glossary, directly and by stem, terms of art aside."""
+    words = table(spark, sf_dir, "documents").select(F.explode(T.words(F.col("text"))).alias("word"))
+    raw = spark.createDataFrame([("erth", "earth"), ("there", "here"), ("notice", "see"), ("ation", "act"), ("stone", "rock"), ("heat", "warm")], "word string, plain string")
+    glossary = L.effective_glossary(raw, raw.where("word = 'stone'"), spark.createDataFrame([("heat", "warmth")], "word string, plain string"))
+    terms = spark.createDataFrame(list(V.PROTECTED_TERMS.items()), "word string, domain string")
+    return L.plain_words(words, glossary, terms)
+
+
+def verdict_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segment.verdict_tokens(templates.template_docs(table(spark, sf_dir, "orders")))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"))
+
+
 QUERIES: dict[str, Query] = {"readability": readability, "readability_by_band": readability_by_band, "word_measures": word_measures, "syllables": syllables}
-QUERIES |= {f.__name__: f for f in (style_metrics, block_metrics, sentence_diagnostics, block_diagnostics, profile_findings, profile_coverage, profile_targets, document_facts, fact_signature, fact_violations, fact_check, rule_matches, conflict_settlement, guarded_edits, revised_offsets, fix_budgets, verdicts, barriers, barrier_summary, barriers_by_sentence, top_improvements, sentences, paragraph_ranges, page_text, page_text_native, supported_formats, url_formats, json_reports, canonical_audit, protected_words, event_windows, stems, change_rows, style_proposals, approved_edits, style_guard, present, diagnose)}
+QUERIES |= {f.__name__: f for f in (style_metrics, block_metrics, sentence_diagnostics, block_diagnostics, profile_findings, profile_coverage, profile_targets, document_facts, fact_signature, fact_violations, fact_check, rule_matches, conflict_settlement, guarded_edits, revised_offsets, fix_budgets, verdicts, barriers, barrier_summary, barriers_by_sentence, top_improvements, sentences, paragraph_ranges, page_text, page_text_native, supported_formats, url_formats, json_reports, canonical_audit, protected_words, event_windows, stems, change_rows, style_proposals, approved_edits, style_guard, present, diagnose, placed_barriers, markdown_blocks, markdown_projection, plain_words, verdict_tokens)}
 
 
 def queries() -> dict[str, Query]:
