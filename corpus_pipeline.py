@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from prosemill.llm import bpe, debruijn, mixing, simhash, toxicity
 from prosemill.llm.common import shared_dir, slices, text_bytes
+from prosemill.sources.tables import load
 
 
 def _with_lengths(docs: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and reread by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = load(spark, sf_dir, "documents")
     where = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{where}/{name}")

@@ -7,13 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import load as _table
 from . import bpe, debruijn, html, mixing, quality, simhash, suffixes, toxicity, vectors, warc
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def op1_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = debruijn.remove_repeated_words(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

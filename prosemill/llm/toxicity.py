@@ -37,8 +37,8 @@ _SPREAD = re.compile(r"(?<!\S)(?:[^\W_](?: |[.\-_*~/]{1,2})|[@$!|+](?: |[.\-_*~/
 _RUN = re.compile(r"(.)\1\1")
 _TAIL = re.compile(r"([#$%&*!.,?+])\1{2,}$")
 _STRIP = ".,;:!?\"'()[]{}<>«»„“”…#%&"
-#: Prefix lengths that are features beside the whole word; characters of a token that the lattice is built for.
-PREFIXES, _LONGEST = range(3, 7), 40
+#: Lengths of word beginnings that are features beside the whole word.
+PREFIXES = range(3, 7)
 HELD_OUT_OF = 5
 _COUNTS = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 _FEATURES = pa.schema([("feature", pa.string()), ("toxic", pa.int64()), ("n", pa.int64())])
@@ -101,7 +101,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 def restore(token: str, costs: np.ndarray) -> str:
     """The likeliest reading of a disguised token."""
     states: dict[tuple[int, int], tuple[float, str]] = {(_EDGE, _EDGE): (0.0, "")}
-    for options in lattice(token[:_LONGEST]):
+    for options in lattice(token):
         nxt: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (cost, text) in states.items():
             for reading, extra in options:

@@ -89,6 +89,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     planned.mapInArrow(_lines, "value string").write.option("maxRecordsPerFile", records_per_file).option("compression", "gzip").mode("errorifexists").text(path)
 
 
+#: No header is longer; a magic without the end of a header within so many bytes starts no record.
+_HEADER = 1 << 20
 _LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*(\d+)[ \t]*(?=\r\n|$)", re.I)
 _FIELD = re.compile(rb"\r\n([!-9;-~]+):[ \t]*([^\r\n]*)")
 
@@ -98,7 +100,7 @@ def candidates(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, blocks, nexts = [], [], []
     at = data.find(MAGIC)
     while at >= 0:
-        head = data.find(b"\r\n\r\n", at, at + (1 << 16))
+        head = data.find(b"\r\n\r\n", at, at + _HEADER)
         length = _LENGTH.search(data, at, head) if head >= 0 else None
         end = head + 4 + int(length[1]) if length else -1
         starts.append(at)
