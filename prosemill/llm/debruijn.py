@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, slices
-from .repeats import _LOWEST, SETTLED, Rule, covered, keyed, unpacked, with_hits, with_rest
+from .repeats import _LOWEST, SETTLED, WINDOW, Rule, covered, keyed, unpacked, with_hits, with_rest
 from .suffixes import joined_hits
 
 WINDOW_WORDS, GRAM_WORDS = 20, 10
@@ -58,7 +58,7 @@ def _claims(rule: Rule) -> Callable:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(it):
             rows = []
-            for i, o, packed, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, o, packed, found in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
                 if found:
                     words = unpacked(pa.array([packed], pa.binary()))[0].split()
                     rows += [(i, o, a, b, sid, sord, at, _digest(words[a:b])) for a, b, sid, sord, at in spans(found, len(words), rule)]
@@ -134,11 +134,15 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     rule = Rule("words", window, gram, within=True)
     rows, packed = with_hits(keyed(docs, id_col, text_col, carry), rule, sources=True)
-    claims = rows.select("id", "ord", "text", "found").mapInArrow(_claims(rule), _CLAIM_SQL)
-    at_source = claims.join(packed.withColumnsRenamed({"id": "p_id", "ord": "p_ord"}), (F.col("sid") == F.col("p_id")) & (F.col("sord") == F.col("p_ord")))
-    refuted = at_source.select(*_CLAIM.names, "text", "rest").mapInArrow(_refuted, _REFUTED_SQL)
+    none = F.array().cast("array<struct<v:bigint,sid:bigint,sord:int,spos:bigint>>")
+    settled = F.filter(F.concat(F.coalesce("hits", none), F.coalesce("more", none)), lambda h: h["v"].bitwiseAND(F.lit(7)).isin(SETTLED, WINDOW))
+    claims = rows.select("id", "ord", "text", settled.alias("found"), "rest").mapInArrow(_claims(rule), _CLAIM_SQL).withColumnsRenamed({"id": "c_id", "ord": "c_ord"})
+    at_source = claims.join(packed, (F.col("sid") == F.col("id")) & (F.col("sord") == F.col("ord")))
+    refuted = at_source.select("c_id", "c_ord", *_CLAIM.names[2:], "text", "rest").mapInArrow(_refuted, _REFUTED_SQL)
     bad = refuted.groupBy("id", "ord").agg(F.collect_list(F.struct("start", "end", "sid", "sord", "at")).alias("bad"))
-    rows = rows.join(bad, ["id", "ord"], "left").select("id", "ord", "text", "rest", "hits", "more", F.when(F.col("bad").isNotNull(), F.col("found")).alias("found"), "bad")
+    rows = rows.join(bad, ["id", "ord"], "left")
+    values = lambda c: F.transform(c, lambda h: h["v"])
+    rows = rows.select("id", "ord", "text", "rest", values("hits").alias("hits"), values("more").alias("more"), F.when(F.col("bad").isNotNull(), settled).alias("found"), "bad")
     out = rows.mapInArrow(_cut_out(rule, untouched), with_rest("doc_id long, n_words long, n_removed long, spans array<long>, kept string", rows))
     out = out.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(_LOWEST), F.col("doc_id")))
     return out.select(*_OUT.names, *([f"rest.`{c}`" for c in carry]))

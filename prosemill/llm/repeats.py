@@ -415,26 +415,22 @@ def with_rest(ddl: str, docs: DataFrame) -> T.StructType:
 def with_hits(docs: DataFrame, rule: Rule, sources: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents with hits, packed documents).
 
-    The first has id, ord, the packed text, rest, and the hits of anchors and windows as arrays hits and more, or null; with
-    ``sources`` also found, an array of (v, sid, sord, spos) with the first coordinate of every settled hit.
+    The first has id, ord, the packed text, rest, and the hits of anchors and windows as arrays hits and more, or null: of
+    longs, or with ``sources`` of (v, sid, sord, spos) with each hit's first coordinate.
+
+    Every branch of the plan asks for the same columns of the shuffled documents and hits, so that each is shuffled once
+    and used again; a column less in one of them would be another shuffle.
     """
     n = parts(docs.sparkSession)
     blob = f"bucket long, blob binary, {_HIT_SQL}"
-    source = F.when(F.col("v").bitwiseAND(F.lit(7)).isin(SETTLED, WINDOW), F.struct("v", "sid", "sord", "spos"))
-
-    def by_doc(hits: DataFrame, name: str) -> DataFrame:
-        more = [F.collect_list(source).alias(f"{name}_from")] if sources else []
-        return hits.groupBy("id", "ord").agg(F.collect_list("v").alias(name), *more)
-
+    kept = F.struct("v", "sid", "sord", "spos") if sources else F.col("v")
+    by_doc = lambda hits, name: hits.groupBy("id", "ord").agg(F.collect_list(kept).alias(name))
+    values = F.transform("hits", lambda h: h["v"]) if sources else F.col("hits")
     first = docs.select("id", "ord", "text").mapInArrow(_anchor_map(rule, n), blob).groupBy("bucket").applyInArrow(_anchor_reduce(rule), _HIT_SQL)
     packed = docs.mapInArrow(_pack, with_rest("id long, ord int, text binary", docs))
     held = packed.join(by_doc(first, "hits"), ["id", "ord"], "left")
-    is_open = F.coalesce(F.exists("hits", lambda v: v.bitwiseAND(F.lit(7)).isin(LEFT, RIGHT, LEFT | RIGHT)), F.lit(False))
+    is_open = F.coalesce(F.exists(values, lambda v: v.bitwiseAND(F.lit(7)).isin(LEFT, RIGHT, LEFT | RIGHT)), F.lit(False))
     # No filter here: it would be pushed below the join and keep its shuffles from being used again further down.
-    opened = held.select("id", "ord", F.when(is_open, F.col("text")).alias("text"), F.when(is_open, F.col("hits")).alias("hits"))
+    opened = held.select("id", "ord", F.when(is_open, F.col("text")).alias("text"), F.when(is_open, values).alias("hits"), "rest")
     second = opened.mapInArrow(_window_map(rule, n), blob).groupBy("bucket").applyInArrow(_window_reduce(rule), _HIT_SQL)
-    out = held.join(by_doc(second, "more"), ["id", "ord"], "left")
-    if sources:
-        none = F.array().cast("array<struct<v:bigint,sid:bigint,sord:int,spos:bigint>>")
-        out = out.withColumn("found", F.concat(F.coalesce("hits_from", none), F.coalesce("more_from", none))).drop("hits_from", "more_from")
-    return out, packed
+    return held.join(by_doc(second, "more"), ["id", "ord"], "left"), packed
