@@ -23,10 +23,13 @@ from .repeats import _LOWEST, SETTLED, WINDOW, Rule, covered, keyed, unpacked, w
 from .suffixes import joined_hits
 
 WINDOW_WORDS, GRAM_WORDS = 20, 10
-_CLAIM = pa.schema([("id", pa.int64()), ("ord", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("sid", pa.int64()), ("sord", pa.int32()), ("at", pa.int64()), ("digest", pa.binary())])
-_REFUTED = pa.schema(list(_CLAIM)[:-1])
+_SPAN = pa.struct([("id", pa.int64()), ("ord", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("at", pa.int64()), ("digest", pa.binary())])
+_CLAIM = pa.schema([("sid", pa.int64()), ("sord", pa.int32()), ("claims", pa.list_(_SPAN))])
+_CLAIM_SQL = "sid long, sord int, claims array<struct<id:long,ord:int,start:long,end:long,at:long,digest:binary>>"
+_REFUTED = pa.schema([("id", pa.int64()), ("ord", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("sid", pa.int64()), ("sord", pa.int32()), ("at", pa.int64())])
 _REFUTED_SQL = "id long, ord int, start long, end long, sid long, sord int, at long"
-_CLAIM_SQL = _REFUTED_SQL + ", digest binary"
+#: Claims that a task gathers before it sends them, one row for each source.
+_GATHERED = 20_000
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.string())])
 
 
@@ -53,31 +56,44 @@ def _digest(words: list[bytes]) -> bytes:
 
 
 def _claims(rule: Rule) -> Callable:
-    """Spans with a digest of their own words and the coordinates of the words they should equal."""
+    """Spans with a digest of their own words, gathered by the document whose words they should equal.
+
+    A source's text then meets one row for each task and not one for each span.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered: dict[tuple[int, int], list[dict]] = {}
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            return batches({"sid": [k[0] for k in gathered], "sord": [k[1] for k in gathered], "claims": list(gathered.values())}, _CLAIM)
+
         for batch in slices(it):
-            rows = []
             for i, o, packed, found in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
-                if found:
-                    words = unpacked(pa.array([packed], pa.binary()))[0].split()
-                    rows += [(i, o, a, b, sid, sord, at, _digest(words[a:b])) for a, b, sid, sord, at in spans(found, len(words), rule)]
-            if rows:
-                yield batches(dict(zip(_CLAIM.names, zip(*rows, strict=True), strict=True)), _CLAIM)
+                if not found:
+                    continue
+                words = unpacked(pa.array([packed], pa.binary()))[0].split()
+                for a, b, sid, sord, at in spans(found, len(words), rule):
+                    gathered.setdefault((sid, sord), []).append({"id": i, "ord": o, "start": a, "end": b, "at": at, "digest": _digest(words[a:b])})
+                    n += 1
+            if n >= _GATHERED:
+                yield flush()
+                gathered, n = {}, 0
+        if n:
+            yield flush()
 
     return run
 
 
 def _refuted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Claims whose words differ from those at their source; rows of one source follow each other."""
-    last: tuple = (None, [])
-    for batch in slices(it):
+    """Claims whose words differ from those at their source; columns sid, sord, claims and the source's packed text."""
+    for batch in slices(it, 50):
         rows = []
-        for i, o, a, b, sid, sord, at, digest, packed in zip(*(c.to_pylist() for c in batch.columns[:9]), strict=True):
-            if last[0] != (sid, sord):
-                last = ((sid, sord), unpacked(pa.array([packed], pa.binary()))[0].split())
-            if _digest(last[1][at : at + b - a]) != digest:
-                rows.append((i, o, a, b, sid, sord, at))
+        for sid, sord, claims, packed in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
+            words = unpacked(pa.array([packed], pa.binary()))[0].split()
+            for c in claims:
+                if _digest(words[c["at"] : c["at"] + c["end"] - c["start"]]) != c["digest"]:
+                    rows.append((c["id"], c["ord"], c["start"], c["end"], sid, sord, c["at"]))
         if rows:
             yield batches(dict(zip(_REFUTED.names, zip(*rows, strict=True), strict=True)), _REFUTED)
 
@@ -136,9 +152,9 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows, packed = with_hits(keyed(docs, id_col, text_col, carry), rule, sources=True)
     none = F.array().cast("array<struct<v:bigint,sid:bigint,sord:int,spos:bigint>>")
     settled = F.filter(F.concat(F.coalesce("hits", none), F.coalesce("more", none)), lambda h: h["v"].bitwiseAND(F.lit(7)).isin(SETTLED, WINDOW))
-    claims = rows.select("id", "ord", "text", settled.alias("found"), "rest").mapInArrow(_claims(rule), _CLAIM_SQL).withColumnsRenamed({"id": "c_id", "ord": "c_ord"})
+    claims = rows.select("id", "ord", "text", settled.alias("found"), "rest").mapInArrow(_claims(rule), _CLAIM_SQL)
     at_source = claims.join(packed, (F.col("sid") == F.col("id")) & (F.col("sord") == F.col("ord")))
-    refuted = at_source.select("c_id", "c_ord", *_CLAIM.names[2:], "text", "rest").mapInArrow(_refuted, _REFUTED_SQL)
+    refuted = at_source.select("sid", "sord", "claims", "text", "rest").mapInArrow(_refuted, _REFUTED_SQL)
     bad = refuted.groupBy("id", "ord").agg(F.collect_list(F.struct("start", "end", "sid", "sord", "at")).alias("bad"))
     rows = rows.join(bad, ["id", "ord"], "left")
     values = lambda c: F.transform(c, lambda h: h["v"])

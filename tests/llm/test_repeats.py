@@ -86,8 +86,9 @@ def test_refuted_spans_are_left_alone():
 
     press = zstandard.ZstdCompressor().compress
     source = b"a b c d e f"
-    rows = [(1, 0, 0, 4, 9, 0, 1, debruijn._digest(b"b c d e".split()), press(source)), (2, 0, 0, 4, 9, 0, 2, debruijn._digest(b"b c d e".split()), press(source))]
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=[*debruijn._CLAIM.names, "text"])
+    claim = {"ord": 0, "start": 0, "end": 4, "digest": debruijn._digest(b"b c d e".split())}
+    claims = pa.array([[claim | {"id": 1, "at": 1}, claim | {"id": 2, "at": 2}]], debruijn._CLAIM.field("claims").type)
+    batch = pa.RecordBatch.from_arrays([pa.array([9]), pa.array([0]), claims, pa.array([press(source)])], names=["sid", "sord", "claims", "text"])
     (out,) = debruijn._refuted(iter([batch]))
     assert out.column("id").to_pylist() == [2]
     found = [hit(0, 4, 9, 2), hit(8, 4, 9, 40)]
