@@ -3,8 +3,9 @@
 Unit vectors with cosine >= c lie within r = sqrt(2 - 2c) of each other.  Pivots partition them: every vector belongs
 to its nearest pivot's cell.  By the triangle inequality a vector y can only have a partner in the cell of pivot p if
 d(y, p) <= radius(p) + r, and only if y lies within r of the plane that divides p from y's own pivot; it is replicated
-to exactly those cells.  Each cell then joins independently, its own vectors against own and replicated ones, and a
-cell with many replicas is dealt over several tasks.
+to exactly those cells.  Both tests leave room for rounding, which is large where a distance or the gap between two
+pivots is small.  Each cell then joins independently, its own vectors against own and replicated ones, and a cell with
+many replicas is dealt over several tasks.  Vectors of each length have pivots and cells of their own.
 """
 
 from __future__ import annotations
@@ -13,12 +14,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches, components, cut, own_columns, parts, reduce_links, rejoin
 
 _SLACK = 1e-9
+#: Rounding of squared distances, and of distances, whose root magnifies it near 0.
+_SQUARE = 1e-10
+_NEAR = 1e-5
 _BLOCK = 1024
 _PLACED = pa.schema([("vec_id", pa.int64()), ("copies", pa.int64()), ("v", pa.list_(pa.float32())), ("cell", pa.int32()), ("d", pa.float64())])
 _DEALT = pa.schema([("vec_id", pa.int64()), ("copies", pa.int64()), ("v", pa.list_(pa.float32())), ("cell", pa.int32()), ("part", pa.int32()), ("own", pa.bool_())])
@@ -39,32 +44,53 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * (x @ pivots.T)))
 
 
-def _place(pivots: np.ndarray) -> Callable:
+def _spread(x: np.ndarray) -> np.ndarray:
+    """Of the unit vectors ``x``, those that no earlier one is (nearly) equal to."""
+    kept: list[np.ndarray] = []
+    for row in x:
+        if all(((row - k) ** 2).sum() > _NEAR**2 for k in kept):
+            kept.append(row)
+    return np.array(kept)
+
+
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of each length of the vectors in column 2."""
+    lengths = pc.list_value_length(batch.column(2))
+    for n in sorted(pc.unique(lengths).to_pylist()):
+        yield n, batch.filter(pc.equal(lengths, n))
+
+
+def _place(pivots: dict[int, tuple[int, np.ndarray]]) -> Callable:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            if len(batch):
-                d = _distances(_unit(_matrix(batch.column(2))), pivots)
+        for whole in it:
+            for n, batch in _by_length(whole):
+                first, own = pivots[n]
+                d = _distances(_unit(_matrix(batch.column(2))), own)
                 cell = d.argmin(1)
-                yield batches({"vec_id": batch.column(0), "copies": batch.column(1), "v": batch.column(2), "cell": cell, "d": d[np.arange(len(d)), cell]}, _PLACED)
+                yield batches({"vec_id": batch.column(0), "copies": batch.column(1), "v": batch.column(2), "cell": first + cell, "d": d[np.arange(len(d)), cell]}, _PLACED)
 
     return run
 
 
-def _deal(pivots: np.ndarray, radii: np.ndarray, shares: np.ndarray, r: float) -> Callable:
+def _deal(pivots: dict[int, tuple[int, np.ndarray]], radii: np.ndarray, shares: np.ndarray, r: float) -> Callable:
     """Own rows go to every part of their cell, replicas to one part."""
-    between = np.maximum(_distances(pivots, pivots), 1e-300)
+    between = {n: _distances(own, own) for n, (_, own) in pivots.items()}
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
-            for batch in (whole.slice(k, _BLOCK) for k in range(0, len(whole), _BLOCK)):
-                d = _distances(_unit(_matrix(batch.column(2))), pivots)
+            for n, batch in (found for k in range(0, len(whole), _BLOCK) for found in _by_length(whole.slice(k, _BLOCK))):
+                first, own = pivots[n]
+                cells = slice(first, first + len(own))
+                d = _distances(_unit(_matrix(batch.column(2))), own)
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 cell = batch.column(3).to_numpy(zero_copy_only=False)
-                near = d[np.arange(len(d)), cell]
-                plane = (d**2 - near[:, None] ** 2) / (2 * between[cell])
-                send = (plane <= r + _SLACK) & (d <= radii + r + _SLACK)
-                send[np.arange(len(d)), cell] = False
+                near = d[np.arange(len(d)), cell - first]
+                # Not divided by the gap of the pivots, so that rounding stays small where they are close.
+                plane = d**2 - near[:, None] ** 2 <= 2 * (between[n][cell - first] + _NEAR) * (r + _NEAR) + _SQUARE
+                send = plane & (d <= radii[cells] + r + _NEAR)
+                send[np.arange(len(d)), cell - first] = False
                 row, to = np.nonzero(send)
+                to += first
                 part = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % shares[to]
                 mine = np.repeat(np.arange(len(d)), shares[cell])
                 mine_part = np.arange(len(mine)) - np.repeat(np.cumsum(shares[cell]) - shares[cell], shares[cell])
@@ -118,28 +144,30 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Returns vec_id, n_links (other rows with cosine >= ``cosine`` in double precision), component_id (smallest vec_id
     reachable over links) and kept (whether that is the row's own).  Vectors that are null, empty, zero or hold null or
-    non-finite components link with nothing, nor do vectors of another length than the commonest.  Equal vectors are
-    one node with a number of copies; rows with a repeated id stay separate rows of that id.  An empty table gives an
-    empty result.  ``n_pivots`` vectors chosen by a hash are the pivots, and all that reaches the driver besides their
-    cells' radii and counts; ``rows_per_part`` bounds the replicas one task holds.  The result depends on neither.
+    non-finite components link with nothing; other vectors link within their length.  Equal vectors are one node with
+    a number of copies; rows with a repeated id stay separate rows of that id.  An empty table gives an empty result.
+    ``n_pivots`` vectors of each length, chosen by a hash, are the pivots, and all that reaches the driver besides
+    their cells' radii and counts; ``rows_per_part`` bounds the replicas one task holds.  The result depends on neither.
     """
     rows = own_columns(vectors, vec_id=id_col, v=vector_col).withColumn("v", F.col("v").cast("array<float>"))
-    length = F.size("v")
-    lengths = rows.where("v is not null").groupBy(length.alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    n = lengths[0].n if lengths else 0
     finite = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False)))
-    good = F.coalesce((length == n) & F.lit(n > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
+    good = F.coalesce((F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("good", good)
     # Equal vectors meet under their components, normalised so that both zeros agree; the cut fixes the nodes' numbers.
     good_rows = rows.where("good").select("vec_id", F.transform("v", lambda x: x + F.lit(0.0).cast("float")).alias("v"))
     nodes = cut(good_rows.groupBy("v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()))
-    chosen = nodes.orderBy(F.xxhash64("v"), "first").limit(n_pivots).select("v").collect()
+    by_hash = Window.partitionBy(F.size("v")).orderBy(F.xxhash64("v"), "first")
+    chosen = nodes.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= n_pivots).orderBy(F.size("v"), "rank").select("v").collect()
     if not chosen:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    pivots = np.unique(_unit(np.array([r.v for r in chosen], np.float64)), axis=0)
+    pivots, cells = {}, 0
+    for n in sorted({len(c.v) for c in chosen}):
+        own = _spread(_unit(np.array([c.v for c in chosen if len(c.v) == n], np.float64)))
+        pivots[n] = cells, own
+        cells += len(own)
     r = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     placed = nodes.select(F.col("node").alias("vec_id"), "copies", "v").mapInArrow(_place(pivots), "vec_id long, copies long, v array<float>, cell int, d double")
-    radii, shares = np.full(len(pivots), -np.inf), np.ones(len(pivots), np.int64)
+    radii, shares = np.full(cells, -np.inf), np.ones(cells, np.int64)
     size = 0
     for cell in placed.groupBy("cell").agg(F.max("d").alias("d"), F.count(F.lit(1)).alias("n")).collect():
         radii[cell.cell] = cell.d

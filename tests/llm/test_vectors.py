@@ -27,3 +27,16 @@ def test_against_all_pairs(spark):
 
 def test_empty(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_scaled_copies_and_lengths(spark):
+    """Parallel pivots lose no link, and vectors of every length are joined."""
+    rng = np.random.default_rng(7)
+    one = rng.normal(size=64).astype(np.float32)
+    x = [*(one * rng.uniform(0.2, 5, size=(270, 1)).astype(np.float32)), *rng.normal(size=(30, 64)).astype(np.float32)]
+    short = [[1.0, 2.0], [2.0, 4.0], [2.0, -1.0], [4.0, -2.0], [1.0, 2.0]]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, v) for i, v in enumerate(short)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect()}
+    assert [got[i] for i in range(270)] == [(269, 0)] * 270
+    assert [got[i] for i in range(270, 300)] == [(0, i) for i in range(270, 300)]
+    assert [got[1000 + i] for i in range(5)] == [(2, 1000), (2, 1000), (1, 1002), (1, 1002), (2, 1000)]
