@@ -23,10 +23,11 @@ _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.str
 #: Fixed values of HTML: elements without an end tag, elements that break a line, elements whose content is no text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option optgroup p pre search section select summary table tbody td tfoot th thead tr ul video audio canvas".split())
-RAW = "script|style|noscript|template|iframe|svg|math|object|textarea|title|noframes|xmp"
+RAW = "script|style|noscript|template|iframe|svg|textarea|title|noframes|xmp"
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "body": {"head"}}
 _SCOPE = frozenset("ul ol dl table select article section div main aside nav footer header form body html".split())
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?/][^>]*(?:>|\Z)|([^<]+)|<", re.S | re.I)
+# Only svg, not an element of HTML itself, can close itself in its start tag.
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?:(svg)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>|({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\2\s*>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?/][^>]*(?:>|\Z)|([^<]+)|<", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -108,7 +109,7 @@ def blocks(html: str) -> list[Block]:
                 out.append(now)
             now = None
 
-    for raw, slash, name, attributes, text in _TOKEN.findall(html):
+    for closed, raw, slash, name, attributes, text in _TOKEN.findall(html):
         if text:
             top = stack[-1]
             if top.hidden:
@@ -122,7 +123,7 @@ def blocks(html: str) -> list[Block]:
             if top.link:
                 now.linked += len(text)
             continue
-        if raw or not name:
+        if closed or raw or not name:
             continue
         name = name.lower()
         if slash:

@@ -107,3 +107,10 @@ def test_empty_pages(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert html.extract(none).count() == 0
     assert warc.round_trip(none).count() == 0
+
+
+def test_self_closed_and_embedded_elements():
+    article = "<article>%s</article>"
+    assert html.main_text(article % '<p>one <svg class="i"/> two</p><p>three</p>') == "one two\nthree"
+    assert html.main_text(article % "<p>one <svg/><math/> two</p><p>three <svg a='/'><text>no</text></svg> four</p>") == "one two\nthree four"
+    assert html.main_text(article % "<p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><object data=a><p>Shown instead.</p></object><p>End.</p>") == "If x=2 holds.\nShown instead.\nEnd."
