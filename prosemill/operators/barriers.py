@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
+from . import lexicon as L
 
 BARRIER = "array<struct<type:string,seq:int,match:string,severity:string>>"
 # Passive constructions (patterns with the participle in group 1).
@@ -25,6 +26,11 @@ PASSIVE = [
 # Verbs that hide another one behind "a", and suffixes of nouns made from verbs.
 HIDING = "make makes made making give gives gave given giving conduct conducts conducted conducting perform performs performed performing take takes took taken taking hold holds held holding provide provides provided providing undertake undertakes undertook undertaken undertaking".split()
 NOUN_SUFFIX = r"(?i)\b([a-zA-Z0-9_]+(?:tion|sion|ment|ance|ence|ity|ness|al|age|ure|sis|cy|dom)\b)"
+# Nouns that are no nominalizations, and ones that are verbs in the same form.
+PLAIN_NOUNS = "nation station vision television mention question section attention direction position condition information situation population education president student accident moment government department development agreement management environment city pity duty army navy body lady pretty busy noisy dirty thirsty mission passion fashion cushion equation relation foundation occasion invasion decision division".split()
+SAME_FORM = "attempt change check estimate increase look plan purchase repair report request review study survey visit".split()
+# The order in which the detectors report.
+STAGES = ["passive_voice", "complex_word", "nominalization", "jargon", "redundant_pair", "hidden_verb", "long_sentence"]
 SEVERITY = {"critical": 3, "warning": 2, "info": 1}
 PRIORITY = {"long_sentence": "high", "jargon": "high", "passive_voice": "consider", "complex_word": "consider", "nominalization": "consider", "hidden_verb": "consider", "redundant_pair": "info"}
 CONFIDENCE = {"long_sentence": "high", "hidden_verb": "uncertain"}
@@ -85,11 +91,66 @@ def redundant_pairs(text: Column) -> Column:
     return F.when(some, _found(found, "redundant_pair", _fixed("info"))).otherwise(F.array().cast(BARRIER))
 
 
-def detect(sentences: DataFrame) -> DataFrame:
-    """(doc_id, sentence, type, seq, match, severity, words) of every finding that needs no lookup table."""
+def _placed(rows: DataFrame) -> DataFrame:
+    stage = lookup(F.col("type"), {k: str(n) for n, k in enumerate(STAGES)}, "0").cast("long")
+    return rows.select("doc_id", "sentence", "words", (stage * (1 << 32) + F.col("seq")).alias("place"), "type", "match", "severity")
+
+
+def detect(sentences: DataFrame, glossary: DataFrame | None = None, terms: DataFrame | None = None, verbs: DataFrame | None = None, withdrawn: DataFrame | None = None) -> DataFrame:
+    """(doc_id, sentence, words, place, type, match, severity) of every finding.
+
+    Four detectors need no table.  ``glossary`` (word, plain; a word may be a phrase) and ``terms`` (word, domain) add
+    jargon, the glossary short complex words too; ``verbs`` (noun, verb) adds nominalizations and hidden verbs.  A word
+    of ``withdrawn`` (word) has no plain word, not by its stem either.  Words are in lower case.  The glossary's single
+    words reach the driver.
+    """
     rows = sentences.select("doc_id", "sentence", "text", T.words(F.col("text")).alias("w"))
     every = F.concat(passive(F.col("text")), complex_words(F.col("w")), redundant_pairs(F.col("text")), long_sentence(F.col("text"), F.col("w")))
-    return rows.select("doc_id", "sentence", F.size("w").cast("long").alias("words"), F.posexplode(every).alias("place", "b")).select("doc_id", "sentence", "words", "place", "b.type", "b.match", "b.severity")
+    size = F.size("w").cast("long").alias("words")
+    found = [_placed(rows.select("doc_id", "sentence", size, F.explode(every).alias("b")).select("doc_id", "sentence", "words", "b.*"))]
+    if glossary is not None or terms is not None:
+        found += _looked_up(rows.select("doc_id", "sentence", "text", size, "w"), glossary, terms, withdrawn)
+    if verbs is not None:
+        found += _verbal(rows.select("doc_id", "sentence", "text", size), verbs)
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
+def _looked_up(rows: DataFrame, glossary: DataFrame | None, terms: DataFrame | None, withdrawn: DataFrame | None) -> list[DataFrame]:
+    """Jargon, and the complex words that only a plain word makes worth reporting."""
+    spark = rows.sparkSession
+    glossary = (glossary if glossary is not None else spark.createDataFrame([], "word string, plain string")).select("word", "plain").dropDuplicates(["word"])
+    terms = (terms if terms is not None else spark.createDataFrame([], "word string, domain string")).select("word", "domain").dropDuplicates(["word"])
+    single = glossary.where(~F.contains("word", F.lit(" "))).join(terms, "word", "left_anti")
+    at = rows.select("doc_id", "sentence", "words", F.posexplode("w").alias("seq", "word"))
+    table = L.plain_words(at, single, terms, [r.word for r in single.select("word").where("word like '%e'").collect()])
+    if withdrawn is not None:
+        table = table.join(withdrawn.select("word", F.lit(True).alias("gone")), "word", "left").where("gone is null or domain is not null").drop("gone")
+    # Behind the phrases and the words found without a table.
+    hit = at.join(F.broadcast(table), "word").withColumn("seq", F.col("seq") + (1 << 20)).withColumn("match", F.col("word")).withColumn("severity", F.lit("info"))
+    n = F.length("word")
+    syllables = T.syllables(F.col("word"))
+    short = hit.where(F.col("plain").isNotNull() & ((syllables >= 3) | (n >= 7)) & (syllables < 4) & (n < 9))
+    phrases = glossary.where(F.contains("word", F.lit(" "))).select(F.col("word").alias("match"), F.size(F.split("word", " +")).alias("parts"))
+    in_text = rows.join(F.broadcast(phrases), F.contains(F.lower("text"), F.col("match"))).withColumn("seq", F.greatest(F.lit(0), 1000 - F.col("parts")))
+    in_text = in_text.withColumn("severity", F.when(F.col("parts") >= 3, "warning").otherwise("info"))
+    return [_placed(d.withColumn("type", F.lit(kind))) for d, kind in ((short, "complex_word"), (in_text, "jargon"), (hit, "jargon"))]
+
+
+def _verbal(rows: DataFrame, verbs: DataFrame) -> list[DataFrame]:
+    nouns = verbs.select("noun").distinct()
+    each = rows.select("doc_id", "sentence", "words", F.posexplode(F.regexp_extract_all("text", F.lit(NOUN_SUFFIX), F.lit(1))).alias("seq", "match")).withColumn("noun", F.lower("match"))
+    nominal = each.where(~F.col("noun").isin(PLAIN_NOUNS)).join(nouns, "noun")
+    same = rows.sparkSession.createDataFrame([(x,) for x in SAME_FORM], "noun string")
+    found = rows.select("doc_id", "sentence", "words", F.posexplode(_hidden()).alias("seq", "x")).select("doc_id", "sentence", "words", "seq", "x.*")
+    return [_placed(d.withColumn("type", F.lit(kind)).withColumn("severity", F.lit("info"))) for d, kind in ((nominal, "nominalization"), (found.join(nouns.union(same).distinct(), "noun"), "hidden_verb"))]
+
+
+def _hidden() -> Column:
+    pattern = r"(?i)\b(?:" + "|".join([*HIDING, r"(?:carry|carries|carried|carrying)\s+out"]) + r")\s+a\s+([a-zA-Z0-9_]+)\b"
+    return F.zip_with(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda w, n: F.struct(w.alias("match"), F.lower(n).alias("noun")))
 
 
 def nominalizations(sentences: DataFrame, verbs: DataFrame) -> DataFrame:
@@ -100,9 +161,7 @@ def nominalizations(sentences: DataFrame, verbs: DataFrame) -> DataFrame:
 
 def hidden_verbs(sentences: DataFrame, verbs: DataFrame) -> DataFrame:
     """"make a decision" where the noun has a reviewed verb."""
-    pattern = r"(?i)\b(?:" + "|".join([*HIDING, r"(?:carry|carries|carried|carrying)\s+out"]) + r")\s+a\s+([a-zA-Z0-9_]+)\b"
-    found = F.zip_with(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda w, n: F.struct(w.alias("match"), F.lower(n).alias("noun")))
-    each = sentences.select("doc_id", "sentence", F.inline(found))
+    each = sentences.select("doc_id", "sentence", F.inline(_hidden()))
     return each.join(verbs, "noun").select("doc_id", "sentence", F.lit("hidden_verb").alias("type"), "match", "verb", F.lit("info").alias("severity"))
 
 

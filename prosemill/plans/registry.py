@@ -163,6 +163,29 @@ def top_improvements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.top_improvements(_unique_barriers(spark, sf_dir)).withColumn("sentence", F.col("sentence").cast("long"))
 
 
+def _every_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the terms of art that are shipped; glossary and verbs are the caller's tables."""
+    terms = spark.createDataFrame(list(V.PROTECTED_TERMS.items()), "word string, domain string")
+    none = spark.createDataFrame([], "word string, plain string"), spark.createDataFrame([], "noun string, verb string")
+    return B.deduplicate(B.detect(B.sentence_rows(table(spark, sf_dir, "documents")), none[0], terms, none[1]))
+
+
+def every_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _every_barrier(spark, sf_dir).select("doc_id", F.col("sentence").cast("long").alias("sentence"), "type", "match", "severity", "words")
+
+
+def every_barrier_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.summary(table(spark, sf_dir, "documents"), _every_barrier(spark, sf_dir))
+
+
+def every_barrier_by_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.by_sentence(_every_barrier(spark, sf_dir)).withColumn("sentence", F.col("sentence").cast("long"))
+
+
+def every_improvement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.top_improvements(_every_barrier(spark, sf_dir)).withColumn("sentence", F.col("sentence").cast("long"))
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.sentences(table(spark, sf_dir, "documents"))
 
@@ -286,7 +309,7 @@ def verdict_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"readability": readability, "readability_by_band": readability_by_band, "word_measures": word_measures, "syllables": syllables}
-QUERIES |= {f.__name__: f for f in (style_metrics, block_metrics, sentence_diagnostics, block_diagnostics, profile_findings, profile_coverage, profile_targets, document_facts, fact_signature, fact_violations, fact_check, rule_matches, conflict_settlement, guarded_edits, revised_offsets, fix_budgets, verdicts, barriers, barrier_summary, barriers_by_sentence, top_improvements, sentences, paragraph_ranges, page_text, page_text_native, supported_formats, url_formats, json_reports, canonical_audit, protected_words, event_windows, stems, change_rows, style_proposals, approved_edits, style_guard, present, diagnose, placed_barriers, markdown_blocks, markdown_projection, plain_words, verdict_tokens)}
+QUERIES |= {f.__name__: f for f in (style_metrics, block_metrics, sentence_diagnostics, block_diagnostics, profile_findings, profile_coverage, profile_targets, document_facts, fact_signature, fact_violations, fact_check, rule_matches, conflict_settlement, guarded_edits, revised_offsets, fix_budgets, verdicts, barriers, barrier_summary, barriers_by_sentence, top_improvements, every_barrier, every_barrier_summary, every_barrier_by_sentence, every_improvement, sentences, paragraph_ranges, page_text, page_text_native, supported_formats, url_formats, json_reports, canonical_audit, protected_words, event_windows, stems, change_rows, style_proposals, approved_edits, style_guard, present, diagnose, placed_barriers, markdown_blocks, markdown_projection, plain_words, verdict_tokens)}
 
 
 def queries() -> dict[str, Query]:

@@ -129,3 +129,20 @@ def test_budget(spark):
     hits = spark.createDataFrame([(["a"] * 6 + ["b"] * 4,), (["b"],), (["a"],)], "h array<string>")
     got = [r.x for r in hits.select(edits.fix_budget(F.col("h"), F.lit("a"), F.lit(""), F.lit(0.6)).alias("x")).collect()]
     assert got == [1, 0, 1]
+
+
+def test_all_seven_detectors(spark):
+    text = "We made a request prior to the start. In the event that it ends, the implementation of the covenant was utilised. They conducted a decision review at a nation."
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    glossary = spark.createDataFrame([("prior to", "before"), ("in the event that", "if"), ("utilise", "use"), ("covenant", "promise"), ("review", "look"), ("reviewed", "seen")], "word string, plain string")
+    terms = spark.createDataFrame([("covenant", "legal")], "word string, domain string")
+    verbs = spark.createDataFrame([("decision", "decide"), ("implementation", "implement"), ("nation", "x")], "noun string, verb string")
+    found = barriers.deduplicate(barriers.detect(barriers.sentence_rows(docs), glossary, terms, verbs))
+    got = {(r.sentence, r.type, r.match.lower(), r.severity) for r in found.collect()}
+    assert {(0, "jargon", "prior to", "info"), (0, "hidden_verb", "made a request", "info"), (1, "jargon", "in the event that", "warning"), (2, "hidden_verb", "conducted a decision", "info"), (2, "jargon", "review", "info")} <= got
+    # Found by two detectors, reported once: the more severe, then the first.
+    assert {(1, "complex_word", "implementation", "warning"), (1, "jargon", "covenant", "info"), (1, "passive_voice", "was utilised", "warning"), (1, "complex_word", "utilised", "info")} <= got
+    assert not any(t == "nominalization" and m in ("decision", "nation") for _, t, m, _ in got)
+    total = barriers.summary(docs, found).where("doc_id = 1").first().total
+    assert total == len(got) == sum(r.issues for r in barriers.by_sentence(found).collect())
+    assert {"jargon"} <= {r.type for r in barriers.top_improvements(found).collect()}
