@@ -1,7 +1,8 @@
 """Verdicts on (before, after) pairs: ACCEPTED, REFUSED or INCONCLUSIVE, with reasons and a receipt.
 
 Facts decide first, by the firewall's joins.  Only pairs that it doesn't refuse are aligned, in an Arrow pass: both sides
-are brought to the automatic rules' wording and compared as tokens, facts being one token each.
+are brought to the automatic rules' wording and compared as tokens, facts being one token each.  The alignment of two
+texts that differ throughout takes a time that grows with the product of their lengths.
 """
 
 from __future__ import annotations
@@ -15,59 +16,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vocabulary as V
 from . import edits, facts
 
-VERSION = "1"
+VERSION = "2"
 _TOKEN = re.compile(r"\n\n|\w+(?:['’]\w+)*|[^\w\s]")
 _OUT = pa.schema([("pair_id", pa.int64()), ("terms_lost", pa.list_(pa.string())), ("regions", pa.list_(pa.struct([("before", pa.string()), ("after", pa.string())]))), ("rules", pa.list_(pa.string()))])
 _OUT_SQL = "pair_id long, terms_lost array<string>, regions array<struct<before:string,after:string>>, rules array<string>"
-#: Texts beyond this many tokens a side are aligned by blocks between lines that agree, so that no alignment is quadratic in a long text.
-_WIDE = 4000
+#: Tokens that end a sentence.
+_ENDS = frozenset([".", "!", "?", "\n\n"])
 
 
-def normalised(text: str, find: edits.Matcher) -> tuple[str, list[str]]:
-    """A text in the wording of the automatic rules, with the rules used; matches are taken from left to right."""
-    out, used, at = [], [], 0
+def normalised(text: str, find: edits.Matcher) -> tuple[str, list[str], list[tuple[int, int]]]:
+    """A text in the wording of the automatic rules, the rules used and where their replacements stand.
+
+    Matches are taken from left to right.
+    """
+    out, used, put, at, n = [], [], [], 0, 0
     for start, end, rule, _, _, replacement, refusal in find(text):
         if start >= at and not refusal:
             out += [text[at:start], replacement]
+            n += start - at + len(replacement)
+            put.append((n - len(replacement), n))
             used.append(rule)
             at = end
-    return "".join([*out, text[at:]]), used
+    return "".join([*out, text[at:]]), used, put
 
 
-def tokens(text: str, terms: re.Pattern) -> list[str]:
-    """Facts and protected phrases as one token each, other words in lower case, punctuation, paragraph breaks."""
+def tokens(text: str, terms: re.Pattern, put: list[tuple[int, int]]) -> list[tuple[str, str, bool]]:
+    """(key, surface, whether a rule put it) of facts and protected phrases as one token each, words, punctuation, breaks.
+
+    Keys of words are in lower case; those of protected words are terms.
+    """
     spans = [(s, e, f"\0{kind}:{norm}") for s, e, kind, _, norm in facts.extract(text)]
     covered = bytearray(len(text))
     for s, e, _ in spans:
         covered[s:e] = b"\1" * (e - s)
     spans += [(m.start(), m.end(), f"\1{m[0].lower()}") for m in terms.finditer(text) if covered.find(1, m.start(), m.end()) < 0]
+    replaced = bytearray(len(text))
+    for s, e in put:
+        replaced[s:e] = b"\1" * (e - s)
     out, at = [], 0
     for s, e, token in [*sorted(spans), (len(text), len(text), "")]:
-        out += [t.lower() for t in _TOKEN.findall(text[at:s])]
+        for m in _TOKEN.finditer(text, at, max(at, s)):
+            key = m[0].lower()
+            out.append(("\1" + key if key in V.PROTECTED_TERMS else key, m[0], replaced.find(1, m.start(), m.end()) >= 0))
         if token:
-            out.append(token)
+            out.append((token, text[s:e], replaced.find(1, s, e) >= 0))
         at = max(at, e)
     return out
 
 
-def _blocks(a: list[str], b: list[str]) -> Iterator[tuple[list[str], list[str]]]:
-    """Common ends cut off; what is left is aligned."""
+def _initial(keys: list[str], k: int) -> bool:
+    return k == 0 or keys[k - 1] in _ENDS
+
+
+def _regions(x: list[tuple[str, str, bool]], y: list[tuple[str, str, bool]]) -> Iterator[tuple[list[str], list[str]]]:
+    """What differs: common ends cut off, what is left aligned; and agreeing words whose capitals differ.
+
+    Capitals may differ in a replacement of a rule, in a fact, and where a word became or stopped being the first of its
+    sentence; a paragraph break may come or go between sentences.
+    """
+    a, b = [t[0] for t in x], [t[0] for t in y]
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
         lo += 1
     hi = 0
     while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
-    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    if not a and not b:
-        return
-    if max(len(a), len(b)) > _WIDE:
-        yield a, b
-        return
-    for tag, i, j, k, l in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if tag != "equal":
+    m, n = len(a) - hi, len(b) - hi
+    middle = difflib.SequenceMatcher(None, a[lo:m], b[lo:n], autojunk=False).get_opcodes()
+    for tag, i, j, k, l in [("equal", 0, lo, 0, lo), *((t, i + lo, j + lo, k + lo, l + lo) for t, i, j, k, l in middle), ("equal", m, len(a), n, len(b))]:
+        if tag == "equal":
+            for p, q in zip(range(i, j), range(k, l), strict=True):
+                if x[p][1] != y[q][1] and a[p][0] != "\0" and not (x[p][2] or y[q][2]) and _initial(a, p) == _initial(b, q):
+                    yield [x[p][1]], [y[q][1]]
+        elif not (set(a[i:j] + b[k:l]) == {"\n\n"} and _initial(a, i) and _initial(b, k)):
             yield a[i:j], b[k:l]
 
 
@@ -80,11 +104,11 @@ def compare(pairs: DataFrame, rules: list[edits.Rule] = edits.AUTOMATIC) -> Data
         for batch in it:
             lost, regions, used = [], [], []
             for before, after in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                (x, ux), (y, uy) = normalised(before or "", find), normalised(after or "", find)
-                a, b = tokens(x, terms), tokens(y, terms)
-                count = lambda ts: Counter(t[1:] for t in ts if t[0] == "\1")
+                (x, ux, px), (y, uy, py) = normalised(before or "", find), normalised(after or "", find)
+                a, b = tokens(x, terms, px), tokens(y, terms, py)
+                count = lambda ts: Counter(t[0][1:] for t in ts if t[0][0] == "\1")
                 lost.append(sorted(((count(a) - count(b)) + (count(b) - count(a))).elements()))
-                regions.append([{"before": " ".join(p).replace("\0", "").replace("\1", ""), "after": " ".join(q).replace("\0", "").replace("\1", "")} for p, q in _blocks(a, b)])
+                regions.append([{"before": " ".join(p).replace("\0", "").replace("\1", ""), "after": " ".join(q).replace("\0", "").replace("\1", "")} for p, q in _regions(a, b)])
                 used.append(sorted(((Counter(ux) - Counter(uy)) + (Counter(uy) - Counter(ux))).elements()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, _OUT.field(k).type) for k, v in enumerate((lost, regions, used), 1))], schema=_OUT)
 

@@ -146,3 +146,21 @@ def test_all_seven_detectors(spark):
     total = barriers.summary(docs, found).where("doc_id = 1").first().total
     assert total == len(got) == sum(r.issues for r in barriers.by_sentence(found).collect())
     assert {"jargon"} <= {r.type for r in barriers.top_improvements(found).collect()}
+
+
+def test_verify_capitals_terms_breaks(spark):
+    words = [f"w{k}x" for k in range(4500)]
+    cases = [
+        ("We like Polish food.", "We like polish food.", "INCONCLUSIVE"),
+        ("Polish it.", "polish it.", "INCONCLUSIVE"),
+        ("It rains. We stay.", "It rains.\n\nWe stay.", "ACCEPTED"),
+        ("It rains and we stay.", "It rains\n\nand we stay.", "INCONCLUSIVE"),
+        ("A chronic illness is bad.", "A lasting illness is bad.", "REFUSED"),
+        ("Utilise it.", "Use it.", "ACCEPTED"),
+        (" ".join(["alpha", *words, "beta"]), " ".join(["gamma", *words, "delta"]), "INCONCLUSIVE"),
+    ]
+    rows = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(cases)], "pair_id long, before string, after string")
+    got = {r.pair_id: r for r in verify.verify(rows).collect()}
+    assert [got[k].verdict for k in range(len(cases))] == [v for _, _, v in cases]
+    assert (got[0].regions[0].before, got[0].regions[0].after) == ("Polish", "polish") and got[4].reasons == "terms:chronic"
+    assert [(r.before, r.after) for r in got[6].regions] == [("alpha", "gamma"), ("beta", "delta")]
