@@ -89,19 +89,25 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     planned.mapInArrow(_lines, "value string").write.option("maxRecordsPerFile", records_per_file).option("compression", "gzip").mode("errorifexists").text(path)
 
 
-#: No header is longer; a magic without the end of a header within so many bytes starts no record.
-_HEADER = 1 << 20
 _LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*(\d+)[ \t]*(?=\r\n|$)", re.I)
 _FIELD = re.compile(rb"\r\n([!-9;-~]+):[ \t]*([^\r\n]*)")
 
 
 def candidates(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, start of the block, successor) of every place with a magic; successor -1 if no record can stand there."""
+    """(start, start of the block, successor) of every place with a magic; successor -1 if no record can stand there.
+
+    A header may be of any length.  Its end and its length field are those of the place before where they still lie
+    ahead, so that nothing is searched twice.
+    """
     starts, blocks, nexts = [], [], []
+    head, length = 0, None
     at = data.find(MAGIC)
     while at >= 0:
-        head = data.find(b"\r\n\r\n", at, at + _HEADER)
-        length = _LENGTH.search(data, at, head) if head >= 0 else None
+        new = 0 <= head < at or not starts
+        if new:
+            head = data.find(b"\r\n\r\n", at)
+        if new or (length and length.start() < at):
+            length = _LENGTH.search(data, at, head) if head >= 0 else None
         end = head + 4 + int(length[1]) if length else -1
         starts.append(at)
         blocks.append(head + 4)

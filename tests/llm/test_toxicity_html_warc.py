@@ -114,3 +114,10 @@ def test_self_closed_and_embedded_elements():
     assert html.main_text(article % '<p>one <svg class="i"/> two</p><p>three</p>') == "one two\nthree"
     assert html.main_text(article % "<p>one <svg/><math/> two</p><p>three <svg a='/'><text>no</text></svg> four</p>") == "one two\nthree four"
     assert html.main_text(article % "<p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><object data=a><p>Shown instead.</p></object><p>End.</p>") == "If x=2 holds.\nShown instead.\nEnd."
+
+
+def test_header_of_any_length():
+    urls = ["http://a/", "http://b/" + "é" * 180_000, "http://c/"]
+    one = [warc.record(k, u, b"abc WARC/1. WARC/1.", "D", None, False) for k, u in enumerate(urls)]
+    assert len(one[1]) > 1 << 20
+    assert [r[1] for r in warc.parse(b"".join(one))] == [0, 1, 2]
