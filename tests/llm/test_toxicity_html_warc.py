@@ -1,4 +1,6 @@
 import random
+import time
+from collections import Counter
 
 import pytest
 
@@ -63,21 +65,66 @@ def test_main_text():
 
 def test_minimum_cut_against_all_labellings():
     r = random.Random(2)
-    for _ in range(200):
-        n = r.randint(1, 8)
+    for _ in range(400):
+        n = r.randint(1, 9)
         costs = [r.uniform(-2, 2) for _ in range(n)]
-        ties = [r.uniform(0, 2) for _ in range(n - 1)]
+        ties = {(j - 1, j): r.uniform(0, 2) for j in range(1, n)}
+        for j in range(2, n):
+            ties[r.randrange(j - 1), j] = r.uniform(0, 1)
 
         def energy(labels, costs=costs, ties=ties):
-            return sum(max(0, c) if not x else max(0, -c) for c, x in zip(costs, labels, strict=True)) + sum(t for t, a, b in zip(ties, labels, labels[1:], strict=False) if a != b)
+            return sum(max(0, c) if not x else max(0, -c) for c, x in zip(costs, labels, strict=True)) + sum(t for (i, j), t in ties.items() if labels[i] != labels[j])
 
         best = min(energy([bool(m >> k & 1) for k in range(n)]) for m in range(1 << n))
         assert abs(energy(html.minimum_cut(costs, ties)) - best) < 1e-9
 
 
+def test_pages_cut_off_or_strange_take_linear_time():
+    began = time.perf_counter()
+    assert html.main_text("<p>Kept text, long enough.</p><img " + " ".join(f'a{k}="v"' for k in range(10_000))) == "Kept text, long enough."
+    for odd in ("<a " * 100_000, '<p a="' * 50_000, "='" * 200_000, '"' * 1_000_000, "<!--" * 100_000, "<" * 100_000, "</b>" * 50_000, "<div>" * 2000 + "x"):
+        html.main_text("<article>" + odd)
+    assert len(html.main_text("<article>" + "<p>One more line.</p>" * 20_000 + "</article>")) == 20_000 * 15 - 1
+    assert time.perf_counter() - began < 20
+
+
+def test_what_is_text():
+    assert html.main_text("<article><p>a < b &lt;c&gt; and 3<4.</p><p hidden>Still text.</p><p style='display:none' aria-hidden=true>This too.</p></article>") == "a < b <c> and 3<4.\nStill text.\nThis too."
+    assert html.main_text('<article><p title="a > b">One.</p><p a=\'"\'>Two.</p><p a="x>Three.</p></article>') == "One.\nTwo.\nThree."
+
+
+def _labelled_pages():
+    """Pages of several habits, (html, main text)."""
+    a = ["The council met on Tuesday to talk about the new bridge, and most members were in favour of it.", "Work will start in spring. It should be done before the first frost of the year arrives.", "Local shops, some of them closed since March, hope that visitors come back."]
+    b = ["How to bake bread", "Mix flour, water and salt in a bowl and leave it alone for an hour.", "Fold the dough twice.", "Flour: 500 g", "Water: 350 g", "Bake it for forty minutes until the crust sounds hollow."]
+    p = lambda xs: "".join(f"<p>{x}</p>" for x in xs)
+    nav = "<nav><ul>" + "".join(f"<li><a href=/{k}>{k}</a></li>" for k in ("Home", "News", "Sport", "Contact")) + "</ul></nav>"
+    foot = "<footer><p>Copyright 2020 by the publisher. All rights reserved.</p></footer>"
+    links = "<ul>" + "".join(f'<li><a href="/{k}">{k} stories of the week</a></li>' for k in ("Ten", "Nine", "Eight")) + "</ul>"
+    yield f"<html><body>{nav}<article><h1>Bridge</h1>{p(a)}</article><aside><h2>Read on</h2>{links}</aside>{foot}</body></html>", ["Bridge", *a]
+    yield f'<body><div id="header">The Daily Paper</div><div class="menu">{links}</div><div id="content"><h1>Bridge</h1>{p(a)}</div><div id="footer">Imprint</div></body>', ["Bridge", *a]
+    yield f'<body>{nav}<div class="search-results content">{p(a)}</div>{foot}</body>', a
+    yield f'<body><div class="post-share-content">{p(a)}</div><div class="share"><a href=#>Share this</a></div>{foot}</body>', a
+    yield f'<body>{nav}<main><h2>{b[0]}</h2><p>{b[1]}</p><p>{b[2]}</p><ul><li>{b[3]}</li><li>{b[4]}</li></ul><p>{b[5]}</p></main><form><label>Mail</label><button>Send it now</button></form>{foot}', b
+    yield f'<body><div class="cookie-banner"><p>We use cookies to make this site better for all of our readers.</p></div><div><div>{p(a)}</div></div><section id="comments"><h3>Comments</h3><p>I liked this story a lot, thanks for writing it!</p></section>', a
+    yield f"<table><tr><td>{nav}</td><td>{p(a)}</td></tr></table>", a
+    yield f'<body><p>{a[0]}</p><div class="ad">Buy two lamps and get a third one for half of the price today.</div><p>{a[1]}</p><p>{a[2]}</p>{links}', a
+    yield f'<main><article><header><h1>Bridge</h1></header>{p(a)}<blockquote>It was never easy.</blockquote><footer>Share, print</footer></article><section class="related">{links}<p>More stories that you may like to read today.</p></section></main>', ["Bridge", *a, "It was never easy."]
+    yield f'<body><div class="newsletter-signup"><p>Get our best stories every week, straight to your inbox.</p></div><div role="main">{p(a)}<pre>x = 1</pre></div>', [*a, "x = 1"]
+
+
+def test_precision_and_recall_of_labelled_pages():
+    kept = right = there = 0
+    for page, want in _labelled_pages():
+        got, words = Counter(html.main_text(page).split()), Counter(" ".join(want).split())
+        kept, there, right = kept + got.total(), there + words.total(), right + (got & words).total()
+    assert right / kept >= 0.9 and right / there >= 0.9, (right / kept, right / there)
+
+
 def test_extract(spark):
     rows = [(1, "u", PAGE), (2, None, None), (None, "v", "<p>A plain page without any article around it, but long.</p>"), (1, "u", PAGE)]
-    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "'x' AS n_chars", "0 AS id")
+    got = html.extract(pages).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 53), (1, 34), (1, 34), (2, 0)]
 
 
@@ -112,7 +159,7 @@ def test_empty_pages(spark):
 def test_self_closed_and_embedded_elements():
     article = "<article>%s</article>"
     assert html.main_text(article % '<p>one <svg class="i"/> two</p><p>three</p>') == "one two\nthree"
-    assert html.main_text(article % "<p>one <svg/><math/> two</p><p>three <svg a='/'><text>no</text></svg> four</p>") == "one two\nthree four"
+    assert html.main_text(article % "<p>one <svg/><math/> two</p><p>three <svg a='/'><text>x1</text></svg> four</p>") == "one two\nthree x1 four"
     assert html.main_text(article % "<p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><object data=a><p>Shown instead.</p></object><p>End.</p>") == "If x=2 holds.\nShown instead.\nEnd."
 
 
