@@ -1,139 +1,92 @@
-"""Substring dedup of words through a sparse De Bruijn graph.
-
-Token k-mers (k = 20) are the graph's edges.  Around every sampled anchor the up to 11 edges that run through it form a
-path of 30 tokens; where all occurrences of the anchor continue alike, the path doesn't branch and is compacted to one
-row, its name.  Equal paths are joined with their first source coordinate (document, position), which settles all their
-edges at once.  Only at branching nodes, where occurrences of an anchor part, are single edges listed and joined with
-their first coordinate.  Edges of a document that follow each other at one distance from their sources are compacted to
-long spans; each span is verified against the words at its source coordinate, by a join with that document.
+"""Substring dedup of words by compaction of a De Bruijn graph.
+
+Token k-mers (k = 20) are the graph's edges, runs of 19 tokens its nodes.  A walk of k-mers that have the same anchor is
+one edge already when a task sends it (a run, at most eleven k-mers); runs and, where runs are only partly equal, single
+k-mers that occur more than once make the graph.  An edge's name is its first coordinate: document, position, length.
+
+``compacted`` joins the arcs between edges that follow each other in any document with the edges' names, counts in and
+out degrees, and joins the two: an arc stays where its tail has no other way out and its head no other way in, and where
+head follows tail at the source too.  Edges along such arcs are one chain, a repeated nonbranching path.  Occurrences are
+joined with the chains of their edges; those of a document that follow each other along a chain make one long span,
+which is verified against the words at its source coordinate before it is removed.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches, slices
-from .repeats import _LOWEST, SETTLED, WINDOW, Rule, covered, keyed, unpacked, with_hits, with_rest
-from .suffixes import joined_hits
+from .repeats import HITS_SQL, LOWEST, SETTLED, WINDOW, Rule, is_first, keyed, kind_of, position_of, removed, unpacked, verified, windows_of, with_hits, with_rest
 
 WINDOW_WORDS, GRAM_WORDS = 20, 10
-_SPAN = pa.struct([("id", pa.int64()), ("ord", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("at", pa.int64()), ("digest", pa.binary())])
-_CLAIM = pa.schema([("sid", pa.int64()), ("sord", pa.int32()), ("claims", pa.list_(_SPAN))])
-_CLAIM_SQL = "sid long, sord int, claims array<struct<id:long,ord:int,start:long,end:long,at:long,digest:binary>>"
-_REFUTED = pa.schema([("id", pa.int64()), ("ord", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("sid", pa.int64()), ("sord", pa.int32()), ("at", pa.int64())])
-_REFUTED_SQL = "id long, ord int, start long, end long, sid long, sord int, at long"
-#: Claims that a task gathers before it sends them, one row for each source.
-_GATHERED = 20_000
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.string())])
+#: A place in a document: position * 2**13 + number of k-mers * 2 + whether it is a listed single one.
+_PLACE = 13
 
 
-def spans(found: list[dict], n: int, rule: Rule) -> list[tuple[int, int, int, int, int]]:
-    """(start, end, source id, source ord, source start) of the compacted hits of a document with n words."""
-    hits = []
-    for h in found:
-        at, before = h["v"] >> 3, rule.context if h["v"] & 7 == SETTLED else 0
-        start = max(at - before, 0)
-        hits.append((h["sid"], h["sord"], at - h["spos"], start, min(at + rule.window, n)))
-    out: list[list[int]] = []
-    shift = None
-    for sid, sord, by, start, end in sorted(hits):
-        if out and shift == (sid, sord, by) and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([start, end, sid, sord, start - by])
-            shift = (sid, sord, by)
-    return [tuple(x) for x in out]
-
-
-def _digest(words: list[bytes]) -> bytes:
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-
-
-def _claims(rule: Rule) -> Callable:
-    """Spans with a digest of their own words, gathered by the document whose words they should equal.
-
-    A source's text then meets one row for each task and not one for each span.
-    """
-
+def _cut_out(rule: Rule, untouched: bool) -> Callable:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered: dict[tuple[int, int], list[dict]] = {}
-        n = 0
-
-        def flush() -> pa.RecordBatch:
-            return batches({"sid": [k[0] for k in gathered], "sord": [k[1] for k in gathered], "claims": list(gathered.values())}, _CLAIM)
-
         for batch in slices(it):
-            for i, o, packed, found in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
-                if not found:
-                    continue
-                words = unpacked(pa.array([packed], pa.binary()))[0].split()
-                for a, b, sid, sord, at in spans(found, len(words), rule):
-                    gathered.setdefault((sid, sord), []).append({"id": i, "ord": o, "start": a, "end": b, "at": at, "digest": _digest(words[a:b])})
-                    n += 1
-            if n >= _GATHERED:
-                yield flush()
-                gathered, n = {}, 0
-        if n:
-            yield flush()
+            n_words, n_removed, spans, kept = [], [], [], []
+            for k, text in enumerate(unpacked(batch.column(2))):
+                words = text.split()
+                gone = removed(batch, k, len(words), rule)
+                n_words.append(len(words))
+                n_removed.append(0 if gone is None else int(gone.sum()))
+                edges = [] if gone is None else np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).tolist()
+                spans.append(edges)
+                stay = [0, *edges, len(words)]
+                kept.append(text if untouched and gone is None else b" ".join([w for a, b in zip(stay[::2], stay[1::2], strict=True) for w in words[a:b]]))
+            text = pa.array(kept, pa.binary()).cast(pa.string())
+            own = batches({"doc_id": batch.column(0), "n_words": n_words, "n_removed": n_removed, "spans": spans, "kept": text}, _OUT)
+            yield pa.RecordBatch.from_arrays([*own.columns, batch.column(3)], names=[*_OUT.names, "rest"])
 
     return run
 
 
-def _refuted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Claims whose words differ from those at their source; columns sid, sord, claims and the source's packed text."""
-    for batch in slices(it, 50):
-        rows = []
-        for sid, sord, claims, packed in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
-            words = unpacked(pa.array([packed], pa.binary()))[0].split()
-            for c in claims:
-                if _digest(words[c["at"] : c["at"] + c["end"] - c["start"]]) != c["digest"]:
-                    rows.append((c["id"], c["ord"], c["start"], c["end"], sid, sord, c["at"]))
-        if rows:
-            yield batches(dict(zip(_REFUTED.names, zip(*rows, strict=True), strict=True)), _REFUTED)
+def places(hits: DataFrame) -> DataFrame:
+    """(id, ord, p, v, first, src) of every place with a repeated edge, from rows with id, ord, hits and more.
 
+    first: others name this place as their source; src: the earlier equal place (id, ord, p), null for the first of all.
+    """
+    none = F.array().cast(HITS_SQL)
+    both = F.concat(F.coalesce("hits", none), F.coalesce("more", none))
+    h = hits.select("id", "ord", F.inline(F.filter(both, lambda h: kind_of(h["v"]).isin(SETTLED, WINDOW))))
+    place = lambda pos: F.shiftleft(pos, _PLACE) + F.shiftleft(windows_of(F.col("v")), 1) + (kind_of(F.col("v")) == WINDOW).cast("long")
+    src = F.struct(F.col("sid").alias("id"), F.col("sord").alias("ord"), place(F.col("spos")).alias("p"))
+    rows = h.select("id", "ord", place(position_of(F.col("v"))).alias("p"), "v", is_first(F.col("v")).alias("first"), src.alias("src"))
+    return rows.groupBy("id", "ord", "p").agg(F.min("v").alias("v"), F.max("first").alias("first"), F.min(F.when(~F.col("first"), F.col("src"))).alias("src"))
 
-def _standing(found: list[dict] | None, bad: list[dict] | None, n: int, rule: Rule) -> np.ndarray:
-    """Hits (as positions and kinds) outside every refuted span."""
-    wrong = {(b["start"], b["end"], b["sid"], b["sord"], b["at"]) for b in bad or []}
-    good = []
-    for h in found or []:
-        own = spans([h], n, rule)[0]
-        if not any(own[2:4] == w[2:4] and own[0] - own[4] == w[0] - w[4] and w[0] <= own[0] and own[1] <= w[1] for w in wrong):
-            good.append(h["v"])
-    return np.array(good, np.int64)
 
+def compacted(at: DataFrame) -> DataFrame:
+    """(name, chain): for every place that others name as their source, the chain of its edge.
 
-def _cut_out(rule: Rule, untouched: bool) -> Callable:
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(it):
-            n_words, n_removed, spans_, kept = [], [], [], []
-            for k, (text, hits) in enumerate(zip(unpacked(batch.column(2)), joined_hits(batch), strict=True)):
-                words = text.split()
-                n_words.append(len(words))
-                if batch.column(7)[k].is_valid:
-                    hits = _standing(batch.column(6)[k].as_py(), batch.column(7)[k].as_py(), len(words), rule)
-                if not len(hits):
-                    n_removed.append(0)
-                    spans_.append([])
-                    kept.append(text if untouched else b" ".join(words))
-                    continue
-                gone = covered(hits, len(words), rule)
-                n_removed.append(int(gone.sum()))
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                spans_.append(edges)
-                stay = np.concatenate([[0], edges, [len(words)]]).reshape(-1, 2).tolist()
-                kept.append(b" ".join([w for a, b in stay for w in words[a:b]]))
-            text = pa.array(kept, pa.binary()).cast(pa.string())
-            own = batches({"doc_id": batch.column(0), "n_words": n_words, "n_removed": n_removed, "spans": spans_, "kept": text}, _OUT)
-            yield pa.RecordBatch.from_arrays([*own.columns, batch.column(3)], names=[*_OUT.names, "rest"])
-
-    return run
+    ``at`` is the result of ``places``.  A chain is named after the place of its first edge at the source.
+    """
+    own = F.struct("id", "ord", "p")
+    edges = at.where("first").select(own.alias("name"), F.coalesce("src", own).alias("edge"))
+    in_order = Window.partitionBy("id", "ord").orderBy("p")
+    end = F.shiftright("p", _PLACE) + F.shiftright(F.col("p").bitwiseAND(F.lit((1 << _PLACE) - 1)), 1)
+    walk = at.select("id", "ord", "p", F.coalesce("src", own).alias("b"))
+    walk = walk.withColumn("a", F.lag("b").over(in_order)).withColumn("end", F.lag(end).over(in_order))
+    arcs = walk.where(F.col("end") == F.shiftright("p", _PLACE)).select("a", "b").distinct()
+    for side in ("a", "b"):
+        names = edges.select(F.col("name").alias(side), F.col("edge").alias("to"))
+        arcs = arcs.join(names, side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
+    out = arcs.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("other")).where("b = other").select("a", "b")
+    into = arcs.groupBy("b").agg(F.min("a").alias("a"), F.max("a").alias("other")).where("a = other").select("a", "b")
+    follows = (F.col("a.id") == F.col("b.id")) & (F.col("a.ord") == F.col("b.ord")) & (F.shiftright("b.p", _PLACE) == F.shiftright("a.p", _PLACE) + F.shiftright(F.col("a.p").bitwiseAND(F.lit((1 << _PLACE) - 1)), 1))
+    single = F.col("p").bitwiseAND(F.lit(1))
+    linked = out.join(into, ["a", "b"]).where(follows & (F.col("a.p").bitwiseAND(F.lit(1)) == F.col("b.p").bitwiseAND(F.lit(1)))).select(F.col("b").alias("edge"), F.lit(True).alias("linked"))
+    distinct = edges.where(F.col("name") == F.col("edge")).select("edge").join(linked, "edge", "left").select("edge", "edge.*", "linked")
+    along = Window.partitionBy("id", "ord", single).orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    chains = distinct.select("edge", F.last(F.when(F.col("linked").isNull(), F.col("p")), ignorenulls=True).over(along).alias("chain"))
+    return edges.join(chains, "edge").select("name", "chain")
 
 
 def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_WORDS, gram: int = GRAM_WORDS, carry: Sequence[str] = (), untouched: bool = False) -> DataFrame:
@@ -148,17 +101,13 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     of their texts.  One document's names are held in the memory of one task; any number of documents may share a
     passage.
     """
-    rule = Rule("words", window, gram, within=True)
-    rows, packed = with_hits(keyed(docs, id_col, text_col, carry), rule, sources=True)
-    none = F.array().cast("array<struct<v:bigint,sid:bigint,sord:int,spos:bigint>>")
-    settled = F.filter(F.concat(F.coalesce("hits", none), F.coalesce("more", none)), lambda h: h["v"].bitwiseAND(F.lit(7)).isin(SETTLED, WINDOW))
-    claims = rows.select("id", "ord", "text", settled.alias("found"), "rest").mapInArrow(_claims(rule), _CLAIM_SQL)
-    at_source = claims.join(packed, (F.col("sid") == F.col("id")) & (F.col("sord") == F.col("ord")))
-    refuted = at_source.select("sid", "sord", "claims", "text", "rest").mapInArrow(_refuted, _REFUTED_SQL)
-    bad = refuted.groupBy("id", "ord").agg(F.collect_list(F.struct("start", "end", "sid", "sord", "at")).alias("bad"))
-    rows = rows.join(bad, ["id", "ord"], "left")
-    values = lambda c: F.transform(c, lambda h: h["v"])
-    rows = rows.select("id", "ord", "text", "rest", values("hits").alias("hits"), values("more").alias("more"), F.when(F.col("bad").isNotNull(), settled).alias("found"), "bad")
-    out = rows.mapInArrow(_cut_out(rule, untouched), with_rest("doc_id long, n_words long, n_removed long, spans array<long>, kept string", rows))
-    out = out.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(_LOWEST), F.col("doc_id")))
+    rule = Rule("words", window, gram, within=True, runs=True)
+    _, packed, bare = with_hits(keyed(docs, id_col, text_col, carry), rule)
+    at = places(bare)
+    occurrences = at.where(F.col("src").isNotNull()).withColumnRenamed("src", "name").join(compacted(at), "name", "left")
+    hit = F.struct("v", F.col("name.id").alias("sid"), F.col("name.ord").alias("sord"), F.shiftright("name.p", _PLACE).alias("spos"), F.coalesce("chain", "name.p").alias("chain"))
+    by_doc = occurrences.select("id", "ord", hit.alias("hit")).groupBy("id", "ord").agg(F.collect_list("hit").alias("hits"))
+    rows = packed.join(by_doc, ["id", "ord"], "left").select("id", "ord", "text", "rest", "hits")
+    out = verified(rows, packed, rule).mapInArrow(_cut_out(rule, untouched), with_rest("doc_id long, n_words long, n_removed long, spans array<long>, kept string", packed))
+    out = out.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(LOWEST), F.col("doc_id")))
     return out.select(*_OUT.names, *([f"rest.`{c}`" for c in carry]))

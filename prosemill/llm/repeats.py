@@ -1,22 +1,25 @@
 """Shared engine of the two operators that remove repeated passages.
 
 Both ask, for every window of L consecutive units (bytes or words) of a document, whether an equal window starts
-earlier.  Listing every window would shuffle many times the input, so only sampled anchors travel:
+earlier.  Listing every window of a corpus would shuffle many times the input, so the search goes from few rows to many:
 
-1. *Anchors.*  Every window contains an anchor: the smallest q-unit name in it.  A task names all q-grams of its
-   documents, keeps the anchors, and sends for each the name of its q-gram (the initial bucket), the name of its full
-   context of 2L - q units, two short names of half contexts and its coordinate.
-2. *Contexts.*  Anchors with equal full contexts agree in all windows around them, so all but the first are settled at
-   once.  Any window holds the left or the right half of the context, so of the others only anchors that share a half
-   context with another one of their bucket stay open, to that side.
-3. *Windows.*  The windows that hold a shared half are named and compared one by one; all but the first are settled.
+1. *Anchors.*  Every window is represented by an anchor: the smallest q-unit name in it.  A task names all q-grams of its
+   documents and sends for every anchor one row: the name of its q-gram (the initial bucket), the name of the path of
+   windows around it, two short names of half contexts and its coordinate.
+2. *Paths.*  Equal paths hold equal windows, so all but the first are settled at once.  Any window of a path holds the
+   left or the right half context of its anchor, so of the others only paths that share a half with another one of their
+   bucket stay open, to that side.
+3. *Windows.*  The windows of open paths are compared one by one; all but the first are settled.
 
 Equal rows of a task are reduced to the first before they are sent, so a key sends at most one row per task however
-many documents hold it.  A document's result is the union of its settled windows.
+many documents hold it.  What is settled are hits, each with the coordinate of an earlier equal; names only propose
+them.  Hits that follow each other at one distance from their source make long spans; a span's units are compared with
+those at its source, in the document itself, before anything is removed.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -24,51 +27,94 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import batches, give_back, parts, slices, text_bytes
-from .rolling import U64, anchors, bounds, byte_names, doubled, mix, word_names
+from .rolling import U64, bounds, byte_names, doubled, least, mix, word_names
 
-#: A hit is position * 8 + kind; an open anchor is LEFT, RIGHT or both.
-SETTLED, LEFT, RIGHT, WINDOW = 0, 1, 2, 4
+#: Kinds of hits: settled paths, paths open to a side, settled windows; FIRST: the first equal of settled ones.
+SETTLED, LEFT, RIGHT, WINDOW, FIRST = 0, 1, 2, 4, 1 << 27
+#: A hit's number: position, FIRST, place of the anchor in its path, windows in the path, kind.
+_AT, _OFF, _N = 28, 15, 3
+_FIELD = (1 << 12) - 1
 #: Units named at once, and rows kept before they are sent; neither changes a result.
 _PIECE, _FLUSH = 1 << 18, 1 << 19
-_BLOB = pa.schema([("bucket", pa.int64()), ("blob", pa.binary()), ("id", pa.int64()), ("ord", pa.int32()), ("v", pa.int64()), ("sid", pa.int64()), ("sord", pa.int32()), ("spos", pa.int64())])
+_BLOB = pa.schema([("bucket", pa.int64()), ("blob", pa.binary()), ("id", pa.int64()), ("ord", pa.int64()), ("v", pa.int64()), ("sid", pa.int64()), ("sord", pa.int64()), ("spos", pa.int64())])
 _HIT = pa.schema(list(_BLOB)[2:])
-_HIT_SQL = "id long, ord int, v long, sid long, sord int, spos long"
-_LOWEST = -(1 << 63)
+_HIT_SQL = "id long, ord long, v long, sid long, sord long, spos long"
+HITS_SQL = "array<struct<v:bigint,sid:bigint,sord:bigint,spos:bigint>>"
+LOWEST = -(1 << 63)
+_SPAN = pa.struct([("id", pa.int64()), ("ord", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("at", pa.int64()), ("digest", pa.binary())])
+_CLAIM = pa.schema([("sid", pa.int64()), ("sord", pa.int64()), ("claims", pa.list_(_SPAN))])
+_CLAIM_SQL = "sid long, sord long, claims array<struct<id:long,ord:long,start:long,end:long,at:long,digest:binary>>"
+_REFUTED = pa.schema([("id", pa.int64()), ("ord", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+_REFUTED_SQL = "id long, ord long, start long, end long"
+#: Claims that a task gathers before it sends them, one row for each source.
+_GATHERED = 5_000
 
 
 @dataclass(frozen=True)
 class Rule:
-    """unit: bytes or words.  window, gram: lengths in units.  within: an earlier start in the same document counts."""
+    """unit: bytes or words.  window, gram: lengths in units.  within: an earlier start in the same document counts.
+
+    runs: an anchor's path is the run of windows whose anchor it is, so that paths follow each other without overlap;
+    else it is every window that holds the anchor.
+    """
 
     unit: str
     window: int
     gram: int
     within: bool
+    runs: bool = False
+
+    def __post_init__(self) -> None:
+        if not 0 < self.gram <= self.window <= _FIELD:
+            raise ValueError(f"0 < gram <= window <= {_FIELD}")
 
     @property
     def context(self) -> int:
         return self.window - self.gram
 
+    def units(self, text: bytes) -> Sequence:
+        return text.split() if self.unit == "words" else text
+
+    def digest(self, units: Sequence) -> bytes:
+        return hashlib.blake2b(b" ".join(units) if self.unit == "words" else units, digest_size=16).digest()
+
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
     """(id, ord, text, rest) with the columns to carry in the struct rest.
 
-    A null id counts as the smallest; rows that share an id are numbered by their text.
+    A null id counts as the smallest.  Where ids repeat, ord is a hash of the text, so that rows of one id are told apart
+    without a task that sees them all.
     """
     rest = F.struct(*[docs[f"`{c}`"].alias(c) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
-    rows = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"), rest.alias("rest")).withColumn("id", F.coalesce(F.col("id").cast("long"), F.lit(_LOWEST)))
-    twice = rows.groupBy("id").count().where("count > 1")
-    if twice.isEmpty():
-        return rows.select("id", F.lit(0).alias("ord"), "text", "rest")
-    texts = rows.join(twice.select("id"), "id", "left_semi").select("id", "text").distinct()
-    numbered = texts.groupBy("id").agg(F.array_sort(F.collect_list(F.sha2(F.coalesce("text", F.lit("")), 256))).alias("all"))
-    place = F.coalesce(F.array_position("all", F.sha2(F.coalesce("text", F.lit("")), 256)).cast("int"), F.lit(0))
-    return rows.join(numbered, "id", "left").select("id", place.alias("ord"), "text", "rest")
+    rows = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"), rest.alias("rest")).withColumn("id", F.coalesce(F.col("id").cast("long"), F.lit(LOWEST)))
+    unique = rows.groupBy("id").count().where("count > 1").isEmpty()
+    place = F.lit(0).cast("long") if unique else F.xxhash64(F.coalesce("text", F.lit("")))
+    return rows.select("id", place.alias("ord"), "text", "rest")
+
+
+def kind_of(v: Column) -> Column:
+    return v.bitwiseAND(F.lit(7))
+
+
+def windows_of(v: Column) -> Column:
+    return F.shiftright(v, _N).bitwiseAND(F.lit(_FIELD))
+
+
+def position_of(v: Column) -> Column:
+    return F.shiftright(v, _AT)
+
+
+def is_first(v: Column) -> Column:
+    return v.bitwiseAND(F.lit(FIRST)) != 0
+
+
+def number(pos: np.ndarray, n: np.ndarray, off: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
+    return (pos.astype(np.int64) << _AT) | (off.astype(np.int64) << _OFF) | (n.astype(np.int64) << _N) | kind
 
 
 class Named:
@@ -91,9 +137,9 @@ class Named:
             self.levels[2 * n] = doubled(self.levels[n], n)
             n *= 2
 
-    def ranges(self, s: np.ndarray, e: np.ndarray, least: int) -> np.ndarray:
-        """Names of [s, e), all at least ``least`` and at most three times the largest doubled length below it."""
-        n = max(k for k in self.levels if k <= least)
+    def ranges(self, s: np.ndarray, e: np.ndarray, least_length: int) -> np.ndarray:
+        """Names of [s, e), all at least ``least_length`` and at most three times the largest doubled length below it."""
+        n = max(k for k in self.levels if k <= least_length)
         names = self.levels[n]
         middle = np.minimum(s + n, e - n)
         return mix(mix(names[s], names[middle]), mix(names[e - n], (e - s).astype(U64)))
@@ -158,45 +204,64 @@ def _rank(ids: np.ndarray, ords: np.ndarray) -> np.ndarray:
     return rank
 
 
-def later(names: np.ndarray, rank: np.ndarray, pos: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that aren't first among equal names, the first of each row).
+def refine(buckets: np.ndarray, identifiers: np.ndarray, rank: np.ndarray, within: bool) -> np.ndarray:
+    """Buckets after sorting each of them on identifiers: new numbers, -1 for rows that are alone or were (-1) before.
+
+    Alone is a bucket without a second document, or without a second row where a document may repeat itself.
+    """
+    out = np.full(len(buckets), -1, np.int64)
+    rows = np.flatnonzero(buckets >= 0)
+    if not len(rows):
+        return out
+    rows = rows[np.lexsort((rank[rows], identifiers[rows], buckets[rows]))]
+    b, i, r = buckets[rows], identifiers[rows], rank[rows]
+    head = np.concatenate([[True], (b[1:] != b[:-1]) | (i[1:] != i[:-1])])
+    group = np.cumsum(head) - 1
+    tail = np.concatenate([head[1:], [True]])
+    many = np.bincount(group) > 1 if within else r[head] < r[tail]
+    out[rows] = np.where(many[group], group, -1)
+    return out
+
+
+def later(buckets: np.ndarray, rank: np.ndarray, pos: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that aren't first in their bucket, the first row of each row's bucket); rows in bucket -1 are first.
 
     Not first: of a later document, or also of a later position.
     """
-    if not len(names):
-        return np.empty(0, bool), np.empty(0, np.int64)
-    order = np.lexsort((pos, rank, names)) if within else np.lexsort((rank, names))
-    n, r, p = names[order], rank[order], pos[order]
-    head = np.concatenate([[True], n[1:] != n[:-1]])
+    gone, first = np.zeros(len(buckets), bool), np.arange(len(buckets))
+    rows = np.flatnonzero(buckets >= 0)
+    if not len(rows):
+        return gone, first
+    rows = rows[np.lexsort((pos[rows], rank[rows], buckets[rows]))]
+    b, r, p = buckets[rows], rank[rows], pos[rows]
+    head = np.concatenate([[True], b[1:] != b[:-1]])
     group = np.cumsum(head) - 1
     after = r > r[head][group]
     if within:
         after |= p > p[head][group]
-    out, first = np.empty(len(names), bool), np.empty(len(names), np.int64)
-    out[order] = after
-    first[order] = order[head][group]
-    return out, first
-
-
-def _shared(key: np.ndarray, rank: np.ndarray, within: bool) -> np.ndarray:
-    """Rows whose key also stands elsewhere: in another document, or at all."""
-    if not len(key):
-        return np.empty(0, bool)
-    order = np.lexsort((rank, key))
-    k, r = key[order], rank[order]
-    head = np.concatenate([[True], k[1:] != k[:-1]])
-    group = np.cumsum(head) - 1
-    tail = np.concatenate([head[1:], [True]])
-    many = np.bincount(group) > 1 if within else r[head] < r[tail]
-    out = np.empty(len(key), bool)
-    out[order] = many[group]
-    return out
+    gone[rows] = after
+    first[rows] = rows[head][group]
+    return gone, first
 
 
-def _hits(ids: np.ndarray, ords: np.ndarray, pos: np.ndarray, rows: np.ndarray, first: np.ndarray, kind: int | np.ndarray) -> dict:
+def _hits(ids: np.ndarray, ords: np.ndarray, pos: np.ndarray, v: np.ndarray, rows: np.ndarray, first: np.ndarray) -> dict:
     """Hits of the given rows with the coordinates of their first equals."""
     source = first[rows]
-    return {"id": ids[rows], "ord": ords[rows].astype(np.int32), "v": pos[rows].astype(np.int64) * 8 + kind, "sid": ids[source], "sord": ords[source].astype(np.int32), "spos": pos[source].astype(np.int64)}
+    return {"id": ids[rows], "ord": ords[rows], "v": v, "sid": ids[source], "sord": ords[source], "spos": pos[source].astype(np.int64)}
+
+
+def _joined(*hits: dict) -> dict:
+    return {k: np.concatenate([h[k] for h in hits]) for k in hits[0]}
+
+
+def _settled(rule: Rule, ids: np.ndarray, ords: np.ndarray, pos: np.ndarray, n: np.ndarray, off: np.ndarray, gone: np.ndarray, first: np.ndarray, kind: int) -> dict:
+    """Hits of the rows that aren't first and, for a graph of runs, of their firsts."""
+    rows = np.flatnonzero(gone)
+    out = _hits(ids, ords, pos, number(pos[rows], n[rows], off[rows], kind), rows, first)
+    if not rule.runs:
+        return out
+    heads = np.unique(first[rows])
+    return _joined(out, _hits(ids, ords, pos, number(pos[heads], n[heads], off[heads], kind | FIRST), heads, first))
 
 
 def _send(buckets: np.ndarray, n_buckets: int, ids: np.ndarray, ords: np.ndarray, columns: list[np.ndarray], hits: dict) -> Iterator[pa.RecordBatch]:
@@ -211,9 +276,8 @@ def _send(buckets: np.ndarray, n_buckets: int, ids: np.ndarray, ords: np.ndarray
     size = 0
 
     def batch() -> pa.RecordBatch:
-        n = len(out["bucket"])
-        empty = np.zeros(n, np.int64)
-        return batches(out | {f.name: empty.astype(np.int32 if f.type == pa.int32() else np.int64) for f in _HIT}, _BLOB)
+        empty = np.zeros(len(out["bucket"]), np.int64)
+        return batches(out | {f.name: empty for f in _HIT}, _BLOB)
 
     for b in range(n_buckets):
         rows = order[edges[b] : edges[b + 1]]
@@ -242,14 +306,14 @@ def _received(table: pa.Table, *kinds: type) -> tuple[np.ndarray, np.ndarray, li
         if blob is None:
             continue
         n, n_docs = np.frombuffer(blob, np.int64, 2).tolist()
-        (i, o), at = _unplane(blob, 16, n_docs, np.int64, np.int32)
+        (i, o), at = _unplane(blob, 16, n_docs, np.int64, np.int64)
         (local, pos, *rest), at = _unplane(blob, at, n, np.uint32, np.uint32, *kinds)
         local = np.cumsum(local, dtype=np.uint32)
         ids.append(i[local])
         ords.append(o[local])
         columns.append([*rest, np.cumsum(pos, dtype=np.uint32)])
     if not ids:
-        return np.empty(0, np.int64), np.empty(0, np.int32), [np.empty(0, k) for k in (*kinds, np.uint32)]
+        return np.empty(0, np.int64), np.empty(0, np.int64), [np.empty(0, k) for k in (*kinds, np.uint32)]
     return np.concatenate(ids), np.concatenate(ords), [np.concatenate(c) for c in zip(*columns, strict=True)]
 
 
@@ -258,30 +322,32 @@ def _passed(table: pa.Table) -> pa.Table:
 
 
 def _pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=1).compress
+    press = zstandard.ZstdCompressor(level=3).compress
     for batch in slices(it):
         texts = [None if t is None else press(t) for t in text_bytes(batch.column(2))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary()), batch.column(3)], names=["id", "ord", "text", "rest"])
 
 
-def unpacked(column: pa.Array) -> list[bytes]:
-    """Texts that went through a shuffle compressed."""
+def unpacked(column: pa.Array) -> Iterator[bytes]:
+    """Texts that went through a shuffle compressed, one at a time."""
     open_ = zstandard.ZstdDecompressor().decompress
-    return [b"" if t is None else open_(t) for t in column.to_pylist()]
+    for t in column:
+        yield b"" if not t.is_valid else open_(t.as_py())
 
 
-def _pieces(batch: pa.RecordBatch, extra: bool = False) -> Iterator[tuple]:
-    """Runs of rows with about _PIECE bytes of text: ids, ords, texts (and what a fourth column holds, the texts then being packed)."""
+def _pieces(batch: pa.RecordBatch, packed: bool = False) -> Iterator[tuple]:
+    """Runs of rows with about _PIECE bytes of text: ids, ords, texts (unpacked if need be), and the last column's rows."""
     ids, ords = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-    texts = unpacked(batch.column(2)) if extra else text_bytes(batch.column(2))
-    rest = batch.column(3) if extra else None
+    texts = unpacked(batch.column(2)) if packed else iter(text_bytes(batch.column(2)))
     at = 0
-    while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and (size < _PIECE or to == at):
-            size += len(texts[to] or b"")
-            to += 1
-        yield ids[at:to], ords[at:to], texts[at:to], rest.slice(at, to - at) if extra else None
+    while at < len(ids):
+        own: list[bytes | None] = []
+        size = 0
+        while at + len(own) < len(ids) and (size < _PIECE or not own):
+            own.append(next(texts))
+            size += len(own[-1] or b"")
+        to = at + len(own)
+        yield ids[at:to], ords[at:to], own, batch.column(batch.num_columns - 1).slice(at, to - at)
         at = to
 
 
@@ -292,17 +358,30 @@ def _half(x: Named, s: np.ndarray, e: np.ndarray, known: np.ndarray, length: int
     return out
 
 
+def _paths(x: Named, names: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, anchor) of every path; each window has the first of its smallest grams as anchor."""
+    windows = np.flatnonzero(np.arange(len(names)) + rule.window <= x.end)
+    if not len(windows):
+        return windows, windows, windows
+    anchor = least(names, rule.context + 1)[windows]
+    new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (windows[1:] != windows[:-1] + 1)]))
+    begin, at = windows[new], anchor[new]
+    if rule.runs:
+        return begin, np.diff(new, append=len(windows)), at
+    begin = np.maximum(at - rule.context, x.start[at])
+    return begin, np.minimum(at, x.end[at] - rule.window) - begin + 1, at
+
+
 def _anchor_map(rule: Rule, n_buckets: int) -> Callable:
-    q, c = rule.gram, rule.context
-    h = -(-c // 2)
+    q, h = rule.gram, -(-rule.context // 2)
 
     def flush(rows: _Rows) -> Iterator[pa.RecordBatch]:
-        ids, ords, (doc, low, full, left, right, pos, high) = rows.take()
+        ids, ords, (doc, low, path, left, right, n, off, pos, high) = rows.take()
         rank = _rank(ids, ords)[doc]
-        gone, first = later(full, rank, pos, rule.within)
+        gone, first = later(refine(np.zeros(len(path), np.int64), path, rank, rule.within), rank, pos, rule.within)
         keep = ~gone
-        columns = [x[keep] for x in (doc, low, full, left, right, pos)]
-        yield from _send((high[keep] % n_buckets).astype(np.int64), n_buckets, ids, ords, columns, _hits(ids[doc], ords[doc], pos, np.flatnonzero(gone), first, SETTLED))
+        columns = [x[keep] for x in (doc, low, path, left, right, n, off, pos)]
+        yield from _send((high[keep] % n_buckets).astype(np.int64), n_buckets, ids, ords, columns, _settled(rule, ids[doc], ords[doc], pos, n, off, gone, first, SETTLED))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows()
@@ -312,16 +391,13 @@ def _anchor_map(rule: Rule, n_buckets: int) -> Callable:
                 if not len(x.doc):
                     continue
                 names = x.grams(q)
-                at = anchors(names, np.arange(len(names)) + rule.window <= x.end, c + 1)
+                begin, n, at = _paths(x, names, rule)
                 start, end = x.start[at], x.end[at]
-                s, e = np.maximum(at - c, start), np.minimum(at + rule.window, end)
-                fits = (e - s >= rule.window) & (at + q <= end)
-                at, start, end, s, e = at[fits], start[fits], end[fits], s[fits], e[fits]
-                full = mix(x.ranges(s, e, rule.window), (at - s).astype(U64))
+                path = mix(x.ranges(begin, begin + n - 1 + rule.window, rule.window), (at - begin).astype(U64))
                 left = _half(x, at - h, at + q, at - h >= start, q + h)
                 right = _half(x, at, at + q + h, at + q + h <= end, q + h)
                 name = names[at]
-                rows.add(ids, ords, x.doc[at], name.astype(np.uint16), full, left, right, (at - start).astype(np.uint32), (name >> U64(32)).astype(np.uint32))
+                rows.add(ids, ords, x.doc[at], name.astype(np.uint16), path, left, right, n.astype(np.uint16), (at - begin).astype(np.uint16), (begin - start).astype(np.uint32), (name >> U64(32)).astype(np.uint32))
                 if rows.n >= _FLUSH:
                     yield from flush(rows)
         if rows.n:
@@ -332,52 +408,75 @@ def _anchor_map(rule: Rule, n_buckets: int) -> Callable:
 
 
 def _anchor_reduce(rule: Rule) -> Callable:
+    """Refine the buckets of equal q-grams: on the half contexts on either side, and on those of whole paths."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids, ords, (low, full, left, right, pos) = _received(table, np.uint16, U64, np.uint16, np.uint16)
+        ids, ords, (low, path, left, right, n, off, pos) = _received(table, np.uint16, U64, np.uint16, np.uint16, np.uint16, np.uint16)
         rank = _rank(ids, ords)
-        gone, first = later(full, rank, pos, rule.within)
-        kind = np.full(len(ids), -1, np.int8)
-        kind[gone] = SETTLED
-        rest = np.flatnonzero(~gone)
-        for half, side in ((left, LEFT), (right, RIGHT)):
-            some = rest[half[rest] > 0]
-            key = low[some].astype(np.uint32) << np.uint32(16) | half[some]
-            open_ = some[_shared(key, rank[some], rule.within)]
-            kind[open_] = np.maximum(kind[open_], 0) | side
-        use = np.flatnonzero(kind >= 0)
-        return pa.concat_tables([_passed(table), pa.table(_hits(ids, ords, pos, use, first, kind[use]), schema=_HIT)])
+        buckets = refine(np.zeros(len(low), np.int64), low, rank, rule.within)
+        gone, first = later(refine(buckets, path, rank, rule.within), rank, pos, rule.within)
+        side = np.zeros(len(ids), np.int8)
+        rest = np.where(gone, -1, buckets)
+        for half, which in ((left, LEFT), (right, RIGHT)):
+            side[refine(np.where(half > 0, rest, -1), half, rank, rule.within) >= 0] |= which
+        use = np.flatnonzero(side)
+        opened = _hits(ids, ords, pos, number(pos[use], n[use], off[use], side[use]), use, np.arange(len(ids)))
+        return pa.concat_tables([_passed(table), pa.table(_joined(_settled(rule, ids, ords, pos, n, off, gone, first, SETTLED), opened), schema=_HIT)])
 
     return run
 
 
+def _open_windows(x: Named, v: np.ndarray, doc: np.ndarray, rule: Rule) -> np.ndarray:
+    """Starts of the windows that hold a shared half context of an open path."""
+    h = -(-rule.context // 2)
+    starts = np.zeros(int(doc.max(initial=-1)) + 1, np.int64)
+    here = x.doc < len(starts)
+    starts[x.doc[here]] = x.start[here]
+    begin = starts[doc] + (v >> _AT)
+    last = begin + (v >> _N & _FIELD) - 1
+    at = begin + (v >> _OFF & _FIELD)
+    mark = np.zeros(len(x.doc) + 1, np.int32)
+    for side, lowest, highest in ((LEFT, begin, np.minimum(last, at - h)), (RIGHT, np.maximum(begin, at - (rule.context - h)), last)):
+        use = (v & FIRST == 0) & (v & 7 < WINDOW) & (v & side > 0) & (lowest <= highest)
+        np.add.at(mark, lowest[use], 1)
+        np.add.at(mark, highest[use] + 1, -1)
+    return np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+
+
+def _steps(rule: Rule) -> tuple[list[int], int, type]:
+    """Later offsets of the q-grams that cover a window, the bits sent of each identifier, and their type.
+
+    Together with the first gram's 16 bits and its bucket that is 64 bits and more.
+    """
+    steps = [*range(rule.gram, rule.context, rule.gram), rule.context]
+    bits = max(16, 48 // len(steps))
+    return steps, bits, U64 if bits > 32 else np.uint32
+
+
 def _window_map(rule: Rule, n_buckets: int) -> Callable:
-    c, half = rule.context, -(-rule.context // 2)
+    """Windows as suffixes: the bucket of the first q-gram, and the identifiers of the buckets at the later offsets."""
+    steps, bits, kind = _steps(rule)
 
     def flush(rows: _Rows) -> Iterator[pa.RecordBatch]:
-        ids, ords, (doc, name, pos) = rows.take()
-        gone, first = later(name, _rank(ids, ords)[doc], pos, rule.within)
-        keep = ~gone
-        yield from _send((name[keep] >> U64(32)).astype(np.int64) % n_buckets, n_buckets, ids, ords, [x[keep] for x in (doc, name, pos)], _hits(ids[doc], ords[doc], pos, np.flatnonzero(gone), first, WINDOW))
+        ids, ords, (doc, high, low, *identifiers, pos) = rows.take()
+        rank = _rank(ids, ords)[doc]
+        buckets = refine(refine(np.zeros(len(low), np.int64), high, rank, rule.within), low, rank, rule.within)
+        for i in identifiers:
+            buckets = refine(buckets, i, rank, rule.within)
+        gone, first = later(buckets, rank, pos, rule.within)
+        keep, one = ~gone, np.ones(len(pos), np.int64)
+        yield from _send(high[keep].astype(np.int64) % n_buckets, n_buckets, ids, ords, [x[keep] for x in (doc, low, *identifiers, pos)], _settled(rule, ids[doc], ords[doc], pos, one, one - 1, gone, first, WINDOW))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows()
         for batch in slices(it):
-            for ids, ords, texts, hits in _pieces(batch, extra=True):
+            for ids, ords, texts, hits in _pieces(batch, packed=True):
                 x = Named(texts, rule)
                 v = hits.flatten().to_numpy(zero_copy_only=False)
-                doc = np.repeat(np.arange(len(ids)), np.diff(hits.offsets.to_numpy()))
-                starts = np.zeros(len(ids), np.int64)
-                starts[x.doc] = x.start
-                mark = np.zeros(len(x.doc) + 1, np.int32)
-                for side, far, near in ((LEFT, c, half), (RIGHT, c - half, 0)):
-                    use = (v & 7 < WINDOW) & (v & side > 0)
-                    at = starts[doc[use]] + v[use] // 8
-                    begin = np.maximum(at - far, starts[doc[use]])
-                    np.add.at(mark, begin, 1)
-                    np.add.at(mark, np.maximum(at - near + 1, begin), -1)
-                s = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-                s = s[s + rule.window <= x.end[s]]
-                rows.add(ids, ords, x.doc[s], x.ranges(s, s + rule.window, rule.window), (s - x.start[s]).astype(np.uint32))
+                s = _open_windows(x, v, np.repeat(np.arange(len(ids)), np.diff(hits.offsets.to_numpy())), rule)
+                names = x.grams(rule.gram)
+                identifiers = [(names[s + k] >> U64(64 - bits)).astype(kind) for k in steps]
+                rows.add(ids, ords, x.doc[s], (names[s] >> U64(32)).astype(np.uint32), names[s].astype(np.uint16), *identifiers, (s - x.start[s]).astype(np.uint32))
                 if rows.n >= _FLUSH:
                     yield from flush(rows)
         if rows.n:
@@ -388,49 +487,156 @@ def _window_map(rule: Rule, n_buckets: int) -> Callable:
 
 
 def _window_reduce(rule: Rule) -> Callable:
+    """Refine buckets of equal first q-grams on the identifiers at one later offset after the other."""
+    steps, _, kind = _steps(rule)
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids, ords, (name, pos) = _received(table, U64)
-        gone, first = later(name, _rank(ids, ords), pos, rule.within)
-        return pa.concat_tables([_passed(table), pa.table(_hits(ids, ords, pos, np.flatnonzero(gone), first, WINDOW), schema=_HIT)])
+        ids, ords, (low, *identifiers, pos) = _received(table, np.uint16, *[kind] * len(steps))
+        rank = _rank(ids, ords)
+        buckets = refine(np.zeros(len(low), np.int64), low, rank, rule.within)
+        for i in identifiers:
+            buckets = refine(buckets, i, rank, rule.within)
+        gone, first = later(buckets, rank, pos, rule.within)
+        one = np.ones(len(pos), np.int64)
+        return pa.concat_tables([_passed(table), pa.table(_settled(rule, ids, ords, pos, one, one - 1, gone, first, WINDOW), schema=_HIT)])
 
     return run
 
 
-def covered(values: np.ndarray, n: int, rule: Rule) -> np.ndarray:
-    """Which of a document's n units the settled hits cover."""
-    mark = np.zeros(n + 1, np.int32)
-    at, kind = values // 8, values & 7
-    for which, before in ((SETTLED, rule.context), (WINDOW, 0)):
-        p = at[kind == which]
-        np.add.at(mark, np.maximum(p - before, 0), 1)
-        np.add.at(mark, np.minimum(p + rule.window, n), -1)
-    return np.cumsum(mark[:-1]) > 0
-
-
 def with_rest(ddl: str, docs: DataFrame) -> T.StructType:
     """The schema of ``ddl`` and the struct of carried columns."""
     return T.StructType.fromDDL(ddl).add(docs.schema["rest"])
 
 
-def with_hits(docs: DataFrame, rule: Rule, sources: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(documents with hits, packed documents).
+def with_hits(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with hits, packed documents, hits by document without the texts).
 
-    The first has id, ord, the packed text, rest, and the hits of anchors and windows as arrays hits and more, or null: of
-    longs, or with ``sources`` of (v, sid, sord, spos) with each hit's first coordinate.
+    The first has id, ord, the packed text, rest, and the hits of paths and windows as arrays hits and more, or null, of
+    (v, sid, sord, spos) with the coordinate of an earlier equal; the last has id, ord, hits and more.
 
     Every branch of the plan asks for the same columns of the shuffled documents and hits, so that each is shuffled once
     and used again; a column less in one of them would be another shuffle.
     """
     n = parts(docs.sparkSession)
     blob = f"bucket long, blob binary, {_HIT_SQL}"
-    kept = F.struct("v", "sid", "sord", "spos") if sources else F.col("v")
-    by_doc = lambda hits, name: hits.groupBy("id", "ord").agg(F.collect_list(kept).alias(name))
-    values = F.transform("hits", lambda h: h["v"]) if sources else F.col("hits")
+    by_doc = lambda hits, name: hits.groupBy("id", "ord").agg(F.collect_list(F.struct("v", "sid", "sord", "spos")).alias(name))
     first = docs.select("id", "ord", "text").mapInArrow(_anchor_map(rule, n), blob).groupBy("bucket").applyInArrow(_anchor_reduce(rule), _HIT_SQL)
-    packed = docs.mapInArrow(_pack, with_rest("id long, ord int, text binary", docs))
+    packed = docs.mapInArrow(_pack, with_rest("id long, ord long, text binary", docs))
     held = packed.join(by_doc(first, "hits"), ["id", "ord"], "left")
-    is_open = F.coalesce(F.exists(values, lambda v: v.bitwiseAND(F.lit(7)).isin(LEFT, RIGHT, LEFT | RIGHT)), F.lit(False))
+    values = F.transform("hits", lambda h: h["v"])
+    is_open = F.coalesce(F.exists(values, lambda v: ~is_first(v) & kind_of(v).isin(LEFT, RIGHT, LEFT | RIGHT)), F.lit(False))
     # No filter here: it would be pushed below the join and keep its shuffles from being used again further down.
-    opened = held.select("id", "ord", F.when(is_open, F.col("text")).alias("text"), F.when(is_open, values).alias("hits"), "rest")
+    opened = held.select("id", "ord", F.when(is_open, F.col("text")).alias("text"), "rest", F.when(is_open, values).alias("hits"))
     second = opened.mapInArrow(_window_map(rule, n), blob).groupBy("bucket").applyInArrow(_window_reduce(rule), _HIT_SQL)
-    return held.join(by_doc(second, "more"), ["id", "ord"], "left"), packed
+    join = lambda rows: rows.join(by_doc(second, "more"), ["id", "ord"], "left")
+    bare = docs.select("id", "ord").join(by_doc(first, "hits"), ["id", "ord"], "left")
+    return join(held), packed, join(bare)
+
+
+def spans(pos: np.ndarray, n: np.ndarray, sid: np.ndarray, sord: np.ndarray, spos: np.ndarray, window: int, chain: np.ndarray | None = None) -> list[np.ndarray]:
+    """Hits of one document compacted to long spans: start, end, source id and ord, start at the source.
+
+    Hits at one distance from one source (and in one ``chain``) that touch or overlap become one span.
+    """
+    chain = np.zeros(len(pos), np.int64) if chain is None else chain
+    by, end = pos - spos, pos + n - 1 + window
+    order = np.lexsort((pos, chain, by, sord, sid))
+    s, e, i, o, b, c = pos[order], end[order], sid[order], sord[order], by[order], chain[order]
+    if not len(s):
+        return [s, e, i, o, s]
+    apart = np.concatenate([[True], (i[1:] != i[:-1]) | (o[1:] != o[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
+    wide = int(e.max()) + 1
+    far = np.maximum.accumulate(e + (np.cumsum(apart) - 1) * wide) - (np.cumsum(apart) - 1) * wide
+    new = apart | np.concatenate([[True], s[1:] > far[:-1]])
+    heads = np.flatnonzero(new)
+    return [s[heads], far[np.append(heads[1:], len(s)) - 1], i[heads], o[heads], s[heads] - b[heads]]
+
+
+def found(column: pa.Array, k: int, rule: Rule) -> list[np.ndarray]:
+    """The spans of row k, whose hits are structs of v, sid, sord, spos and maybe a chain; none where it is null."""
+    own = column.slice(k, 1).flatten()
+    fields = {f.name: x.to_numpy(zero_copy_only=False) for f, x in zip(own.type, own.flatten(), strict=True)}
+    v = fields.pop("v")
+    use = (v & FIRST == 0) & np.isin(v & 7, (SETTLED, WINDOW))
+    sid, sord, spos = (fields.pop(name)[use] for name in ("sid", "sord", "spos"))
+    return spans(v[use] >> _AT, v[use] >> _N & _FIELD, sid, sord, spos, rule.window, *(x[use] for x in fields.values()))
+
+
+def _claims(rule: Rule) -> Callable:
+    """Spans with a digest of their own units, gathered by the document whose units they should equal.
+
+    Rows hold id, ord, the packed text, rest and the hits.  A source's text then meets one row for each task, not one for
+    each span.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered: dict[tuple[int, int], list[dict]] = {}
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            return batches({"sid": [k[0] for k in gathered], "sord": [k[1] for k in gathered], "claims": list(gathered.values())}, _CLAIM)
+
+        for batch in slices(it):
+            ids, ords = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = unpacked(batch.column(2))
+            for k, text in enumerate(texts):
+                start, end, sid, sord, at = found(batch.column(4), k, rule)
+                if not len(start):
+                    continue
+                units = rule.units(text)
+                for a, b, i, o, t in zip(start.tolist(), end.tolist(), sid.tolist(), sord.tolist(), at.tolist(), strict=True):
+                    gathered.setdefault((i, o), []).append({"id": ids[k], "ord": ords[k], "start": a, "end": b, "at": t, "digest": rule.digest(units[a:b])})
+                    n += 1
+                    if n >= _GATHERED:
+                        yield flush()
+                        gathered, n = {}, 0
+        if n:
+            yield flush()
+        give_back()
+
+    return run
+
+
+def _refuted(rule: Rule) -> Callable:
+    """Claims whose units differ from those at their source; rows hold sid, sord, claims and the source's packed text."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(it, 50):
+            for claims, text in zip(batch.column(2), unpacked(batch.column(3)), strict=True):
+                units = rule.units(text)
+                own = claims.values
+                digest = own.field("digest")
+                start, end, at = (own.field(f).to_numpy() for f in ("start", "end", "at"))
+                rows = [k for k, (a, b, t) in enumerate(zip(start.tolist(), end.tolist(), at.tolist(), strict=True)) if rule.digest(units[t : t + b - a]) != digest[k].as_py()]
+                if rows:
+                    yield batches({f: own.field(f).take(pa.array(rows)) for f in _REFUTED.names}, _REFUTED)
+        give_back()
+
+    return run
+
+
+def verified(rows: DataFrame, packed: DataFrame, rule: Rule) -> DataFrame:
+    """``rows`` (id, ord, packed text, rest, hits) with the column bad: the spans that aren't equal to their source.
+
+    A refuted span is left alone: names of 64 bits and more agreed by accident.
+    """
+    claims = rows.mapInArrow(_claims(rule), _CLAIM_SQL)
+    at_source = claims.join(packed, (F.col("sid") == F.col("id")) & (F.col("sord") == F.col("ord")))
+    refuted = at_source.select("sid", "sord", "claims", "text", "rest").mapInArrow(_refuted(rule), _REFUTED_SQL)
+    bad = refuted.groupBy("id", "ord").agg(F.collect_list(F.struct("start", "end")).alias("bad"))
+    return rows.join(bad, ["id", "ord"], "left")
+
+
+def removed(batch: pa.RecordBatch, k: int, n: int, rule: Rule) -> np.ndarray | None:
+    """Which of the n units of row k the verified spans cover; None where that is none.  Columns 4 and 5: hits, bad."""
+    start, end, *_ = found(batch.column(4), k, rule)
+    if batch.column(5)[k].is_valid:
+        bad = {(b["start"], b["end"]) for b in batch.column(5)[k].as_py()}
+        good = np.array([span not in bad for span in zip(start.tolist(), end.tolist(), strict=True)], bool)
+        start, end = start[good], end[good]
+    if not len(start):
+        return None
+    mark = np.zeros(n + 1, np.int32)
+    np.add.at(mark, start, 1)
+    np.add.at(mark, end, -1)
+    return np.cumsum(mark[:-1]) > 0

@@ -1,8 +1,8 @@
 """Names of substrings and sampled anchors over arrays of units (bytes or hashed words).
 
 A *name* is a 64-bit identifier of the content of a substring.  Names of length 2n are made from the names of length n
-at offsets 0 and n, so every name computed is reused by the next doubling.  *Anchors* are the positions of the smallest
-name of length q in any window: equal windows have equal anchors at equal offsets, wherever they stand.
+at offsets 0 and n, so every name computed is reused by the next doubling.  A window's *anchor* is the position of the
+smallest name of length q in it: equal windows have equal anchors at equal offsets, wherever they stand.
 """
 
 from __future__ import annotations
@@ -57,25 +57,21 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def _slide(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
-    """pick over values[i : i + width] for every i; windows that leave the array stop at its end."""
-    out, have = values.copy(), 1
+def least(names: np.ndarray, width: int) -> np.ndarray:
+    """For every window of ``width`` consecutive names, the first position of its smallest one.
+
+    Windows that leave the array stop at its end.
+    """
+    low, at, have = names, np.arange(len(names), dtype=np.int32), 1
     while have < width:
         step = min(have, width - have)
-        if len(out) > step:
-            nxt = out.copy()
-            pick(out[:-step], out[step:], out=nxt[:-step])
-            out = nxt
+        if len(low) > step:
+            smaller = low[step:] < low[:-step]
+            low, at, old_low, old_at = low.copy(), at.copy(), low, at
+            np.copyto(low[:-step], old_low[step:], where=smaller)
+            np.copyto(at[:-step], old_at[step:], where=smaller)
         have += step
-    return out
-
-
-def anchors(names: np.ndarray, windows: np.ndarray, width: int) -> np.ndarray:
-    """Positions of the smallest name in any window of ``width`` consecutive names; windows: where one may start."""
-    low = _slide(names, width, np.minimum)
-    low[~windows] = 0
-    high = _slide(low[::-1], width, np.maximum)[::-1]
-    return np.flatnonzero(high == names)
+    return at
 
 
 def bounds(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,8 +1,11 @@
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
-from prosemill.llm import debruijn, suffixes
+from prosemill.llm import debruijn, repeats, suffixes
 
 
 def brute(texts, window, words):
@@ -66,32 +69,59 @@ def test_result_does_not_depend_on_partitions(docs):
     assert one == many
 
 
-RULE = debruijn.Rule("words", 4, 2, within=True)
-
-
-def hit(pos, kind, sid, spos):
-    return {"v": pos * 8 + kind, "sid": sid, "sord": 0, "spos": spos}
+def hits_of(pos, n, sid, spos):
+    arrays = [np.array(x, np.int64) for x in (pos, n, sid, [0] * len(pos), spos)]
+    return [tuple(int(v) for v in row) for row in zip(*repeats.spans(*arrays, 4), strict=True)]
 
 
 def test_hits_are_compacted_to_spans():
-    found = [hit(0, 4, 7, 10), hit(1, 4, 7, 11), hit(5, 4, 7, 15), hit(9, 0, 7, 29), hit(20, 4, 8, 3)]
-    assert sorted(debruijn.spans(found, 100, RULE)) == [(0, 9, 7, 0, 10), (7, 13, 7, 0, 27), (20, 24, 8, 0, 3)]
-    assert debruijn.spans([hit(1, 0, 7, 1)], 4, RULE) == [(0, 4, 7, 0, 0)]
+    assert sorted(hits_of([0, 1, 5, 9, 20], [1, 1, 1, 1, 1], [7, 7, 7, 7, 8], [10, 11, 15, 29, 3])) == [(0, 9, 7, 0, 10), (9, 13, 7, 0, 29), (20, 24, 8, 0, 3)]
+    assert hits_of([1, 3, 2], [9, 1, 1], [7, 7, 7], [1, 3, 2]) == [(1, 13, 7, 0, 1)]
+    assert hits_of([], [], [], []) == []
 
 
 def test_refuted_spans_are_left_alone():
-    import numpy as np
-    import pyarrow as pa
-    import zstandard
-
     press = zstandard.ZstdCompressor().compress
-    source = b"a b c d e f"
-    claim = {"ord": 0, "start": 0, "end": 4, "digest": debruijn._digest(b"b c d e".split())}
-    claims = pa.array([[claim | {"id": 1, "at": 1}, claim | {"id": 2, "at": 2}]], debruijn._CLAIM.field("claims").type)
-    batch = pa.RecordBatch.from_arrays([pa.array([9]), pa.array([0]), claims, pa.array([press(source)])], names=["sid", "sord", "claims", "text"])
-    (out,) = debruijn._refuted(iter([batch]))
+    rule = repeats.Rule("words", 4, 2, within=True)
+    claim = {"ord": 0, "start": 0, "end": 4, "digest": rule.digest(b"b c d e".split())}
+    claims = pa.array([[claim | {"id": 1, "at": 1}, claim | {"id": 2, "at": 2}]], repeats._CLAIM.field("claims").type)
+    batch = pa.RecordBatch.from_arrays([pa.array([9]), pa.array([0]), claims, pa.array([press(b"a b c d e f")])], names=["sid", "sord", "claims", "text"])
+    (out,) = repeats._refuted(rule)(iter([batch]))
     assert out.column("id").to_pylist() == [2]
-    found = [hit(0, 4, 9, 2), hit(8, 4, 9, 40)]
-    bad = [{"start": 0, "end": 4, "sid": 9, "sord": 0, "at": 2}]
-    assert np.array_equal(debruijn._standing(found, bad, 20, RULE), [8 * 8 + 4])
-    assert np.array_equal(debruijn._standing(found, None, 20, RULE), [4, 8 * 8 + 4])
+    hit = {"sid": 9, "sord": 0, "chain": 0}
+    at = lambda pos: int(repeats.number(*np.array([[pos], [1], [0]]), repeats.WINDOW)[0])
+    hits = pa.array([[hit | {"v": at(0), "spos": 2}, hit | {"v": at(8), "spos": 40}]])
+    bad = pa.array([[{"start": 0, "end": 4}]])
+    row = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0]), pa.array([b""]), pa.array([0]), hits, bad], names=list("abcdef"))
+    assert np.flatnonzero(repeats.removed(row, 0, 20, rule)).tolist() == [8, 9, 10, 11]
+
+
+def test_refinement_drops_what_is_alone():
+    ids = np.array([5, 5, 5, 6, 6, 7])
+    rank = np.array([0, 1, 1, 2, 2, 3])
+    first = repeats.refine(np.zeros(6, np.int64), ids, rank, False)
+    assert first[:3].min() == first[:3].max() >= 0 and first[3:].tolist() == [-1, -1, -1]
+    assert (repeats.refine(np.zeros(6, np.int64), ids, rank, True) >= 0).tolist() == [True] * 5 + [False]
+    again = repeats.refine(first, np.array([1, 1, 2, 0, 0, 0]), rank, False)
+    assert (again >= 0).tolist() == [True, True, False, False, False, False]
+    gone, source = repeats.later(again, rank, np.array([9, 0, 0, 0, 0, 0]), False)
+    assert gone.tolist() == [False, True, False, False, False, False] and source[1] == 0
+
+
+def test_least_takes_the_first_of_equal_names():
+    from prosemill.llm.rolling import least
+
+    names = np.array([3, 1, 1, 2, 0, 0, 5], np.uint64)
+    assert least(names, 3).tolist() == [1, 1, 4, 4, 4, 5, 6]
+
+
+def test_chains_end_where_the_graph_branches(spark):
+    """Three edges in a row at the source; another document leaves the second for an edge of its own."""
+    place = lambda pos: (pos << 13) + 2 * 5
+    src = lambda i, pos: {"id": i, "ord": 0, "p": place(pos)}
+    rows = [(1, 0, place(k), True, None) for k in (0, 5, 10, 15)] + [(2, 0, place(7), True, None)]
+    rows += [(3, 0, place(k), False, src(1, k - 40)) for k in (40, 45, 50, 55)]
+    rows += [(4, 0, place(0), False, src(1, 5)), (4, 0, place(5), False, src(2, 7))]
+    at = spark.createDataFrame(rows, "id long, ord long, p long, first boolean, src struct<id:long,ord:long,p:long>")
+    chains = {(r.name.id, r.name.p >> 13): r.chain >> 13 for r in debruijn.compacted(at).collect()}
+    assert chains == {(1, 0): 0, (1, 5): 0, (1, 10): 10, (1, 15): 10, (2, 7): 7}
