@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,20 +13,29 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or else the context's checkpoint folder."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
-    if where is None:
-        where = current or tempfile.mkdtemp(prefix="prosemill-")
+    if where is None and current is None:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if current is None:
         sc.setCheckpointDir(where)
-    return where
+    return where or current
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs no recomputation."""
+#: Rows for each file of a checkpoint whose rows are counted.
+_CUT_ROWS = 200_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs no recomputation.
+
+    A checkpoint writes a file for each partition; if about how many ``rows`` there are is known, partitions follow it.
+    """
     shared_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // _CUT_ROWS)))
     return df.checkpoint(eager=True)
 
 
@@ -107,7 +115,7 @@ def components(links: DataFrame) -> DataFrame:
     now = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before, sig = None, signature(now)
     while sig[0] and sig != before:
-        now = cut(star(star(now, True), False).distinct())
+        now = cut(star(star(now, True), False).distinct(), sig[0])
         before, sig = sig, signature(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 

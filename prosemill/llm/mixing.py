@@ -142,7 +142,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     stats = stats.withColumn("full", F.expr("CASE WHEN source_size > 0 THEN wanted div source_size ELSE 0 END")).withColumn("rest", F.col("wanted") - F.col("full") * F.col("source_size"))
     stats = stats.withColumn("last_rank", F.when(F.col("blocks") > 0, F.col("step") * (F.col("blocks") - 1) % F.col("blocks"))).withColumn("short", F.col("source_size") - b * (F.col("blocks") - 1))
     touched = F.expr(f"CASE WHEN rest = 0 THEN 0 WHEN rest <= last_rank * {block_words} THEN (rest + {block_words - 1}) div {block_words} WHEN rest <= last_rank * {block_words} + short THEN last_rank + 1 ELSE (rest + {block_words} - short + {block_words - 1}) div {block_words} END")
-    stats = cut(stats.withColumn("quota", F.coalesce(F.col("full") * F.col("blocks") + touched, F.lit(0))))
+    stats = cut(stats.withColumn("quota", F.coalesce(F.col("full") * F.col("blocks") + touched, F.lit(0))), 0)
     quotas = stats.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "quota"))), lambda x: x["quota"]).alias("quotas"))
     leaves = split_quotas(quotas, shards).select("shard", F.posexplode("quotas").alias("source_no", "n"))
     ends = leaves.groupBy("source_no").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("by_shard"))

@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an empty result; repeated doc_ids keep their rows; other columns are ignored.
     """
     fps = cut(fingerprints(docs, id_col, text_col))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
     roots = components(links(nodes, radius)).withColumnRenamed("node", "fp")
     rooted = rejoin(nodes, roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
