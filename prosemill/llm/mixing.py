@@ -4,8 +4,8 @@ A source's documents, in an order given by a hash, lie end to end on a line of w
 target is drawn as whole passes over the line and a last pass over so many blocks, in a permuted order, that the words
 add up exactly.  The draws of all sources are dealt to output shards by a tree: a node splits its exact quotas of every
 source between two children by multivariate hypergeometric draws, one source after the other.  A shard then takes its
-quota from each source as the next draws in the permuted order, disjoint from all other shards', and orders them by a
-hash.
+quota from each source as the next draws in the permuted order, disjoint from all other shards'; a draw beyond the last
+shard's quota is not taken.  ``mixed_documents`` deals the pieces to their shards and shuffles each shard by a hash.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ from .common import cut
 from .quality import let, words_of
 
 WEIGHTS, MAX_REPEATS = (1, 2, 3), 3
-BLOCK_WORDS, SHARDS = 64, 16
-#: Multipliers of the block permutation: primes, of which at least one divides no given number of blocks below 10**11.
-_STEPS = (1000003, 999983)
+#: Words in a block, several documents long so that most stay whole, and in a shard, which is sorted by one task.
+BLOCK_WORDS, SHARD_WORDS = 2048, 1_000_000
+#: Rounds (partner, factor, summand) of the block permutation, from a rule, and the prime that its bits are taken from.
+_PRIME = (1 << 31) - 1
+_ROUNDS = [tuple(pow(base, k + 1, _PRIME) for base in (48271, 69621, 16807)) for k in range(12)]
 #: Standard deviations around the mean within which a split is drawn; what lies beyond is far below double precision.
 _WIDTH = 12
 
@@ -56,6 +58,21 @@ def hypergeometric(pool: Column, good: Column, draws: Column, u: Column) -> Colu
     return let(args, draw)
 
 
+def permuted(block: Column, blocks: Column) -> Column:
+    """The place of ``block`` (0 to blocks - 1) in a fixed permutation of all blocks.
+
+    In every round a block and its partner (their sum is fixed, modulo their number) swap places or don't, as a bit of
+    the greater of the two says; that is a permutation for any number of blocks, without a sort.
+    """
+    rounds = F.array(*[F.struct(*[F.lit(x).cast("long").alias(name) for name, x in zip("pfs", r, strict=True)]) for r in _ROUNDS])
+
+    def swap(x: Column, r: Column) -> Column:
+        n = F.greatest(blocks, F.lit(1).cast("long"))
+        return let((r["p"] % n + n - x) % n, lambda y: F.when(F.shiftright((F.greatest(x, y) % _PRIME * r["f"] + r["s"]) % _PRIME, 15) % 2 == 1, y).otherwise(x))
+
+    return F.aggregate(rounds, block, swap)
+
+
 def _uniform(*parts: Column) -> Column:
     return (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
@@ -119,12 +136,13 @@ def _line(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, offsets
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, block_words: int = BLOCK_WORDS, carry: Sequence[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, block_words: int = BLOCK_WORDS, carry: Sequence[str] = ()) -> DataFrame:
     """Plan of a mix over all documents.
 
     Returns doc_id, size (words), source, source_size, target and pieces, an array of (pass, draw, shard, position,
     start, words): the runs of the document's words that the mix takes, the shard that gets each and its place there;
-    and, as the struct carried, the columns named in ``carry``.
+    and, as the struct carried, the columns named in ``carry``.  Unless told, there are so many shards that one has about
+    a million words.
     A pass takes a document at most once and there are at most three, so none is taken more than three times.  The words
     taken from a source add up to its rounded target.  A null text has no words; a null source is a source of its own;
     rows with equal ids and sizes are interchangeable.  The result depends on nothing but the rows, so reruns agree.
@@ -137,10 +155,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     if not carry:
         sized = narrow
     b = F.lit(block_words).cast("long")
+    if shards is None:
+        shards = max(1, -(-(narrow.agg(F.sum("size")).first()[0] or 0) // SHARD_WORDS))
     stats = source_targets(narrow).withColumn("wanted", F.floor(F.col("target") + 0.5).cast("long")).withColumn("blocks", F.expr(f"(source_size + {block_words - 1}) div {block_words}"))
-    stats = stats.withColumn("step", F.when(F.col("blocks") % _STEPS[0] != 0, F.lit(_STEPS[0])).otherwise(F.lit(_STEPS[1])).cast("long"))
     stats = stats.withColumn("full", F.expr("CASE WHEN source_size > 0 THEN wanted div source_size ELSE 0 END")).withColumn("rest", F.col("wanted") - F.col("full") * F.col("source_size"))
-    stats = stats.withColumn("last_rank", F.when(F.col("blocks") > 0, F.col("step") * (F.col("blocks") - 1) % F.col("blocks"))).withColumn("short", F.col("source_size") - b * (F.col("blocks") - 1))
+    stats = stats.withColumn("last_rank", F.when(F.col("blocks") > 0, permuted(F.col("blocks") - 1, F.col("blocks")))).withColumn("short", F.col("source_size") - b * (F.col("blocks") - 1))
     touched = F.expr(f"CASE WHEN rest = 0 THEN 0 WHEN rest <= last_rank * {block_words} THEN (rest + {block_words - 1}) div {block_words} WHEN rest <= last_rank * {block_words} + short THEN last_rank + 1 ELSE (rest + {block_words} - short + {block_words - 1}) div {block_words} END")
     stats = cut(stats.withColumn("quota", F.coalesce(F.col("full") * F.col("blocks") + touched, F.lit(0))), 0)
     quotas = stats.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "quota"))), lambda x: x["quota"]).alias("quotas"))
@@ -149,11 +168,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cumulated = F.aggregate("by_shard", F.array().cast("array<long>"), lambda a, x: F.concat(a, F.array(F.when(F.size(a) > 0, F.get(a, F.size(a) - 1)).otherwise(F.lit(0).cast("long")) + x["n"])))
     planned = stats.join(ends.select((F.col("source_no") + 1).alias("rank"), cumulated.alias("ends")), "rank")
     placed, offsets = _line(sized)
-    known = offsets.join(planned, offsets["source"].eqNullSafe(planned["source"])).select(offsets["source"].alias("s"), offsets["range"].alias("r"), "offset", "source_size", "target", "blocks", "step", "full", "rest", "last_rank", "short", "ends")
+    known = offsets.join(planned, offsets["source"].eqNullSafe(planned["source"])).select(offsets["source"].alias("s"), offsets["range"].alias("r"), "offset", "source_size", "target", "blocks", "full", "rest", "last_rank", "short", "ends")
     joined = placed.join(known, placed["source"].eqNullSafe(known["s"]) & (placed["range"] == known["r"])).withColumn("at", F.col("at") + F.col("offset"))
 
-    def piece(turn: Column, block: Column) -> Column:
-        rank = F.col("step") * block % F.col("blocks")
+    def piece(turn: Column, block: Column, rank: Column) -> Column:
         length = F.when(block == F.col("blocks") - 1, F.col("short")).otherwise(b)
         before = rank * b - F.when(F.col("last_rank") < rank, b - F.col("short")).otherwise(F.lit(0))
         take = F.when(turn < F.col("full"), length).otherwise(F.greatest(F.lit(0), F.least(length, F.col("rest") - before)))
@@ -165,8 +183,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     block_numbers = F.sequence(F.expr(f"at div {block_words}"), F.expr(f"(at + size - 1) div {block_words}"))
     turns = F.sequence(F.lit(0).cast("long"), F.col("full") - F.when(F.col("rest") > 0, F.lit(0)).otherwise(F.lit(1)))
     none = F.col("size") * (F.col("full") + F.col("rest")) == 0
-    nested = F.flatten(F.transform(turns, lambda t: F.transform(block_numbers, lambda k: piece(t, k))))
-    pieces = F.when(~none, F.filter(nested, lambda p: p["words"] > 0))
+    ranked = F.transform(block_numbers, lambda k: F.struct(k.alias("block"), permuted(k, F.col("blocks")).alias("rank")))
+    nested = let(ranked, lambda rs: F.flatten(F.transform(turns, lambda t: F.transform(rs, lambda r: piece(t, r["block"], r["rank"])))))
+    pieces = F.when(~none, F.filter(nested, lambda p: (p["words"] > 0) & (p["shard"] < shards)))
     empty = F.array().cast("array<struct<pass:bigint,draw:bigint,shard:int,position:bigint,start:bigint,words:bigint>>")
     return joined.select("doc_id", "size", "source", "source_size", "target", F.coalesce(pieces, empty).alias("pieces"), *(["carried"] if carry else []))
 
@@ -176,18 +195,31 @@ def taken(pieces: Column | str) -> Column:
 
 
 def mixed_documents(docs: DataFrame, text_col: str = "text", **options: object) -> DataFrame:
-    """The mix as documents: the columns of ``docs``, one row per document and pass, with the words the pass takes.
+    """The mix as documents: the columns of ``docs``, one row per document, pass and shard, with the words taken.
 
-    A pass over the whole document returns its text as it is; a part of it is its words joined by one space.
+    Every shard is a partition of its own (or shares one) and is shuffled there, its rows in the order of a hash of their
+    draws and ids.  Where a whole document is taken the text is as it is; a part of it is its words joined by one space.
     """
     plan = mix(docs, text_col=text_col, carry=docs.columns, **options)
-    turns = F.filter(F.transform(F.sequence(F.lit(0), F.lit(MAX_REPEATS)), lambda t: F.filter("pieces", lambda p: p["pass"] == t)), lambda ps: F.size(ps) > 0)
-    rows = plan.select("carried", "size", F.explode(turns).alias("ps"))
+    row = F.col("piece")
+    rows = plan.select("carried", "size", F.explode("pieces").alias("piece"), F.col("pieces"))
+    # One row for the pieces of a pass that go to one shard: the first of them speaks for all.
+    same = F.array_sort(F.transform(F.filter("pieces", lambda p: (p["pass"] == row["pass"]) & (p["shard"] == row["shard"])), lambda p: F.struct(p["start"].cast("int").alias("start"), p["words"].cast("int").alias("words"))))
+    rows = rows.select("carried", "size", row["shard"].alias("shard"), row["position"].alias("position"), row["start"].alias("start"), same.alias("runs")).where(F.col("start") == F.col("runs")[0]["start"])
     text = F.col(f"carried.`{text_col}`")
-    runs = F.array_sort(F.transform("ps", lambda p: F.struct(p["start"].cast("int").alias("start"), p["words"].cast("int").alias("words"))))
-    part = let(words_of(text), lambda w: F.array_join(F.flatten(F.transform(runs, lambda p: F.slice(w, p["start"] + 1, p["words"]))), " "))
-    taken_text = F.when(taken("ps") == F.col("size"), text).otherwise(part)
-    return rows.select(*[taken_text.alias(c) if c == text_col else F.col(f"carried.`{c}`").alias(c) for c in docs.columns])
+    part = let(words_of(text), lambda w: F.array_join(F.flatten(F.transform("runs", lambda p: F.slice(w, p["start"] + 1, p["words"]))), " "))
+    taken_text = F.when(taken("runs") == F.col("size"), text).otherwise(part)
+    out = rows.select(*[(taken_text if c == text_col else F.col(f"carried.`{c}`")).alias(f"c{k}") for k, c in enumerate(docs.columns)], F.col("shard").alias("__shard"), F.col("position").alias("__position"))
+    dealt = out.repartition("__shard").sortWithinPartitions("__shard", F.xxhash64("__position", *[F.col(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col]))
+    return dealt.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
+def _permuted_sql(table: str) -> str:
+    """``table`` with the columns block and blocks, and the block's place in the permutation as block_rank."""
+    sql = f"SELECT *, block AS x FROM {table}"
+    for partner, factor, summand in _ROUNDS:
+        sql = f"SELECT * EXCLUDE (y) REPLACE (CASE WHEN ((greatest(x, y) % {_PRIME} * {factor} + {summand}) % {_PRIME} >> 15) % 2 = 1 THEN y ELSE x END AS x) FROM (SELECT *, ({partner} % blocks + blocks - x) % blocks AS y FROM ({sql}))"
+    return f"SELECT * EXCLUDE (x), x AS block_rank FROM ({sql})"
 
 
 ORACLE = f"""
@@ -208,10 +240,11 @@ WITH sized AS (
 ), stats AS (
   SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS wanted, (source_size + {BLOCK_WORDS - 1}) // {BLOCK_WORDS} AS blocks FROM targets
 ), steps AS (
-  SELECT *, CASE WHEN blocks % {_STEPS[0]} <> 0 THEN {_STEPS[0]} ELSE {_STEPS[1]} END AS step,
-    CASE WHEN source_size > 0 THEN wanted // source_size ELSE 0 END AS full_passes, source_size - {BLOCK_WORDS} * (blocks - 1) AS short FROM stats
+  SELECT *, CASE WHEN source_size > 0 THEN wanted // source_size ELSE 0 END AS full_passes, source_size - {BLOCK_WORDS} * (blocks - 1) AS short FROM stats
+), lasts AS (
+  SELECT source, block_rank AS last_rank FROM ({_permuted_sql("(SELECT source, blocks, blocks - 1 AS block FROM steps WHERE blocks > 0)")})
 ), ready AS (
-  SELECT *, wanted - full_passes * source_size AS rest, CASE WHEN blocks > 0 THEN step * (blocks - 1) % blocks END AS last_rank FROM steps
+  SELECT s.*, wanted - full_passes * source_size AS rest, last_rank FROM steps s LEFT JOIN lasts l ON s.source IS NOT DISTINCT FROM l.source
 ), placed AS (
   SELECT s.doc_id, s.size, r.*, coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
   FROM sized s JOIN ready r ON s.source IS NOT DISTINCT FROM r.source
@@ -220,7 +253,7 @@ WITH sized AS (
 ), pieces AS (
   SELECT *, unnest(range(CAST(begins // {BLOCK_WORDS} AS BIGINT), CAST((begins + size - 1) // {BLOCK_WORDS} + 1 AS BIGINT))) AS block FROM numbered WHERE size > 0
 ), ranked AS (
-  SELECT *, step * block % blocks AS block_rank, CASE WHEN block = blocks - 1 THEN short ELSE {BLOCK_WORDS} END AS length FROM pieces
+  SELECT *, CASE WHEN block = blocks - 1 THEN short ELSE {BLOCK_WORDS} END AS length FROM ({_permuted_sql("pieces")})
 ), parts AS (
   SELECT row_no, sum(greatest(0, least(block * {BLOCK_WORDS} + greatest(0, least(length, rest - (block_rank * {BLOCK_WORDS} - CASE WHEN last_rank < block_rank THEN {BLOCK_WORDS} - short ELSE 0 END))), begins + size)
     - greatest(block * {BLOCK_WORDS}, begins))) AS part FROM ranked GROUP BY row_no

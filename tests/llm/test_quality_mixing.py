@@ -1,5 +1,8 @@
+import os
 from collections import Counter, defaultdict
+from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 from prosemill.llm import mixing, quality
@@ -62,7 +65,7 @@ def test_mix(docs):
     for r in rows:
         sizes[r.source] += len((r.text or "").encode().split())
     want = water_filling(dict(sizes))
-    plan = mixing.mix(docs, block_words=16)
+    plan = mixing.mix(docs, block_words=16, shards=16)
     got = plan.collect()
     assert len(got) == len(rows)
     taken, draws = defaultdict(int), defaultdict(set)
@@ -78,7 +81,7 @@ def test_mix(docs):
     assert all(len(shards) == 1 for shards in draws.values())
     per_shard = Counter(next(iter(s)) for s in draws.values())
     assert max(per_shard.values()) - min(per_shard.get(k, 0) for k in range(16)) <= 2
-    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(7), block_words=16).collect()))
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(7), block_words=16, shards=16).collect()))
 
 
 def test_mixed_documents(docs):
@@ -91,6 +94,44 @@ def test_mixed_documents(docs):
         assert words[doc_id] == w
 
 
+def test_shards_are_dealt_and_shuffled(docs):
+    plan = Counter()
+    for r in mixing.mix(docs, shards=5, block_words=32).collect():
+        for p in r.pieces:
+            plan[p.shard] += p.words
+    mixed = mixing.mixed_documents(docs, shards=5, block_words=32).select("doc_id", "text", F.spark_partition_id().alias("part")).collect()
+    words = Counter()
+    for r in mixed:
+        words[r.part] += len((r.text or "").encode().split())
+    assert set(plan) == set(range(5)) and max(plan.values()) < 1.5 * min(plan.values())
+    sums = {sum(c) for k in range(1, 6) for c in combinations(plan.values(), k)}
+    assert words.total() == plan.total() and all(n in sums for n in words.values())
+    ids = [r.doc_id for r in mixed if r.part == mixed[0].part]
+    assert ids != sorted(ids)
+
+
+def test_blocks_are_permuted(spark):
+    for n in (1, 2, 3, 7, 64, 1000, 4097):
+        got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"))).collect()]
+        assert sorted(got) == list(range(n))
+        if n >= 64:
+            near = sum(abs(a - b) < n // 16 for a, b in zip(got, got[1:], strict=False))
+            assert 0.05 < near / n < 0.25
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_mix_against_sql(spark, sf):
+    duckdb = pytest.importorskip("duckdb")
+    path = f"/root/testdata/{sf}/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables here")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}')")
+    want = con.execute(mixing.ORACLE).fetchall()
+    plan = mixing.mix(spark.read.parquet(path)).select("doc_id", "size", "source_size", "target", mixing.taken("pieces"))
+    assert sorted(map(tuple, plan.collect())) == sorted(want)
+
+
 def test_hypergeometric_draws(spark):
     rows = spark.range(4000).select(mixing.hypergeometric(F.lit(50).cast("long"), F.lit(20).cast("long"), F.lit(15).cast("long"), mixing._uniform(F.lit(1), F.col("id"))).alias("k"))
     k = [r.k for r in rows.collect()]
@@ -108,6 +149,12 @@ def test_quotas_are_kept(spark):
     assert max(sizes) - min(sizes) <= 3
 
 
+def test_one_source_and_a_long_text(spark):
+    rows = [(1, "w " * 50_000, "a"), (2, "x y", "a"), (3, None, "a")]
+    got = {r.doc_id: (r.size, sum(p.words for p in r.pieces)) for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {1: (50_000, 50_000), 2: (2, 2), 3: (0, 0)}
+
+
 def test_mix_empty(nothing):
     assert mixing.mix(nothing).count() == 0
     assert mixing.mixed_documents(nothing).count() == 0
