@@ -1,15 +1,15 @@
-"""Shared engine of the two operators that remove repeated passages.
+"""Repeated windows of bytes by sampled suffixes, and what both operators that remove repeats share.
 
-Both ask, for every window of L consecutive units (bytes or words) of a document, whether an equal window starts
-earlier.  Listing every window of a corpus would shuffle many times the input, so the search goes from few rows to many:
+For every window of L bytes of a document the question is whether an equal window starts in an earlier document.
+Listing every window of a corpus would shuffle many times the input, so the search goes from few rows to many:
 
-1. *Anchors.*  Every window is represented by an anchor: the smallest q-unit name in it.  A task names all q-grams of its
-   documents and sends for every anchor one row: the name of its q-gram (the initial bucket), the name of the path of
-   windows around it, two short names of half contexts and its coordinate.
-2. *Paths.*  Equal paths hold equal windows, so all but the first are settled at once.  Any window of a path holds the
-   left or the right half context of its anchor, so of the others only paths that share a half with another one of their
+1. *Anchors.*  Every window holds an anchor: the smallest q-gram name in it.  A task names all q-grams of its documents
+   and sends for every anchor one row: the name of its q-gram (the initial bucket), the name of the whole context of
+   2L - q bytes around it, two short names of half contexts and its coordinate.
+2. *Contexts.*  Equal contexts hold equal windows, so all but the first are settled at once.  Any window holds the left
+   or the right half context of its anchor, so of the others only those that share a half with another one of their
    bucket stay open, to that side.
-3. *Windows.*  The windows of open paths are compared one by one; all but the first are settled.
+3. *Windows.*  The windows of open contexts are compared one by one; all but the first are settled.
 
 Equal rows of a task are reduced to the first before they are sent, so a key sends at most one row per task however
 many documents hold it.  What is settled are hits, each with the coordinate of an earlier equal; names only propose
@@ -27,23 +27,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import batches, give_back, parts, slices, text_bytes
 from .rolling import U64, bounds, byte_names, doubled, least, mix, word_names
 
-#: Kinds of hits: settled paths, paths open to a side, settled windows; FIRST: the first equal of settled ones.
-SETTLED, LEFT, RIGHT, WINDOW, FIRST = 0, 1, 2, 4, 1 << 27
-#: A hit's number: position, FIRST, place of the anchor in its path, windows in the path, kind.
-_AT, _OFF, _N = 28, 15, 3
+#: Kinds of hits: settled runs of windows, contexts open to a side, settled windows.
+SETTLED, LEFT, RIGHT, WINDOW = 0, 1, 2, 4
+#: A hit's number: position, place of the anchor after it, windows in the run, kind.
+_AT, _OFF, _N = 27, 15, 3
 _FIELD = (1 << 12) - 1
 #: Units named at once, and rows kept before they are sent; neither changes a result.
 _PIECE, _FLUSH = 1 << 18, 1 << 19
 _BLOB = pa.schema([("bucket", pa.int64()), ("blob", pa.binary()), ("id", pa.int64()), ("ord", pa.int64()), ("v", pa.int64()), ("sid", pa.int64()), ("sord", pa.int64()), ("spos", pa.int64())])
-_HIT = pa.schema(list(_BLOB)[2:])
-_HIT_SQL = "id long, ord long, v long, sid long, sord long, spos long"
+HIT = pa.schema(list(_BLOB)[2:])
+HIT_SQL = "id long, ord long, v long, sid long, sord long, spos long"
 HITS_SQL = "array<struct<v:bigint,sid:bigint,sord:bigint,spos:bigint>>"
 LOWEST = -(1 << 63)
 _SPAN = pa.struct([("id", pa.int64()), ("ord", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("at", pa.int64()), ("digest", pa.binary())])
@@ -57,17 +57,12 @@ _GATHERED = 5_000
 
 @dataclass(frozen=True)
 class Rule:
-    """unit: bytes or words.  window, gram: lengths in units.  within: an earlier start in the same document counts.
-
-    runs: an anchor's path is the run of windows whose anchor it is, so that paths follow each other without overlap;
-    else it is every window that holds the anchor.
-    """
+    """unit: bytes or words.  window, gram: lengths in units.  within: an earlier start in the same document counts."""
 
     unit: str
     window: int
     gram: int
     within: bool
-    runs: bool = False
 
     def __post_init__(self) -> None:
         if not 0 < self.gram <= self.window <= _FIELD:
@@ -101,18 +96,6 @@ def kind_of(v: Column) -> Column:
     return v.bitwiseAND(F.lit(7))
 
 
-def windows_of(v: Column) -> Column:
-    return F.shiftright(v, _N).bitwiseAND(F.lit(_FIELD))
-
-
-def position_of(v: Column) -> Column:
-    return F.shiftright(v, _AT)
-
-
-def is_first(v: Column) -> Column:
-    return v.bitwiseAND(F.lit(FIRST)) != 0
-
-
 def number(pos: np.ndarray, n: np.ndarray, off: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
     return (pos.astype(np.int64) << _AT) | (off.astype(np.int64) << _OFF) | (n.astype(np.int64) << _N) | kind
 
@@ -250,18 +233,10 @@ def _hits(ids: np.ndarray, ords: np.ndarray, pos: np.ndarray, v: np.ndarray, row
     return {"id": ids[rows], "ord": ords[rows], "v": v, "sid": ids[source], "sord": ords[source], "spos": pos[source].astype(np.int64)}
 
 
-def _joined(*hits: dict) -> dict:
-    return {k: np.concatenate([h[k] for h in hits]) for k in hits[0]}
-
-
-def _settled(rule: Rule, ids: np.ndarray, ords: np.ndarray, pos: np.ndarray, n: np.ndarray, off: np.ndarray, gone: np.ndarray, first: np.ndarray, kind: int) -> dict:
-    """Hits of the rows that aren't first and, for a graph of runs, of their firsts."""
+def _settled(ids: np.ndarray, ords: np.ndarray, pos: np.ndarray, n: np.ndarray, off: np.ndarray, gone: np.ndarray, first: np.ndarray, kind: int) -> dict:
+    """Hits of the rows that aren't first."""
     rows = np.flatnonzero(gone)
-    out = _hits(ids, ords, pos, number(pos[rows], n[rows], off[rows], kind), rows, first)
-    if not rule.runs:
-        return out
-    heads = np.unique(first[rows])
-    return _joined(out, _hits(ids, ords, pos, number(pos[heads], n[heads], off[heads], kind | FIRST), heads, first))
+    return _hits(ids, ords, pos, number(pos[rows], n[rows], off[rows], kind), rows, first)
 
 
 def _send(buckets: np.ndarray, n_buckets: int, ids: np.ndarray, ords: np.ndarray, columns: list[np.ndarray], hits: dict) -> Iterator[pa.RecordBatch]:
@@ -277,7 +252,7 @@ def _send(buckets: np.ndarray, n_buckets: int, ids: np.ndarray, ords: np.ndarray
 
     def batch() -> pa.RecordBatch:
         empty = np.zeros(len(out["bucket"]), np.int64)
-        return batches(out | {f.name: empty for f in _HIT}, _BLOB)
+        return batches(out | {f.name: empty for f in HIT}, _BLOB)
 
     for b in range(n_buckets):
         rows = order[edges[b] : edges[b + 1]]
@@ -318,7 +293,7 @@ def _received(table: pa.Table, *kinds: type) -> tuple[np.ndarray, np.ndarray, li
 
 
 def _passed(table: pa.Table) -> pa.Table:
-    return table.filter(pc.is_null(table.column("blob"))).select(_HIT.names).cast(_HIT)
+    return table.filter(pc.is_null(table.column("blob"))).select(HIT.names).cast(HIT)
 
 
 def _pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,30 +333,26 @@ def _half(x: Named, s: np.ndarray, e: np.ndarray, known: np.ndarray, length: int
     return out
 
 
-def _paths(x: Named, names: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, anchor) of every path; each window has the first of its smallest grams as anchor."""
+def runs(x: Named, names: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, anchor) of the runs of windows that have the same anchor."""
     windows = np.flatnonzero(np.arange(len(names)) + rule.window <= x.end)
     if not len(windows):
         return windows, windows, windows
     anchor = least(names, rule.context + 1)[windows]
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (windows[1:] != windows[:-1] + 1)]))
-    begin, at = windows[new], anchor[new]
-    if rule.runs:
-        return begin, np.diff(new, append=len(windows)), at
-    begin = np.maximum(at - rule.context, x.start[at])
-    return begin, np.minimum(at, x.end[at] - rule.window) - begin + 1, at
+    return windows[new], np.diff(new, append=len(windows)), anchor[new]
 
 
 def _anchor_map(rule: Rule, n_buckets: int) -> Callable:
     q, h = rule.gram, -(-rule.context // 2)
 
     def flush(rows: _Rows) -> Iterator[pa.RecordBatch]:
-        ids, ords, (doc, low, path, left, right, n, off, pos, high) = rows.take()
+        ids, ords, (doc, low, whole, left, right, n, off, pos, high) = rows.take()
         rank = _rank(ids, ords)[doc]
-        gone, first = later(refine(np.zeros(len(path), np.int64), path, rank, rule.within), rank, pos, rule.within)
+        gone, first = later(refine(np.zeros(len(whole), np.int64), whole, rank, rule.within), rank, pos, rule.within)
         keep = ~gone
-        columns = [x[keep] for x in (doc, low, path, left, right, n, off, pos)]
-        yield from _send((high[keep] % n_buckets).astype(np.int64), n_buckets, ids, ords, columns, _settled(rule, ids[doc], ords[doc], pos, n, off, gone, first, SETTLED))
+        columns = [x[keep] for x in (doc, low, whole, left, right, n, off, pos)]
+        yield from _send((high[keep] % n_buckets).astype(np.int64), n_buckets, ids, ords, columns, _settled(ids[doc], ords[doc], pos, n, off, gone, first, SETTLED))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows()
@@ -391,13 +362,15 @@ def _anchor_map(rule: Rule, n_buckets: int) -> Callable:
                 if not len(x.doc):
                     continue
                 names = x.grams(q)
-                begin, n, at = _paths(x, names, rule)
+                at = runs(x, names, rule)[2]
                 start, end = x.start[at], x.end[at]
-                path = mix(x.ranges(begin, begin + n - 1 + rule.window, rule.window), (at - begin).astype(U64))
+                begin = np.maximum(at - rule.context, start)
+                n = np.minimum(at, end - rule.window) - begin + 1
+                whole = mix(x.ranges(begin, begin + n - 1 + rule.window, rule.window), (at - begin).astype(U64))
                 left = _half(x, at - h, at + q, at - h >= start, q + h)
                 right = _half(x, at, at + q + h, at + q + h <= end, q + h)
                 name = names[at]
-                rows.add(ids, ords, x.doc[at], name.astype(np.uint16), path, left, right, n.astype(np.uint16), (at - begin).astype(np.uint16), (begin - start).astype(np.uint32), (name >> U64(32)).astype(np.uint32))
+                rows.add(ids, ords, x.doc[at], name.astype(np.uint16), whole, left, right, n.astype(np.uint16), (at - begin).astype(np.uint16), (begin - start).astype(np.uint32), (name >> U64(32)).astype(np.uint32))
                 if rows.n >= _FLUSH:
                     yield from flush(rows)
         if rows.n:
@@ -408,26 +381,26 @@ def _anchor_map(rule: Rule, n_buckets: int) -> Callable:
 
 
 def _anchor_reduce(rule: Rule) -> Callable:
-    """Refine the buckets of equal q-grams: on the half contexts on either side, and on those of whole paths."""
+    """Refine the buckets of equal q-grams: on the half contexts on either side, and on the whole contexts."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids, ords, (low, path, left, right, n, off, pos) = _received(table, np.uint16, U64, np.uint16, np.uint16, np.uint16, np.uint16)
+        ids, ords, (low, whole, left, right, n, off, pos) = _received(table, np.uint16, U64, np.uint16, np.uint16, np.uint16, np.uint16)
         rank = _rank(ids, ords)
         buckets = refine(np.zeros(len(low), np.int64), low, rank, rule.within)
-        gone, first = later(refine(buckets, path, rank, rule.within), rank, pos, rule.within)
+        gone, first = later(refine(buckets, whole, rank, rule.within), rank, pos, rule.within)
         side = np.zeros(len(ids), np.int8)
         rest = np.where(gone, -1, buckets)
         for half, which in ((left, LEFT), (right, RIGHT)):
             side[refine(np.where(half > 0, rest, -1), half, rank, rule.within) >= 0] |= which
         use = np.flatnonzero(side)
         opened = _hits(ids, ords, pos, number(pos[use], n[use], off[use], side[use]), use, np.arange(len(ids)))
-        return pa.concat_tables([_passed(table), pa.table(_joined(_settled(rule, ids, ords, pos, n, off, gone, first, SETTLED), opened), schema=_HIT)])
+        return pa.concat_tables([_passed(table), *(pa.table(hits, schema=HIT) for hits in (_settled(ids, ords, pos, n, off, gone, first, SETTLED), opened))])
 
     return run
 
 
 def _open_windows(x: Named, v: np.ndarray, doc: np.ndarray, rule: Rule) -> np.ndarray:
-    """Starts of the windows that hold a shared half context of an open path."""
+    """Starts of the windows that hold a shared half context of an open anchor."""
     h = -(-rule.context // 2)
     starts = np.zeros(int(doc.max(initial=-1)) + 1, np.int64)
     here = x.doc < len(starts)
@@ -437,7 +410,7 @@ def _open_windows(x: Named, v: np.ndarray, doc: np.ndarray, rule: Rule) -> np.nd
     at = begin + (v >> _OFF & _FIELD)
     mark = np.zeros(len(x.doc) + 1, np.int32)
     for side, lowest, highest in ((LEFT, begin, np.minimum(last, at - h)), (RIGHT, np.maximum(begin, at - (rule.context - h)), last)):
-        use = (v & FIRST == 0) & (v & 7 < WINDOW) & (v & side > 0) & (lowest <= highest)
+        use = (v & 7 < WINDOW) & (v & side > 0) & (lowest <= highest)
         np.add.at(mark, lowest[use], 1)
         np.add.at(mark, highest[use] + 1, -1)
     return np.flatnonzero(np.cumsum(mark[:-1]) > 0)
@@ -465,7 +438,7 @@ def _window_map(rule: Rule, n_buckets: int) -> Callable:
             buckets = refine(buckets, i, rank, rule.within)
         gone, first = later(buckets, rank, pos, rule.within)
         keep, one = ~gone, np.ones(len(pos), np.int64)
-        yield from _send(high[keep].astype(np.int64) % n_buckets, n_buckets, ids, ords, [x[keep] for x in (doc, low, *identifiers, pos)], _settled(rule, ids[doc], ords[doc], pos, one, one - 1, gone, first, WINDOW))
+        yield from _send(high[keep].astype(np.int64) % n_buckets, n_buckets, ids, ords, [x[keep] for x in (doc, low, *identifiers, pos)], _settled(ids[doc], ords[doc], pos, one, one - 1, gone, first, WINDOW))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows()
@@ -498,7 +471,7 @@ def _window_reduce(rule: Rule) -> Callable:
             buckets = refine(buckets, i, rank, rule.within)
         gone, first = later(buckets, rank, pos, rule.within)
         one = np.ones(len(pos), np.int64)
-        return pa.concat_tables([_passed(table), pa.table(_settled(rule, ids, ords, pos, one, one - 1, gone, first, WINDOW), schema=_HIT)])
+        return pa.concat_tables([_passed(table), pa.table(_settled(ids, ords, pos, one, one - 1, gone, first, WINDOW), schema=HIT)])
 
     return run
 
@@ -508,43 +481,48 @@ def with_rest(ddl: str, docs: DataFrame) -> T.StructType:
     return T.StructType.fromDDL(ddl).add(docs.schema["rest"])
 
 
-def with_hits(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with hits, packed documents, hits by document without the texts).
+def with_hits(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """(documents with hits, packed documents).
 
-    The first has id, ord, the packed text, rest, and the hits of paths and windows as arrays hits and more, or null, of
-    (v, sid, sord, spos) with the coordinate of an earlier equal; the last has id, ord, hits and more.
+    The first has id, ord, the packed text, rest, and the hits of contexts and windows as arrays hits and more, or null, of
+    (v, sid, sord, spos) with the coordinate of an earlier equal.
 
     Every branch of the plan asks for the same columns of the shuffled documents and hits, so that each is shuffled once
     and used again; a column less in one of them would be another shuffle.
     """
     n = parts(docs.sparkSession)
-    blob = f"bucket long, blob binary, {_HIT_SQL}"
-    by_doc = lambda hits, name: hits.groupBy("id", "ord").agg(F.collect_list(F.struct("v", "sid", "sord", "spos")).alias(name))
-    first = docs.select("id", "ord", "text").mapInArrow(_anchor_map(rule, n), blob).groupBy("bucket").applyInArrow(_anchor_reduce(rule), _HIT_SQL)
-    packed = docs.mapInArrow(_pack, with_rest("id long, ord long, text binary", docs))
-    held = packed.join(by_doc(first, "hits"), ["id", "ord"], "left")
+    blob = f"bucket long, blob binary, {HIT_SQL}"
+    first = docs.select("id", "ord", "text").mapInArrow(_anchor_map(rule, n), blob).groupBy("bucket").applyInArrow(_anchor_reduce(rule), HIT_SQL)
+    packed = pack(docs)
+    held = packed.join(by_document(first, "hits"), ["id", "ord"], "left")
     values = F.transform("hits", lambda h: h["v"])
-    is_open = F.coalesce(F.exists(values, lambda v: ~is_first(v) & kind_of(v).isin(LEFT, RIGHT, LEFT | RIGHT)), F.lit(False))
+    is_open = F.coalesce(F.exists(values, lambda v: v.bitwiseAND(F.lit(7)).isin(LEFT, RIGHT, LEFT | RIGHT)), F.lit(False))
     # No filter here: it would be pushed below the join and keep its shuffles from being used again further down.
     opened = held.select("id", "ord", F.when(is_open, F.col("text")).alias("text"), "rest", F.when(is_open, values).alias("hits"))
-    second = opened.mapInArrow(_window_map(rule, n), blob).groupBy("bucket").applyInArrow(_window_reduce(rule), _HIT_SQL)
-    join = lambda rows: rows.join(by_doc(second, "more"), ["id", "ord"], "left")
-    bare = docs.select("id", "ord").join(by_doc(first, "hits"), ["id", "ord"], "left")
-    return join(held), packed, join(bare)
+    second = opened.mapInArrow(_window_map(rule, n), blob).groupBy("bucket").applyInArrow(_window_reduce(rule), HIT_SQL)
+    return held.join(by_document(second, "more"), ["id", "ord"], "left"), packed
+
+
+def by_document(hits: DataFrame, name: str) -> DataFrame:
+    return hits.groupBy("id", "ord").agg(F.collect_list(F.struct("v", "sid", "sord", "spos")).alias(name))
+
+
+def pack(docs: DataFrame) -> DataFrame:
+    """Rows id, ord, text, rest with the texts compressed for a shuffle."""
+    return docs.mapInArrow(_pack, with_rest("id long, ord long, text binary", docs))
 
 
-def spans(pos: np.ndarray, n: np.ndarray, sid: np.ndarray, sord: np.ndarray, spos: np.ndarray, window: int, chain: np.ndarray | None = None) -> list[np.ndarray]:
+def spans(pos: np.ndarray, n: np.ndarray, sid: np.ndarray, sord: np.ndarray, spos: np.ndarray, window: int) -> list[np.ndarray]:
     """Hits of one document compacted to long spans: start, end, source id and ord, start at the source.
 
-    Hits at one distance from one source (and in one ``chain``) that touch or overlap become one span.
+    Hits at one distance from one source that touch or overlap become one span.
     """
-    chain = np.zeros(len(pos), np.int64) if chain is None else chain
     by, end = pos - spos, pos + n - 1 + window
-    order = np.lexsort((pos, chain, by, sord, sid))
-    s, e, i, o, b, c = pos[order], end[order], sid[order], sord[order], by[order], chain[order]
+    order = np.lexsort((pos, by, sord, sid))
+    s, e, i, o, b = pos[order], end[order], sid[order], sord[order], by[order]
     if not len(s):
         return [s, e, i, o, s]
-    apart = np.concatenate([[True], (i[1:] != i[:-1]) | (o[1:] != o[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
+    apart = np.concatenate([[True], (i[1:] != i[:-1]) | (o[1:] != o[:-1]) | (b[1:] != b[:-1])])
     wide = int(e.max()) + 1
     far = np.maximum.accumulate(e + (np.cumsum(apart) - 1) * wide) - (np.cumsum(apart) - 1) * wide
     new = apart | np.concatenate([[True], s[1:] > far[:-1]])
@@ -553,19 +531,21 @@ def spans(pos: np.ndarray, n: np.ndarray, sid: np.ndarray, sord: np.ndarray, spo
 
 
 def found(column: pa.Array, k: int, rule: Rule) -> list[np.ndarray]:
-    """The spans of row k, whose hits are structs of v, sid, sord, spos and maybe a chain; none where it is null."""
+    """The spans of row k, from structs of hits (v, sid, sord, spos) or of spans; none where it is null."""
     own = column.slice(k, 1).flatten()
     fields = {f.name: x.to_numpy(zero_copy_only=False) for f, x in zip(own.type, own.flatten(), strict=True)}
-    v = fields.pop("v")
-    use = (v & FIRST == 0) & np.isin(v & 7, (SETTLED, WINDOW))
-    sid, sord, spos = (fields.pop(name)[use] for name in ("sid", "sord", "spos"))
-    return spans(v[use] >> _AT, v[use] >> _N & _FIELD, sid, sord, spos, rule.window, *(x[use] for x in fields.values()))
+    if "v" not in fields:
+        return [fields[name] for name in ("start", "end", "sid", "sord", "at")]
+    v = fields["v"]
+    use = np.isin(v & 7, (SETTLED, WINDOW))
+    sid, sord, spos = (fields[name][use] for name in ("sid", "sord", "spos"))
+    return spans(v[use] >> _AT, v[use] >> _N & _FIELD, sid, sord, spos, rule.window)
 
 
 def _claims(rule: Rule) -> Callable:
     """Spans with a digest of their own units, gathered by the document whose units they should equal.
 
-    Rows hold id, ord, the packed text, rest and the hits.  A source's text then meets one row for each task, not one for
+    Rows hold id, ord, the packed text, rest and the hits or spans.  A source's text then meets one row for each task, not one for
     each span.
     """
 

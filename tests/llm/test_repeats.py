@@ -88,7 +88,7 @@ def test_refuted_spans_are_left_alone():
     batch = pa.RecordBatch.from_arrays([pa.array([9]), pa.array([0]), claims, pa.array([press(b"a b c d e f")])], names=["sid", "sord", "claims", "text"])
     (out,) = repeats._refuted(rule)(iter([batch]))
     assert out.column("id").to_pylist() == [2]
-    hit = {"sid": 9, "sord": 0, "chain": 0}
+    hit = {"sid": 9, "sord": 0}
     at = lambda pos: int(repeats.number(*np.array([[pos], [1], [0]]), repeats.WINDOW)[0])
     hits = pa.array([[hit | {"v": at(0), "spos": 2}, hit | {"v": at(8), "spos": 40}]])
     bad = pa.array([[{"start": 0, "end": 4}]])
@@ -115,13 +115,25 @@ def test_least_takes_the_first_of_equal_names():
     assert least(names, 3).tolist() == [1, 1, 4, 4, 4, 5, 6]
 
 
-def test_chains_end_where_the_graph_branches(spark):
-    """Three edges in a row at the source; another document leaves the second for an edge of its own."""
-    place = lambda pos: (pos << 13) + 2 * 5
-    src = lambda i, pos: {"id": i, "ord": 0, "p": place(pos)}
-    rows = [(1, 0, place(k), True, None) for k in (0, 5, 10, 15)] + [(2, 0, place(7), True, None)]
-    rows += [(3, 0, place(k), False, src(1, k - 40)) for k in (40, 45, 50, 55)]
-    rows += [(4, 0, place(0), False, src(1, 5)), (4, 0, place(5), False, src(2, 7))]
-    at = spark.createDataFrame(rows, "id long, ord long, p long, first boolean, src struct<id:long,ord:long,p:long>")
-    chains = {(r.name.id, r.name.p >> 13): r.chain >> 13 for r in debruijn.compacted(at).collect()}
-    assert chains == {(1, 0): 0, (1, 5): 0, (1, 10): 10, (1, 15): 10, (2, 7): 7}
+def test_paths_end_where_the_graph_branches(spark):
+    """Two documents go along the whole source, one leaves it in the middle, one enters it late."""
+    span = lambda start, end, at: {"start": start, "end": end, "sid": 1, "sord": 0, "at": at}
+    rows = [(2, 0, [span(0, 60, 0)]), (3, 0, [span(5, 65, 0)]), (4, 0, [span(0, 30, 0)]), (5, 0, [span(7, 47, 20), span(90, 120, 70)])]
+    spans = spark.createDataFrame(rows, debruijn._SPANS_SQL)
+    got = sorted((r.start, r.n_words, r.n_walks) for r in debruijn.compacted(spans).collect())
+    assert got == [(0, 30, 3), (11, 28, 2), (20, 40, 3), (70, 30, 1)]
+
+
+def test_paths_of_documents(docs, texts):
+    paths = debruijn.repeated_paths(docs).collect()
+    words = {i: (t or "").split() for i, t in texts}
+    counts = {}
+    for own in words.values():
+        for k in range(len(own) - 19):
+            key = tuple(own[k : k + 20])
+            counts[key] = counts.get(key, 0) + 1
+    assert paths
+    for r in paths:
+        own = words[r.doc_id][r.start : r.start + r.n_words]
+        assert len(own) == r.n_words >= 20
+        assert all(counts[tuple(own[k : k + 20])] > 1 for k in range(len(own) - 19))
