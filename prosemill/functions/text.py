@@ -45,6 +45,11 @@ def style_words(text: Column) -> Column:
     return F.transform(found, lambda w: F.translate(F.lower(w), "’", "'"))
 
 
+def protection_words(text: Column) -> Column:
+    """Runs of letters, apostrophes and hyphens: what the register of protected words is asked about."""
+    return F.regexp_extract_all(text, F.lit(r"[\p{L}'\-]+"), F.lit(0))
+
+
 def without(items: Column, stop: Iterable[str]) -> Column:
     """Items outside a short list, repeats kept."""
     return F.filter(items, lambda w: ~w.isin(list(stop)))

@@ -1,7 +1,7 @@
 """Protected facts of a text, and the firewall that compares them.
 
 Extraction needs offsets and ordered claiming, which no SQL function offers, so it is one Arrow pass over the texts.
-All that follows (multisets, differences, violations, verdicts) is joins and aggregations.
+A pair of texts is one row, so the multiset difference of its facts is made in that pass too, without a shuffle.
 """
 
 from __future__ import annotations
@@ -9,7 +9,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,57 +77,73 @@ def policy_hash() -> str:
     return hashlib.sha256((json.dumps(policy, sort_keys=True, ensure_ascii=False, separators=(",", ":")) + "\n").encode()).hexdigest()
 
 
-def _flat(s: str) -> str:
-    return re.sub(r"\s+", " ", s.strip())
-
-
 def amount(s: str) -> str:
     """A number without thousands separators and leading plus; minus and trailing zeros stay."""
     return s.replace(",", "").strip().removeprefix("+")
 
 
-def normalize(kind: str, surface: str) -> str | None:
-    """What makes two surfaces of a kind the same fact; None where the content doesn't fit the kind."""
-    if kind == "negation":
-        return "NEG"
-    if kind in ("modal", "time", "cve", "uuid", "hash"):
-        return _flat(surface).lower()
-    if kind == "comparator":
-        low = _flat(surface).lower()
-        return V.EQUAL_COMPARATORS.get(low, low)
-    if kind == "date":
-        return _flat(surface)
-    if kind == "number":
-        return amount(surface)
-    if kind not in ("percentage", "currency", "measurement"):
-        return surface
-    found = _AMOUNT.search(surface)
-    if found is None:
-        return None
-    rest = (surface[: found.start()] + surface[found.end() :]).strip()
-    if kind == "percentage":
-        return amount(found[0]) + "%"
-    if kind == "measurement":
-        return f"{amount(found[0])} {rest}" if rest else None
-    code = V.CURRENCY_SYMBOLS.get(rest) or (rest.upper() if rest.upper() in V.CURRENCY_CODES else None)
-    return f"{code} {amount(found[0])}" if code else None
+def _flat(s: str) -> str:
+    return " ".join(s.split())
+
+
+def _low(s: str) -> str:
+    return _flat(s).lower()
+
+
+def _quantity(s: str) -> tuple[str, str]:
+    """The amount in a surface, and what stands beside it."""
+    m = _AMOUNT.search(s)
+    return amount(m[0]), f"{s[: m.start()]}{s[m.end() :]}".strip()
+
+
+def _money(s: str) -> str | None:
+    value, beside = _quantity(s)
+    code = V.CURRENCY_SYMBOLS.get(beside, beside.upper())
+    return f"{code} {value}" if code in V.CURRENCY_SYMBOLS.values() or code in V.CURRENCY_CODES else None
+
+
+def _measured(s: str) -> str | None:
+    value, unit = _quantity(s)
+    return f"{value} {unit}" if unit else None
+
+
+#: What makes two surfaces of a kind the same fact; a kind that isn't here keeps its surface.
+IDENTITY: dict[str, Callable[[str], str | None]] = {
+    "negation": lambda s: "NEG",
+    "comparator": lambda s: V.EQUAL_COMPARATORS.get(_low(s), _low(s)),
+    "date": _flat,
+    "number": amount,
+    "percentage": lambda s: _quantity(s)[0] + "%",
+    "currency": _money,
+    "measurement": _measured,
+    **dict.fromkeys(("modal", "time", "cve", "uuid", "hash"), _low),
+}
 
 
 def extract(text: str) -> list[tuple[int, int, str, str, str]]:
-    """Facts in document order.  A match that touches claimed text is skipped whole, never shortened."""
-    taken = bytearray(len(text))
-    out = []
-    for kind, pattern in _PATTERNS:
-        for m in pattern.finditer(text):
-            surface = m[0].rstrip(TRIM) if kind in TRIMMED else m[0]
-            start, end = m.start(), m.start() + len(surface)
-            if not surface or taken.find(1, start, end) >= 0:
-                continue
-            identity = normalize(kind, surface)
-            if identity is not None:
-                taken[start:end] = b"\1" * (end - start)
-                out.append((start, end, kind, surface, identity))
-    return sorted(out)
+    """Facts in document order: start, end, kind, surface, identity.
+
+    Kinds claim text in the order of ``KINDS``.  What touches an earlier claim, or has no identity, is no fact and is
+    never shortened to one.
+    """
+    starts: list[int] = []
+    facts_at: dict[int, tuple[int, int, str, str, str]] = {}
+    for kind, m in ((kind, m) for kind, pattern in _PATTERNS for m in pattern.finditer(text)):
+        surface = m[0].rstrip(TRIM) if kind in TRIMMED else m[0]
+        start, end = m.start(), m.start() + len(surface)
+        place = bisect(starts, start)
+        free = surface and (place == 0 or facts_at[starts[place - 1]][1] <= start) and (place == len(starts) or end <= starts[place])
+        identity = IDENTITY.get(kind, str)(surface) if free else None
+        if identity is not None:
+            starts.insert(place, start)
+            facts_at[start] = (start, end, kind, surface, identity)
+    return [facts_at[s] for s in starts]
+
+
+def changed(before: str, after: str) -> tuple[Counter, Counter]:
+    """(lost, introduced) multisets of (kind, identity) between two texts."""
+    a, b = (Counter((kind, identity) for _, _, kind, _, identity in extract(t)) for t in (before, after))
+    return a - b, b - a
 
 
 def with_facts(rows: DataFrame, *columns: str) -> DataFrame:
@@ -153,27 +171,51 @@ def signature(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "kind", "normalized").agg(F.count(F.lit(1)).alias("n"))
 
 
+_DIFFERENCES = pa.list_(pa.struct([("kind", pa.string()), *((f"{side}_{what}", pa.list_(pa.string())) for side in ("lost", "introduced") for what in ("facts", "surfaces"))]))
+_DIFFERENCES_SQL = "array<struct<kind:string,lost_facts:array<string>,lost_surfaces:array<string>,introduced_facts:array<string>,introduced_surfaces:array<string>>>"
+
+
+def _difference(before: str, after: str) -> list[dict]:
+    """By kind, the facts and surfaces that one side has more often."""
+    sides = extract(before), extract(after)
+    counts = [Counter((f[2], f[4]) for f in side) for side in sides]
+    out: dict[str, dict] = {}
+    for name, side, more in (("lost", sides[0], counts[0] - counts[1]), ("introduced", sides[1], counts[1] - counts[0])):
+        for kind in {kind for kind, _ in more}:
+            row = out.setdefault(kind, {"kind": kind} | {f"{s}_{w}": [] for s in ("lost", "introduced") for w in ("facts", "surfaces")})
+            row[f"{name}_facts"] = sorted(identity for (k, identity), n in more.items() if k == kind for _ in range(n))
+            row[f"{name}_surfaces"] = sorted({f[3] for f in side if f[2] == kind and (kind, f[4]) in more})
+    return [out[kind] for kind in sorted(out)]
+
+
+def with_differences(pairs: DataFrame) -> DataFrame:
+    """Pairs (pair_id, before, after) with the array differences."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            found = [[] if a == b else _difference(a or "", b or "") for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _DIFFERENCES)], names=["pair_id", "before", "after", "differences"])
+
+    rows = pairs.select("pair_id", "before", "after")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *StructType.fromDDL(f"differences {_DIFFERENCES_SQL}").fields]))
+
+
 def differences(pairs: DataFrame) -> DataFrame:
-    """(pair_id, kind, lost, introduced) of pairs (pair_id, before, after) whose facts differ, by kind.
+    """(pair_id, kind, lost, introduced, lost_surfaces, introduced_surfaces) of pairs whose facts differ, by kind.
 
-    Facts of either side count +1 and -1 under one key, so the multiset difference is one aggregation without a join.
-    lost and introduced list normalized facts in order, repeated as often as they differ.
+    lost and introduced list facts in order, repeated as often as they differ; surfaces how the texts write them.
     """
-    both = with_facts(pairs.select("pair_id", "before", "after"), "before", "after")
-    mark = lambda column, sign: F.transform(column, lambda f: F.struct(f["kind"].alias("kind"), f["normalized"].alias("normalized"), F.lit(sign).alias("d")))
-    each = both.select("pair_id", F.inline(F.concat(mark("before_facts", 1), mark("after_facts", -1))))
-    left = each.groupBy("pair_id", "kind", "normalized").agg(F.sum("d").alias("d")).where("d <> 0")
-    listed = lambda cond: F.flatten(F.array_sort(F.collect_list(F.when(cond, F.array_repeat(F.col("normalized"), F.abs("d").cast("int"))))))
-    return left.groupBy("pair_id", "kind").agg(listed(F.col("d") > 0).alias("lost"), listed(F.col("d") < 0).alias("introduced"))
+    each = with_differences(pairs).select("pair_id", F.inline("differences"))
+    return each.select("pair_id", "kind", F.col("lost_facts").alias("lost"), F.col("introduced_facts").alias("introduced"), "lost_surfaces", "introduced_surfaces")
 
 
 def violations(pairs: DataFrame) -> DataFrame:
-    """``differences`` with the detail changed, removed or introduced."""
+    """``differences`` as text, with the detail changed, removed or introduced."""
     detail = F.when((F.size("lost") > 0) & (F.size("introduced") > 0), "changed").when(F.size("lost") > 0, "removed").otherwise("introduced")
-    return differences(pairs).select("pair_id", "kind", F.concat_ws("|", "lost").alias("lost"), F.concat_ws("|", "introduced").alias("introduced"), detail.alias("detail"))
+    return differences(pairs).select("pair_id", "kind", *[F.concat_ws("|", c).alias(c) for c in ("lost", "introduced", "lost_surfaces", "introduced_surfaces")], detail.alias("detail"))
 
 
 def check(pairs: DataFrame) -> DataFrame:
     """(pair_id, passed, kinds): whether every fact survived, and the kinds that didn't."""
-    broken = differences(pairs).groupBy("pair_id").agg(F.concat_ws(",", F.array_sort(F.collect_list("kind"))).alias("kinds"))
-    return pairs.select("pair_id").join(broken, "pair_id", "left").select("pair_id", F.col("kinds").isNull().alias("passed"), F.coalesce("kinds", F.lit("")).alias("kinds"))
+    kinds = F.concat_ws(",", F.transform("differences", lambda d: d["kind"]))
+    return with_differences(pairs).select("pair_id", (F.size("differences") == 0).alias("passed"), kinds.alias("kinds"))
