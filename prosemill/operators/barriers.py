@@ -177,6 +177,15 @@ def jargon(sentences: DataFrame, glossary: DataFrame, terms: DataFrame) -> DataF
     return hit.select("doc_id", "sentence", F.lit("jargon").alias("type"), F.col("word").alias("match"), plain.alias("plain"), "domain", F.lit("info").alias("severity"))
 
 
+def confidence(kind: Column) -> Column:
+    """How sure a detector of this type is: high, medium or uncertain."""
+    return lookup(kind, CONFIDENCE, "medium")
+
+
+def priority(kind: Column) -> Column:
+    return lookup(kind, PRIORITY, "consider")
+
+
 def rank(severity: Column) -> Column:
     return F.when(severity == "critical", 3).when(severity == "warning", 2).otherwise(1)
 

@@ -1,64 +1,70 @@
 """Rule matches, conflict resolution and governed edits.
 
-Matching needs offsets, so it is one Arrow pass with the rules' patterns; grouping, settling, refusing and applying are
-windows and aggregations over (doc_id, start, end, rule_id, priority, replacement).
+A document is one row, so one Arrow pass matches the rules, judges and settles the proposals, lets the firewall veto them
+one by one and applies the rest; no text is shuffled.  ``islands`` and ``settle`` do the settling for tables of proposals
+of any origin, by windows.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import markdown, morphology, segment
 from ..functions import text as T
+from ..functions import vocabulary as V
 from . import facts
 
 
 @dataclass(frozen=True)
 class Rule:
-    """literals: surface to replacement; an empty replacement deletes the phrase at a sentence's start."""
+    """literals: surface to replacement; an empty replacement deletes the phrase at a sentence's start.
+
+    Only safe-fix rules are applied; what a protected rule finds is not touched by any; the others only report.
+    """
 
     rule_id: str
     literals: dict[str, str]
     priority: int = 100
     exact: bool = False
+    mode: str = "safe-fix"
+    include: frozenset = frozenset({"prose"})
+    exclude: frozenset = frozenset()
+    pattern: str = ""
+    version: int = 1
 
 
-def inflect(verb: str) -> dict[str, str]:
-    """Regular forms by their ending: base, third person, past, participle."""
-    if re.search(r"[^aeiou]y$", verb):
-        return {"base": verb, "third": verb[:-1] + "ies", "past": verb[:-1] + "ied", "ing": verb + "ing"}
-    stem = verb[:-1] if verb.endswith("e") else verb
-    return {"base": verb, "third": verb + ("es" if re.search(r"(s|x|z|ch|sh)$", verb) else "s"), "past": stem + "ed", "ing": stem + "ing"}
-
-
-# Forms of verbs that don't follow the endings.
-IRREGULAR = {"show": {"past": "showed"}, "spend": {"past": "spent"}, "worsen": {}, "move": {}, "require": {}, "reduce": {}, "examine": {}}
-
-
-def verb_pairs(source: str, target: str) -> dict[str, str]:
-    """Every form of one verb with the same form of another; a surface with two targets is dropped."""
-    a, b = inflect(source), inflect(target) | IRREGULAR.get(target, {})
-    pairs: dict[str, set[str]] = {}
-    for form, surface in a.items():
-        pairs.setdefault(surface, set()).add(b[form])
-    return {s: next(iter(t)) for s, t in pairs.items() if len(t) == 1}
-
-
-# The automatic rules.
-AUTOMATIC = [
-    *[Rule("clarity." + k.replace(" ", "-"), {k: v}) for k, v in {"due to the fact that": "because", "in the event that": "if", "for the purpose of": "for", "in spite of the fact that": "although", "in the near future": "soon", "prior to": "before", "on a regular basis": "regularly"}.items()],
-    *[Rule("framing." + k.strip().replace(" ", "-"), {k: ""}, 120) for k in ("it is important to note that ", "it is worth noting that ")],
-    *[Rule("lexical." + k, {k: v}) for k, v in {"utilise": "use", "utilised": "used", "utilises": "uses", "utilising": "using", "utilize": "use", "utilized": "used", "utilizes": "uses", "utilizing": "using", "commence": "start", "commenced": "started", "predominantly": "mainly"}.items()],
-    *[Rule("lemma." + a, verb_pairs(a, b)) for a, b in {"alleviate": "reduce", "depict": "show", "exacerbate": "worsen", "expend": "spend", "necessitate": "require", "relocate": "move", "scrutinize": "examine"}.items()],
+# Phrases and words that the automatic rules replace.
+CLARITY = [
+    ("due to the fact that", "because"), ("in the event that", "if"), ("for the purpose of", "for"), ("in spite of the fact that", "although"),
+    ("in the near future", "soon"), ("prior to", "before"), ("on a regular basis", "regularly"),
 ]
+LEXICAL = [
+    ("utilise", "use"), ("utilised", "used"), ("utilises", "uses"), ("utilising", "using"), ("utilize", "use"), ("utilized", "used"),
+    ("utilizes", "uses"), ("utilizing", "using"), ("commence", "start"), ("commenced", "started"), ("predominantly", "mainly"),
+]
+LEMMAS = [("alleviate", "reduce"), ("depict", "show"), ("exacerbate", "worsen"), ("expend", "spend"), ("necessitate", "require"), ("relocate", "move"), ("scrutinize", "examine")]
+# Frames that are deleted at a sentence's start, headings aside.
+FRAMES = ["it is important to note that ", "it is worth noting that "]
 # Phrases of art that no rule may touch, and reviewed style fixes (case-sensitive).
 PROTECTED_PHRASES = ["informed consent", "additional insured", "force majeure", "without prejudice", "due diligence", "reasonable doubt"]
 STYLE_FIXES = {"Nevertheless,": "Even so,", "Nonetheless,": "Even so,", "Conversely,": "By contrast,", "Subsequently,": "After that,", "For instance,": "For example,", "Likewise,": "Similarly,"}
+# Beginnings that sound otherwise than they are spelt, and words that can't follow an article.
+CONSONANT_SOUND, VOWEL_SOUND = ("use", "usu", "uni", "euro", "one", "once"), ("hour", "honest", "honour", "honor", "heir")
+NO_ARTICLE = {"enough", "best"}
+
+AUTOMATIC = [
+    *(Rule("clarity." + phrase.replace(" ", "-"), {phrase: new}) for phrase, new in CLARITY),
+    *(Rule("framing." + frame.strip().replace(" ", "-"), {frame: ""}, 120, exclude=frozenset({"heading"})) for frame in FRAMES),
+    *(Rule("lexical." + word, {word: new}) for word, new in LEXICAL),
+    *(Rule("lemma." + verb, morphology.pairs(verb, new)) for verb, new in LEMMAS),
+]
+PROTECTED = [Rule("protected." + phrase.replace(" ", "-"), {phrase: ""}, mode="protected") for phrase in PROTECTED_PHRASES]
 
 _MATCH = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("rule_id", pa.string()), ("priority", pa.int32()), ("surface", pa.string()), ("replacement", pa.string()), ("refusal", pa.string())]))
 _MATCH_SQL = "doc_id long, matches array<struct<start:int,end:int,rule_id:string,priority:int,surface:string,replacement:string,refusal:string>>"
@@ -88,9 +94,11 @@ class Matcher:
 
     def __init__(self, rules: list[Rule]):
         bounded = lambda s: (r"\b" if s[0].isalnum() else "") + re.escape(s) + (r"\b" if s[-1].isalnum() else "")
-        self.rules = [(r, re.compile("|".join(bounded(s) for s in sorted(r.literals, key=len, reverse=True)), 0 if r.exact else re.I)) for r in rules]
-        # One pattern over all literals tells in one pass that a text has no match, which is the common case.
-        self.any = re.compile("|".join(re.escape(s) for r in rules for s in r.literals), re.I) if rules else None
+        one = lambda r: r.pattern or "|".join(bounded(s) for s in sorted(r.literals, key=len, reverse=True))
+        self.rules = [(r, re.compile(one(r), 0 if r.exact else re.I)) for r in rules]
+        self.by_id = {r.rule_id: r for r in rules}
+        # One pattern over all rules tells in one pass that a text has no match, which is the common case.
+        self.any = re.compile("|".join(f"(?:{one(r)})" for r in rules), re.I) if rules else None
 
     def __call__(self, text: str) -> list[tuple]:
         if self.any is None or not self.any.search(text):
@@ -100,16 +108,177 @@ class Matcher:
     @staticmethod
     def _match(text: str, rule: Rule, m: re.Match) -> tuple:
         surface, start, end = m[0], m.start(), m.end()
+        found = lambda new, refusal="", to=end: (start, to, rule.rule_id, rule.priority, surface, new, refusal)
+        if rule.mode in ("protected", "diagnostic"):
+            return found("")
         replacement = rule.literals.get(surface, rule.literals.get(surface.lower(), ""))
         if replacement:
             cased = replacement if rule.exact else in_shape(replacement, shape(surface))
-            return start, end, rule.rule_id, rule.priority, surface, cased or "", "" if cased else "case"
+            return found(cased or "", "" if cased else "case")
         following, before = text[end : end + 1], text[:start].rstrip()
         if not following or following.isspace() or following in ",;:.!?" or (before and before[-1] not in ".!?"):
-            return start, end, rule.rule_id, rule.priority, surface, "", "spacing"
-        if following.islower():
-            return start, end + 1, rule.rule_id, rule.priority, surface, following.upper(), ""
-        return start, end, rule.rule_id, rule.priority, surface, "", ""
+            return found("", "spacing")
+        return found(following.upper(), to=end + 1) if following.islower() else found("")
+
+
+@dataclass(frozen=True)
+class Proposal:
+    """One edit that a rule proposes, and what became of it.
+
+    decision: accepted, duplicate, superseded-by-priority, superseded-by-longer, conflict, refused or vetoed; reason says why
+    one was refused (case, spacing, article, declared-protected, inherited-protected) or which facts a veto saved.
+    """
+
+    start: int
+    end: int
+    rule_id: str
+    priority: int
+    surface: str
+    replacement: str
+    decision: str = ""
+    reason: str = ""
+
+
+_ARTICLE = re.compile(r"(?<![\w'’])(an|a)(\s+)\Z", re.I)
+
+
+def protection_words(text: str) -> list[str]:
+    """Runs of letters, apostrophes and hyphens: what the register of protected words is asked about."""
+    return [m[0] for m in re.finditer(r"(?:[^\W\d_]|['-])+", text)]
+
+
+def sounds_vowel(word: str) -> bool:
+    low = word.lower()
+    return low.startswith(VOWEL_SOUND) or (low[:1] in set("aeiou") and not low.startswith(CONSONANT_SOUND))
+
+
+def agreed(text: str, start: int, end: int, replacement: str) -> tuple[int, str, bool]:
+    """(start, replacement, possible) with a/an before the span corrected for the replacement's sound.
+
+    The span is widened over the article, whose capitals are kept; some words can't follow an article at all.
+    """
+    article = _ARTICLE.search(text[max(0, start - 8) : start])
+    if article is None or not replacement:
+        return start, replacement, True
+    if replacement.split()[0].lower() in NO_ARTICLE:
+        return start, replacement, False
+    if sounds_vowel(text[start:end]) == sounds_vowel(replacement):
+        return start, replacement, True
+    old, new = article[1], "an" if sounds_vowel(replacement) else "a"
+    if old.isupper() and len(old) == 2:
+        new = new.upper()
+    elif old[0].isupper():
+        new = new.capitalize()
+    return start - len(article[0]), f"{new}{article[2]}{replacement}", True
+
+
+@dataclass
+class Layout:
+    """Where a document's blocks stand, and which scopes hold there; segments don't overlap."""
+
+    blocks: list[tuple[int, int]]
+    segments: list[tuple[int, int, frozenset]] = field(default_factory=list)
+
+    @classmethod
+    def of_text(cls, text: str) -> Layout:
+        found = segment.paragraph_ranges(text)
+        return cls(found, [(a, b, frozenset({"prose"})) for a, b in found])
+
+    @classmethod
+    def of_markdown(cls, text: str) -> Layout:
+        found = markdown.scopes(text)
+        return cls([(b["start"], b["end"]) for b in markdown.blocks(text)], found)
+
+    def block(self, start: int, end: int) -> tuple[int, int] | None:
+        """The one block that holds a span; None where it crosses a block's edge or lies outside."""
+        return next(((a, b) for a, b in self.blocks if a <= start and end <= b), None)
+
+    def scopes(self, start: int, end: int) -> frozenset:
+        """All scopes of the segments that a span touches."""
+        return frozenset().union(*(s for a, b, s in self.segments if a < end and start < b))
+
+
+def settled(proposals: list[Proposal]) -> list[Proposal]:
+    """``settle`` for the proposals of one document."""
+    out: list[Proposal] = []
+    group: list[Proposal] = []
+
+    def close() -> None:
+        if not group:
+            return
+        top, low, high = max(p.priority for p in group), min(p.start for p in group), max(p.end for p in group)
+        tops = [p for p in group if p.priority == top]
+        covers = [p for p in group if (p.start, p.end) == (low, high)]
+        if len({(p.start, p.end, p.replacement) for p in group}) == 1:
+            winner, others = min(group, key=lambda p: p.rule_id), "duplicate"
+        elif len(tops) == 1:
+            winner, others = tops[0], "superseded-by-priority"
+        elif len(covers) == 1:
+            winner, others = covers[0], "superseded-by-longer"
+        else:
+            winner, others = None, "conflict"
+        out.extend(replace(p, decision="accepted" if p is winner else others) for p in group)
+
+    reach = -1
+    for p in sorted(proposals, key=lambda p: (p.start, p.end, p.rule_id)):
+        if p.start >= reach and group:
+            close()
+            group = []
+        group.append(p)
+        reach = max(reach, p.end)
+    close()
+    return out
+
+
+def planned(text: str, find: Matcher, layout: Layout | None = None) -> list[Proposal]:
+    """Every proposal for a text with its decision, in order.
+
+    A match outside its rule's scopes, or across blocks, proposes nothing.  A refused one takes part in no conflict.  The
+    firewall looks at each winner by itself, then within its block; the losers of a vetoed winner don't come back.
+    """
+    found = find(text)
+    if not found:
+        return []
+    layout = layout or Layout.of_text(text)
+    declared = [(m[0], m[1]) for m in found if find.by_id[m[2]].mode == "protected"]
+    open_, out = [], []
+    for start, end, rule_id, priority, surface, replacement, refusal in found:
+        rule = find.by_id[rule_id]
+        scopes = layout.scopes(start, end)
+        if rule.mode != "safe-fix" or layout.block(start, end) is None or not scopes & rule.include or scopes & rule.exclude:
+            continue
+        possible = True
+        if not refusal:
+            start, replacement, possible = agreed(text, start, end, replacement)
+        p = Proposal(start, end, rule_id, priority, text[start:end], replacement)
+        inherited = next((w for w in protection_words(p.surface) if w.lower() in V.PROTECTED_TERMS), None)
+        if refusal or not possible:
+            out.append(replace(p, decision="refused", reason=refusal or "article"))
+        elif any(a < end and start < b for a, b in declared):
+            out.append(replace(p, decision="refused", reason="declared-protected"))
+        elif inherited:
+            out.append(replace(p, decision="refused", reason=f"inherited-protected: {inherited} ({V.PROTECTED_TERMS[inherited.lower()]})"))
+        else:
+            open_.append(p)
+    for p in settled(open_):
+        if p.decision == "accepted":
+            low, high = layout.block(p.start, p.end) or (p.start, p.end)
+            for before, after in ((p.surface, p.replacement), (text[low:high], text[low : p.start] + p.replacement + text[p.end : high])):
+                kinds = sorted({kind for side in facts.changed(before, after) for kind, _ in side})
+                if kinds:
+                    p = replace(p, decision="vetoed", reason=",".join(kinds))
+                    break
+        out.append(p)
+    return sorted(out, key=lambda p: (p.start, p.end, p.rule_id))
+
+
+def spliced_text(text: str, accepted: list[Proposal]) -> str:
+    """``text`` with accepted proposals, sorted and apart, applied."""
+    out, at = [], 0
+    for p in accepted:
+        out += [text[at : p.start], p.replacement]
+        at = p.end
+    return "".join([*out, text[at:]])
 
 
 def matches(docs: DataFrame, rules: list[Rule] = AUTOMATIC) -> DataFrame:
@@ -192,22 +361,52 @@ def apply_edits(docs: DataFrame, accepted: DataFrame) -> DataFrame:
     return rows.withColumn("status", status).select("doc_id", "before", F.when(F.col("status") == "applied", spliced(F.col("before"), F.col("edits"))).otherwise(F.col("before")).alias("after"), "edits", "status")
 
 
-def guarded(docs: DataFrame, rules: list[Rule] = AUTOMATIC) -> DataFrame:
-    """Match, settle, apply, then let the firewall refuse whole documents whose facts would change.
+_PROPOSALS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("rule_id", pa.string()), ("priority", pa.int32()), ("surface", pa.string()), ("replacement", pa.string()), ("decision", pa.string()), ("reason", pa.string())]))
+PROPOSALS_SQL = "array<struct<start:int,end:int,rule_id:string,priority:int,surface:string,replacement:string,decision:string,reason:string>>"
+_PLAN = pa.schema([("doc_id", pa.int64()), ("before", pa.string()), ("after", pa.string()), ("proposals", _PROPOSALS), ("broken", pa.string())])
+
+
+def plans(docs: DataFrame, rules: list[Rule] = AUTOMATIC, protected: list[Rule] = PROTECTED, as_markdown: bool = False) -> DataFrame:
+    """(doc_id, before, after, proposals, broken): every proposal and the text with the accepted ones applied.
+
+    broken names the facts that all accepted edits together would change; the text then stays as it is.
+    """
+    layout: Callable[[str], Layout] = Layout.of_markdown if as_markdown else Layout.of_text
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Matcher([*rules, *protected])
+        for batch in it:
+            befores = [t or "" for t in batch.column(1).to_pylist()]
+            afters, found, broken = [], [], []
+            for text in befores:
+                own = planned(text, find, layout(text) if find.any and find.any.search(text) else None)
+                after = spliced_text(text, [p for p in own if p.decision == "accepted"])
+                lost = ",".join(sorted({kind for side in facts.changed(text, after) for kind, _ in side})) if after != text else ""
+                found.append([vars(p) for p in own])
+                afters.append(text if lost else after)
+                broken.append(lost)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(befores, pa.string()), pa.array(afters, pa.string()), pa.array(found, _PROPOSALS), pa.array(broken, pa.string())], schema=_PLAN)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, before string, after string, proposals {PROPOSALS_SQL}, broken string")
+
+
+def decided(column: str | Column, decision: str) -> Column:
+    return F.filter(column, lambda p: p["decision"] == decision)
+
+
+def guarded(docs: DataFrame, rules: list[Rule] = AUTOMATIC, as_markdown: bool = False) -> DataFrame:
+    """(doc_id, before, after, n_edits, n_vetoed, status, kinds) with every edit applied that the firewall lets pass.
 
-    A match in a protected phrase is refused first.  Returns doc_id, before, after, n_edits, status (applied, unchanged,
-    overlap or refused) and kinds, the facts that a refusal saved.
+    status: applied; refused where every edit was vetoed, or all of them together would change a fact; unchanged without
+    edits.  kinds are the facts that vetoes saved.
     """
-    found = matches(docs, rules).where("refusal = ''")
-    phrases = T.any_of(PROTECTED_PHRASES)
-    found = found.where(~F.col("surface").rlike(phrases))
-    accepted = settle(found).where("decision = 'accepted'")
-    applied = apply_edits(docs, accepted)
-    changed = applied.where("status = 'applied'").select(F.col("doc_id").alias("pair_id"), "before", "after")
-    kept = facts.differences(changed).groupBy(F.col("pair_id").alias("doc_id")).agg(F.concat_ws(",", F.array_sort(F.collect_list("kind"))).alias("kinds"))
-    rows = applied.join(kept, "doc_id", "left")
-    refused = F.col("kinds").isNotNull()
-    return rows.select("doc_id", "before", F.when(refused, F.col("before")).otherwise(F.col("after")).alias("after"), F.when(refused, F.lit(0)).otherwise(F.size("edits")).cast("long").alias("n_edits"), F.when(refused, "refused").otherwise(F.col("status")).alias("status"), F.coalesce("kinds", F.lit("")).alias("kinds"))
+    rows = plans(docs, rules, as_markdown=as_markdown)
+    vetoed = decided("proposals", "vetoed")
+    whole = F.col("broken") != ""
+    n = F.when(whole, F.lit(0)).otherwise(F.size(decided("proposals", "accepted"))).cast("long")
+    status = F.when(n > 0, "applied").when(whole | (F.size(vetoed) > 0), "refused").otherwise("unchanged")
+    kinds = F.array_sort(F.array_distinct(F.flatten(F.transform(F.concat(F.transform(vetoed, lambda p: p["reason"]), F.when(whole, F.array("broken")).otherwise(F.array().cast("array<string>"))), lambda r: F.split(r, ",")))))
+    return rows.select("doc_id", "before", "after", n.alias("n_edits"), F.size(vetoed).cast("long").alias("n_vetoed"), status.alias("status"), F.concat_ws(",", kinds).alias("kinds"))
 
 
 def fix_budget(hits: Column, target: Column, replacement: Column, notice: Column) -> Column:

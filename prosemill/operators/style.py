@@ -1,27 +1,25 @@
 """Style metrics, the thirteen diagnostics, and their interpretation under profiles.
 
-Sentence-level measures stay inside a row as arrays; only what must be counted across a document is exploded, after all
-other columns are dropped.  Documents are rows (doc_id, text); blocks are rows (doc_id, position, kind, level, text).
+Metrics are SQL functions over arrays within a row.  Diagnostics are one Arrow pass over a document, see ``observe``.
+Documents are rows (doc_id, text); blocks are rows (doc_id, position, kind, level, text).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions import segment
 from ..functions import text as T
 from ..functions import vocabulary as V
+from . import observe
 
 SHORT, LONG = 8, 30
-NGRAMS, NGRAM_COUNT, NGRAM_KEPT = (3, 4, 5), 3, 50
-OVERLAP_TOKENS, OVERLAP_SHARED, OVERLAP_UPDATES, OVERLAP_PAIRS = 20, 5, 200_000, 20_000
 CONTRACTION = T.any_of(V.CONTRACTIONS)
-TRANSITION, TRANSITION_PHRASE = T.any_of(V.TRANSITIONS), T.any_of(V.TRANSITION_PHRASES)
-INITIAL = r"(?i)^[^\p{L}\p{N}]*(" + "|".join(sorted(V.INITIAL_TRANSITIONS, key=len, reverse=True)) + r")(?:[^\p{L}\p{N}_'-]|$)"
-FRAMING = T.any_of(V.FRAMING_PHRASES)
-TRIAD = r"(?i)[\p{L}\p{N}_'’-]+,[ \t\n\r]+[\p{L}\p{N}_'’-]+,?[ \t\n\r]+and[ \t\n\r]+[\p{L}\p{N}_'’-]*[\p{L}\p{N}_]"
 
 
 def _among(items: list[str]) -> Callable[[Column], Column]:
@@ -106,137 +104,76 @@ def block_metrics(blocks: DataFrame) -> DataFrame:
     )
 
 
-def _observed(rows: DataFrame, diagnostic: str, value: Column, sample: Column, label: Column) -> DataFrame:
-    return rows.select("doc_id", F.lit(diagnostic).alias("diagnostic"), T.round6(value).alias("value"), sample.cast("long").alias("sample"), label.cast("string").alias("label"))
+_FINDINGS = pa.list_(pa.struct([("diagnostic", pa.string()), ("value", pa.float64()), ("sample", pa.int64()), ("label", pa.string()), ("evidence", pa.list_(pa.struct([("place", pa.int32()), ("excerpt", pa.string())])))]))
+_FINDINGS_SQL = "array<struct<diagnostic:string,value:double,sample:bigint,label:string,evidence:array<struct<place:int,excerpt:string>>>>"
 
 
-def uniformity(units: DataFrame, diagnostic: str) -> DataFrame:
-    """Variation of lengths; units are rows (doc_id, lengths)."""
-    rows = units.where(F.size("lengths") > 0)
-    return _observed(rows, diagnostic, T.spread(F.col("lengths"))["variation"], F.size("lengths"), F.lit(None))
+def _observed(rows: DataFrame, column: str, one: Callable[[object], list[dict]]) -> DataFrame:
+    """(doc_id, diagnostic, value, sample, label, evidence) of what ``one`` finds in a column; one pass, no shuffle."""
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([one(x) for x in batch.column(1).to_pylist()], _FINDINGS)], names=["doc_id", "f"])
 
-def repeated_opener(units: DataFrame, diagnostic: str) -> DataFrame:
-    """Largest share of units that open with the same one, two or three words; units are rows (doc_id, texts).
-
-    Of equal shares the longer opener counts, then the first in order.  All units are the denominator.
-    """
-    sized = units.select("doc_id", F.size("texts").alias("n"), F.explode("texts").alias("t")).select("doc_id", "n", T.style_words(F.col("t")).alias("w"))
-    openers = sized.select("doc_id", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("size"), F.when(F.size("w") >= k, F.array_join(F.slice("w", 1, k), " ")).alias("opener")) for k in (1, 2, 3)])).alias("o")).where("o.opener is not null")
-    counted = openers.groupBy("doc_id", "n", F.col("o.size").alias("size"), F.col("o.opener").alias("opener")).agg(F.count(F.lit(1)).alias("c")).where("c >= 2")
-    best = counted.groupBy("doc_id", "n").agg(F.min(F.struct((-F.col("c")).alias("c"), (-F.col("size")).alias("size"), "opener")).alias("b"))
-    return _observed(best, diagnostic, -F.col("b.c") / F.col("n").cast("double"), F.col("n"), F.col("b.opener"))
+    narrow = rows.select("doc_id", column)
+    return narrow.mapInArrow(run, StructType([narrow.schema["doc_id"], *StructType.fromDDL(f"f {_FINDINGS_SQL}").fields])).select("doc_id", F.inline("f"))
 
 
-def transition_hits(docs: DataFrame) -> DataFrame:
-    """(doc_id, sentences, hits) with every connective found by three independent scans."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), T.simple_sentences(text).alias("s"))
-    fold = lambda found: F.transform(found, lambda h: F.lower(h))
-    initial = F.filter(F.transform("s", lambda s: F.lower(F.regexp_extract(s, INITIAL, 1))), lambda h: h != "")
-    hits = F.concat(fold(T.matches(F.col("text"), TRANSITION)), fold(T.matches(F.col("text"), TRANSITION_PHRASE)), initial)
-    return rows.select("doc_id", F.size("s").alias("sentences"), hits.alias("hits"))
+def sentence_findings(docs: DataFrame, split: Callable[[str], list[str]] = observe.simple_split) -> DataFrame:
+    """The diagnostics that need only text and sentences, with evidence; ``split`` may be the full splitter."""
+    return _observed(docs, "text", lambda text: observe.of_sentences(text or "", split))
 
 
-def top_label(rows: DataFrame, labels: str, least: int = 2) -> DataFrame:
-    """(doc_id, n, c, label): the commonest of an array column per document, ties to the first in order."""
-    each = rows.select("doc_id", F.size(labels).alias("n"), F.explode(labels).alias("label")).groupBy("doc_id", "n", "label").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least)
-    return each.groupBy("doc_id", "n").agg(F.min(F.struct((-F.col("c")).alias("c"), "label")).alias("b")).select("doc_id", "n", (-F.col("b.c")).alias("c"), "b.label")
+def sentence_diagnostics(docs: DataFrame) -> DataFrame:
+    """``sentence_findings`` on simple sentences, without evidence."""
+    return sentence_findings(docs).drop("evidence")
 
 
-def sentence_diagnostics(docs: DataFrame) -> DataFrame:
-    """The diagnostics that need only text and sentences."""
+def block_findings(blocks: DataFrame) -> DataFrame:
+    """The diagnostics that need paragraphs and other blocks, with evidence; a document's blocks meet in one row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", text.alias("text"), T.simple_sentences(text).alias("s"), T.style_words(text).alias("w"))
-    lengths = base.select("doc_id", F.transform("s", lambda s: F.size(T.style_words(s))).alias("lengths"))
-    hits = transition_hits(docs)
-    flagged = base.select("doc_id", F.size("w").alias("total"), F.filter("w", lambda x: x.isin(V.FLAGGED_WORDS)).alias("f"))
-    over = top_label(flagged, "f").join(flagged.select("doc_id", "total"), "doc_id")
-    figures = base.select("doc_id", F.size("s").alias("ns"), F.array(*[F.struct((-F.size(F.filter("s", _like(p)))).alias("c"), F.lit(k).alias("label")) for k, p in V.RHETORICAL.items()]).alias("f"))
-    best = figures.select("doc_id", "ns", F.array_min("f").alias("b")).where("b.c < 0")
-    triads = base.select("doc_id", F.size("s").alias("ns"), F.size(F.filter("s", lambda s: s.rlike(TRIAD))).alias("c")).where("c >= 2")
-    parts = [
-        uniformity(lengths, "SENTENCE_UNIFORMITY"),
-        repeated_opener(base.select("doc_id", F.col("s").alias("texts")), "REPEATED_SENTENCE_OPENER"),
-        _observed(hits.where("sentences > 0 and size(hits) > 0"), "TRANSITION_DENSITY", F.size("hits") / F.col("sentences").cast("double"), F.col("sentences"), F.lit(None)),
-        _observed(top_label(hits, "hits"), "REPEATED_TRANSITION", F.col("c") / F.col("n").cast("double"), F.col("n"), F.col("label")),
-        _observed(over.where("total > 0"), "VOCABULARY_OVERUSE", F.col("c") * 1000.0 / F.col("total"), F.col("total"), F.col("label")),
-        _observed(best, "RHETORICAL_REPETITION", -F.col("b.c") * 10.0 / F.col("ns"), F.col("ns"), F.col("b.label")),
-        _observed(triads, "TRIADIC_REPETITION", F.col("c") * 10.0 / F.col("ns"), F.col("ns"), F.lit(None)),
-        repeated_phrase(docs),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    rows = blocks.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("position").cast("long").alias("position"), "kind", text.alias("text"))).alias("b"))
+    return _observed(rows, "b", lambda b: observe.of_blocks([(x["position"], x["kind"], x["text"]) for x in b]))
 
 
-def repeated_phrase(docs: DataFrame) -> DataFrame:
-    """The commonest repeated phrase of three to five words within sentences.
+def block_diagnostics(blocks: DataFrame) -> DataFrame:
+    """``block_findings`` without evidence."""
+    return block_findings(blocks).drop("evidence")
 
-    Only the 50 longest, then commonest, then first phrases of a document are retained, as the measure defines it.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", T.simple_sentences(text).alias("s"), F.size(T.style_words(text)).alias("total"))
-    nothing = F.array().cast("array<struct<size:int,phrase:string>>")
 
-    def runs(ws: Column, size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(ws) - (size - 1), F.lit(1)))
-        telling = F.filter(F.transform(starts, lambda i: F.slice(ws, i, size)), lambda g: F.exists(g, lambda w: ~w.isin(V.STOP_WORDS)))
-        return F.when(F.size(ws) >= size, F.transform(telling, lambda g: F.struct(F.lit(size).alias("size"), F.array_join(g, " ").alias("phrase")))).otherwise(nothing)
+def available_samples(docs: DataFrame) -> DataFrame:
+    """(doc_id, diagnostic, sample): how much there is for each diagnostic to measure, the silent ones too.
+
+    Paragraphs are the blocks between blank lines.
+    """
 
-    def grams(s: Column) -> Column:
-        return T.let(T.style_words(s), lambda ws: F.flatten(F.array(*[runs(ws, size) for size in NGRAMS])))
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows = []
+            for text in batch.column(1).to_pylist():
+                text = text or ""
+                blocks = [(k, "paragraph", text[a:b]) for k, (a, b) in enumerate(segment.paragraph_ranges(text))]
+                rows.append([{"diagnostic": d, "sample": n} for d, n in observe.samples(text, blocks).items()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.struct([("diagnostic", pa.string()), ("sample", pa.int64())])))], names=["doc_id", "f"])
 
-    each = rows.select("doc_id", "total", F.size("s").alias("ns"), F.explode(F.flatten(F.transform("s", grams))).alias("g"))
-    counted = each.groupBy("doc_id", "total", "ns", F.col("g.size").alias("size"), F.col("g.phrase").alias("phrase")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= NGRAM_COUNT)
-    kept = counted.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("size"), F.desc("c"), "phrase"))).where(F.col("r") <= NGRAM_KEPT)
-    best = kept.groupBy("doc_id", "total", "ns").agg(F.max(F.struct("c", "size", "phrase")).alias("b"))
-    return _observed(best, "REPEATED_PHRASE", F.col("b.c") * 100.0 / F.col("total"), F.col("ns"), F.col("b.phrase"))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, f array<struct<diagnostic:string,sample:bigint>>").select("doc_id", F.inline("f"))
 
 
-def lexical_overlap(blocks: DataFrame) -> DataFrame:
-    """Best Jaccard of the content words of two comparable paragraphs of a document.
+def band_map(findings: DataFrame) -> DataFrame:
+    """(doc_id, profile, diagnostic, band) for every diagnostic: not-assessed, none, notice or strong.
 
-    Pairs come from an inverted index joined with itself, rarest token first within a budget of pair updates, which is
-    part of the measure; both the budget and the scored pairs are counted per document by windows.
+    ``findings`` is the result of ``interpret``; a diagnostic that found nothing is in band none.
     """
-    p = blocks.where("kind = 'paragraph'").select("doc_id", "position", T.without(T.style_words(F.coalesce(F.col("text"), F.lit(""))), V.STOP_WORDS).alias("c"))
-    counts = p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("paragraphs"), F.count_if(F.size("c") >= OVERLAP_TOKENS).alias("comparable"))
-    sets = p.where(F.size("c") >= OVERLAP_TOKENS).select("doc_id", "position", F.array_distinct("c").alias("t"))
-    index = sets.select("doc_id", "position", F.size("t").alias("n"), F.explode("t").alias("token"))
-    df = index.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("df")).join(counts, "doc_id").where(F.col("df") <= F.greatest(F.lit(2), F.floor(F.col("comparable") / 2)))
-    spent = F.sum(F.expr("df * (df - 1) div 2")).over(Window.partitionBy("doc_id").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    used = df.withColumn("spent", spent).where(F.col("spent") <= OVERLAP_UPDATES).select("doc_id", "token")
-    useful = index.join(used, ["doc_id", "token"])
-    left, right = useful.select("doc_id", "token", F.col("position").alias("l")), useful.select("doc_id", "token", F.col("position").alias("r"))
-    pairs = left.join(right, ["doc_id", "token"]).where("l < r").groupBy("doc_id", "l", "r").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= OVERLAP_SHARED)
-    pairs = pairs.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("l", "r"))).where(F.col("k") <= OVERLAP_PAIRS)
-    a = sets.select("doc_id", F.col("position").alias("l"), F.col("t").alias("lt"))
-    b = sets.select("doc_id", F.col("position").alias("r"), F.col("t").alias("rt"))
-    scored = pairs.join(a, ["doc_id", "l"]).join(b, ["doc_id", "r"]).select("doc_id", "l", "r", (F.size(F.array_intersect("lt", "rt")) / F.size(F.array_union("lt", "rt")).cast("double")).alias("score"))
-    best = scored.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("score"), "l", "r")).alias("b")).join(counts, "doc_id")
-    return _observed(best, "LEXICAL_OVERLAP", -F.col("b.score"), F.col("paragraphs"), F.concat_ws("/", "b.l", "b.r"))
+    names = findings.sparkSession.createDataFrame([(d,) for d in V.DIAGNOSTICS], "diagnostic string")
+    every = findings.select("doc_id", "profile").distinct().join(F.broadcast(names))
+    own = findings.select("doc_id", "profile", "diagnostic", F.when(F.col("severity") == "insufficient_sample", "not-assessed").otherwise(F.col("severity")).alias("band"))
+    return every.join(own, ["doc_id", "profile", "diagnostic"], "left").withColumn("band", F.coalesce("band", F.lit("none")))
 
 
-def block_diagnostics(blocks: DataFrame) -> DataFrame:
-    """The diagnostics that need paragraphs and other blocks."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = blocks.select("doc_id", "position", "kind", text.alias("text"))
-    grouped = rows.groupBy("doc_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "paragraph", F.struct("position", "text")))), lambda x: x["text"]).alias("paragraphs"),
-        F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]).alias("all"),
-        F.count_if(F.col("kind") == "list_item").alias("items"),
-    )
-    lengths = grouped.select("doc_id", F.transform("paragraphs", lambda p: F.size(T.style_words(p))).alias("lengths"))
-    units = grouped.select("doc_id", F.when(F.size("paragraphs") > 0, F.size("paragraphs")).otherwise(F.size("all")).alias("n"), T.total(F.transform("all", lambda t: F.size(T.matches(t, FRAMING)))).alias("c"))
-    return (
-        uniformity(lengths, "PARAGRAPH_UNIFORMITY")
-        .union(repeated_opener(grouped.select("doc_id", F.col("paragraphs").alias("texts")), "REPEATED_PARAGRAPH_OPENER"))
-        .union(_observed(units.where("c > 0"), "CANNED_FRAMING", F.col("c") / F.col("n").cast("double"), F.col("n"), F.lit(None)))
-        .union(_observed(grouped.where("items > 0"), "LIST_DOMINANCE", F.col("items") / F.size("all").cast("double"), F.size("all"), F.lit(None)))
-        .union(lexical_overlap(blocks))
-    )
+def structure(blocks: DataFrame) -> DataFrame:
+    """(doc_id, position, kind, label, text) of blocks: line breaks as spaces, quotes and list items labelled."""
+    label = F.when(F.col("kind") == "quote", "quote").when(F.col("kind") == "list_item", "item").otherwise("")
+    return blocks.select("doc_id", "position", "kind", label.alias("label"), F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t]*\r?\n[ \t]*", " ").alias("text"))
 
 
 def rules_table(spark: SparkSession) -> DataFrame:

@@ -6,10 +6,11 @@ import re
 
 from ..functions import vocabulary as V
 from ..operators import barriers as B
-from ..operators.edits import AUTOMATIC
+from ..operators.edits import AUTOMATIC, PROTECTED
+from ..operators.present import STYLE_RULES
 from .oracles import SENTENCES, WORDS, syllables, text_list
 from .style_oracles import q
-from .templates import DOCS_SQL, PAIRS_SQL
+from .templates import BARRIERS, CASES, DOCS_SQL, PAIRS_SQL
 
 
 def _pattern(rule) -> str:
@@ -63,7 +64,14 @@ _ACTION = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in B.ADVICE.
 TABLE = {
     "rule_matches": f"WITH {DOCS_SQL} SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{r.rule_id}' AS rule_id, CAST(len(regexp_extract_all(text, {q(_pattern(r))})) AS BIGINT) AS n FROM template_docs" for r in AUTOMATIC) + ") WHERE n > 0",
     "conflict_settlement": SETTLED,
-    "guarded_edits": f"WITH {DOCS_SQL} SELECT doc_id, replace(replace(replace(replace(text, 'prior to', 'before'), 'utilise', 'use'), 'It is important to note that refunds', 'Refunds'), 'due to the fact that', 'because') AS after, CAST(4 AS BIGINT) AS n_edits, 'applied' AS status, '' AS kinds FROM template_docs",
+    "guarded_edits": f"WITH {DOCS_SQL} SELECT doc_id, replace(replace(replace(replace(text, 'prior to', 'before'), 'utilise', 'use'), 'It is important to note that refunds', 'Refunds'), 'due to the fact that', 'because') AS after, CAST(4 AS BIGINT) AS n_edits, CAST(0 AS BIGINT) AS n_vetoed, 'applied' AS status, '' AS kinds FROM template_docs",
+    "vetoed_edits": f"WITH {DOCS_SQL} SELECT doc_id, replace(replace(replace(replace(replace(text, 'prior to', 'before'), 'utilise', 'use'), 'It is important to note that refunds', 'Refunds'), 'due to the fact that', 'because'), 'weighs', 'is') AS after, CAST(5 AS BIGINT) AS n_edits, CAST(1 AS BIGINT) AS n_vetoed, 'applied' AS status, 'modal' AS kinds FROM template_docs",
+    "article_edits": """SELECT o_orderkey AS doc_id, 'A used tool, number ' || o_orderkey || '. A started task is a spent sum.' || chr(10) || chr(10) || 'The material before use is chronic, and informed consent comes first.' AS after,
+  'lexical.utilised:An utilised:A used:accepted: | lexical.commenced:commenced:started:accepted: | lemma.expend:an expended:a spent:accepted: | test.material:The material:The stuff:refused:inherited-protected: material (legal) | clarity.prior-to:prior to:before:accepted: | test.informed:informed:told:refused:declared-protected' AS proposals FROM orders""",
+    "rule_listing": "SELECT * FROM (VALUES " + ", ".join(f"({q(r.rule_id)}, {q(r.mode)}, CAST({r.priority} AS INTEGER), {q(a)}, {q(b)})" for r in [*AUTOMATIC, *PROTECTED, *STYLE_RULES] for a, b in sorted(r.literals.items())) + ") t(rule_id, mode, priority, surface, replacement)",
+    "verdict_cases": f"SELECT o_orderkey AS pair_id, {[c[2] for c in CASES]}[o_orderkey % {len(CASES)} + 1] AS verdict, {[c[3] for c in CASES]}[o_orderkey % {len(CASES)} + 1] AS codes FROM orders",
+    "barrier_cases": "SELECT o_orderkey AS doc_id, CAST(sentence AS BIGINT) AS sentence, type, match, severity, confidence, priority FROM orders, (VALUES " + ", ".join(f"({b[0]}, " + ", ".join(map(q, b[1:])) + ")" for b in BARRIERS) + ") t(sentence, type, match, severity, confidence, priority)",
+    "protection_words": "SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[\\p{L}''\\-]+')) AS BIGINT) AS n_words FROM documents",
     "revised_offsets": "WITH e AS (SELECT l_orderkey AS doc_id, l_linenumber * 10 AS s, l_linenumber * 10 + 2 + l_partkey % 6 AS e, l_suppkey % 9 AS len FROM lineitem) SELECT doc_id, CAST(CASE WHEN count(*) FILTER (WHERE s < 35 AND 35 < e) > 0 THEN max(s) FILTER (WHERE s < 35 AND 35 < e) ELSE 35 END + coalesce(sum(len - (e - s)) FILTER (WHERE e <= 35), 0) AS BIGINT) AS revised FROM e GROUP BY doc_id",
     "fix_budgets": "WITH h AS (SELECT o_custkey AS doc_id, count(*) AS n, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS t, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS r, greatest(count(*) FILTER (WHERE o_orderpriority = '2-HIGH'), count(*) FILTER (WHERE o_orderpriority = '3-MEDIUM'), count(*) FILTER (WHERE o_orderpriority = '4-NOT SPECIFIED')) AS o FROM orders GROUP BY 1), k AS (SELECT *, unnest(range(1, t + 1)) AS k FROM h) SELECT h.doc_id, CAST(coalesce(min(k.k) FILTER (WHERE greatest(k.t - k.k, k.r + k.k, k.o) / CAST(k.n AS DOUBLE) < 0.4::DOUBLE), 0) AS BIGINT) AS budget FROM h LEFT JOIN k USING (doc_id) GROUP BY h.doc_id",
     "verdicts": f"WITH {PAIRS_SQL} SELECT edit, CASE WHEN edit IN ('none', 'comparator') THEN 'ACCEPTED' WHEN edit = 'wording' THEN 'INCONCLUSIVE' ELSE 'REFUSED' END AS verdict, count(*) AS n FROM template_pairs GROUP BY ALL",

@@ -36,7 +36,7 @@ connected AS (
 )"""
 TABLE = {
     "stems": f"SELECT w AS word, {_stem()} AS stem FROM (SELECT DISTINCT w FROM (SELECT unnest({WORDS}) AS w FROM documents))",
-    "change_rows": f"""WITH {DOCS_SQL}, e AS (SELECT doc_id, text, unnest([{_CHANGES}], recursive := true) FROM template_docs), p AS (SELECT *, strpos(text, surface) - 1 AS s FROM e)
+    "change_rows": f"""WITH {DOCS_SQL}, e AS (SELECT doc_id, text, unnest([{_CHANGES}], recursive := true) FROM template_docs), p AS (SELECT * REPLACE (substr(text, strpos(text, surface), len) AS surface), strpos(text, surface) - 1 AS s FROM e)
 SELECT doc_id, CAST(s AS INTEGER) AS start, CAST(s + len AS INTEGER) AS "end", rule_id, surface, replacement, CAST(s + coalesce(sum(length(replacement) - len) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS revised_start FROM p""",
     "markdown_blocks": """SELECT o_orderkey AS doc_id, CAST(i - 1 AS INTEGER) AS position, kinds[i] AS kind, CAST(CASE WHEN i IN (1, 8 + 1) THEN 1 END AS INTEGER) AS level,
   ['Order ' || o_orderkey, 'It is ' || o_orderstatus || ' and listed. Second line.', 'first', 'second ' || o_orderkey, 'quoted text', 'sql', '', '', 'Under'][i] AS text

@@ -16,6 +16,7 @@ from ..operators import facts as X
 from ..operators import lexicon as L
 from ..operators import present as P
 from ..operators import readability as R
+from ..operators import rules as RU
 from ..operators import style as S
 from ..operators import verify as VF
 from ..sources import readers, reports
@@ -138,11 +139,62 @@ def fix_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", E.fix_budget(F.col("hits"), F.lit("1-URGENT"), F.lit("5-LOW"), F.lit(0.4)).cast("long").alias("budget"))
 
 
+def vetoed_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With two rules more, of which the firewall vetoes one and lets the other pass."""
+    rules = [*E.AUTOMATIC, E.Rule("test.must", {"must": "should"}), E.Rule("test.weighs", {"weighs": "is"})]
+    return E.guarded(templates.template_docs(table(spark, sf_dir, "orders")), rules).drop("before")
+
+
+def article_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles that change with the sound, words under protection, and phrases that only report."""
+    k = F.col("o_orderkey").cast("string")
+    text = F.concat(F.lit("An utilised tool, number "), k, F.lit(". A commenced task is an expended sum.\n\nThe material prior to use is chronic, and informed consent comes first."))
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    rules = [*E.AUTOMATIC, E.Rule("test.material", {"the material": "the stuff"}), E.Rule("test.informed", {"informed": "told"})]
+    plans = E.plans(docs, rules)
+    return plans.select("doc_id", "after", F.concat_ws(" | ", F.transform("proposals", lambda p: F.concat_ws(":", p["rule_id"], p["surface"], p["replacement"], p["decision"], p["reason"]))).alias("proposals"))
+
+
+def rule_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RU.listing(spark, [*E.AUTOMATIC, *E.PROTECTED, *P.STYLE_RULES])
+
+
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = templates.template_pairs(table(spark, sf_dir, "orders"))
     return VF.verify(pairs).join(pairs.select("pair_id", "edit"), "pair_id").groupBy("edit", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
+def verdict_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown pairs, one kind of change each: capitals, moves, breaks, code, links, quotes, terms."""
+    found = VF.verify(templates.case_pairs(table(spark, sf_dir, "orders")), as_markdown=True)
+    codes = F.concat_ws(",", F.array_sort(F.array_distinct(F.transform(F.concat("refusals", "unresolved", "equivalences"), lambda e: e["code"]))))
+    return found.select("pair_id", "verdict", codes.alias("codes"))
+
+
+def barrier_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven detectors on template texts, with a glossary, terms of art and verbs of nouns."""
+    sentences = B.sentence_rows(templates.barrier_docs(table(spark, sf_dir, "orders")))
+    glossary = spark.createDataFrame(templates.GLOSSARY, "word string, plain string")
+    verbs = spark.createDataFrame(templates.VERBS, "noun string, verb string")
+    terms = spark.createDataFrame(list(V.PROTECTED_TERMS.items()), "word string, domain string")
+    found = B.deduplicate(B.detect(sentences, glossary, terms, verbs))
+    return found.select("doc_id", F.col("sentence").cast("long").alias("sentence"), "type", F.lower("match").alias("match"), "severity", B.confidence(F.col("type")).alias("confidence"), B.priority(F.col("type")).alias("priority"))
+
+
+def available_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.available_samples(table(spark, sf_dir, "documents"))
+
+
+def band_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.band_map(profile_findings(spark, sf_dir))
+
+
+def opener_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the repeated sentence openers of every document stand, the first ten of each."""
+    found = S.sentence_findings(table(spark, sf_dir, "documents")).where("diagnostic = 'REPEATED_SENTENCE_OPENER'")
+    return found.select("doc_id", "label", F.inline("evidence"))
+
+
 def _unique_barriers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.deduplicate(B.detect(B.sentence_rows(table(spark, sf_dir, "documents"))))
 
@@ -250,7 +302,7 @@ def connected_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def style_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.style_proposals(connected_docs(spark, sf_dir), "plain")
+    rows = P.style_proposals(connected_docs(spark, sf_dir), "plain").withColumn("budget", F.col("budget").cast("long"))
     return rows.groupBy("doc_id", "budget").agg(F.count(F.lit(1)).alias("proposals"))
 
 
@@ -269,6 +321,15 @@ def present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.present(table(spark, sf_dir, "documents").select("doc_id", "text"), "government")
 
 
+def review_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.review_bundle(table(spark, sf_dir, "documents").select("doc_id", "text"), "academic")
+
+
+def protection_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of letters, apostrophes and hyphens of every text, counted."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.protection_words(F.coalesce("text", F.lit("")))).cast("long").alias("n_words"))
+
+
 def diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.diagnose(table(spark, sf_dir, "documents").select("doc_id", "text"), "plain")
 
@@ -309,7 +370,7 @@ def verdict_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"readability": readability, "readability_by_band": readability_by_band, "word_measures": word_measures, "syllables": syllables}
-QUERIES |= {f.__name__: f for f in (style_metrics, block_metrics, sentence_diagnostics, block_diagnostics, profile_findings, profile_coverage, profile_targets, document_facts, fact_signature, fact_violations, fact_check, rule_matches, conflict_settlement, guarded_edits, revised_offsets, fix_budgets, verdicts, barriers, barrier_summary, barriers_by_sentence, top_improvements, every_barrier, every_barrier_summary, every_barrier_by_sentence, every_improvement, sentences, paragraph_ranges, page_text, page_text_native, supported_formats, url_formats, json_reports, canonical_audit, protected_words, event_windows, stems, change_rows, style_proposals, approved_edits, style_guard, present, diagnose, placed_barriers, markdown_blocks, markdown_projection, plain_words, verdict_tokens)}
+QUERIES |= {f.__name__: f for f in (style_metrics, block_metrics, sentence_diagnostics, block_diagnostics, profile_findings, profile_coverage, profile_targets, document_facts, fact_signature, fact_violations, fact_check, rule_matches, conflict_settlement, guarded_edits, vetoed_edits, article_edits, rule_listing, revised_offsets, fix_budgets, verdicts, verdict_cases, barriers, barrier_cases, available_samples, band_map, opener_evidence, review_bundle, protection_words,  barrier_summary, barriers_by_sentence, top_improvements, every_barrier, every_barrier_summary, every_barrier_by_sentence, every_improvement, sentences, paragraph_ranges, page_text, page_text_native, supported_formats, url_formats, json_reports, canonical_audit, protected_words, event_windows, stems, change_rows, style_proposals, approved_edits, style_guard, present, diagnose, placed_barriers, markdown_blocks, markdown_projection, plain_words, verdict_tokens)}
 
 
 def queries() -> dict[str, Query]:

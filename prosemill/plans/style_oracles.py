@@ -214,6 +214,20 @@ TABLE = {
     "sentence_diagnostics": f"WITH {SENTENCE_DIAGNOSTICS_CTE} SELECT * FROM observed",
     "block_diagnostics": f"WITH {BLOCK_DIAGNOSTICS_CTE} SELECT * FROM observed",
     "profile_findings": f"WITH {SENTENCE_DIAGNOSTICS_CTE}, {_rules()}, {_FOUND} SELECT * FROM found",
+    "band_map": f"WITH {SENTENCE_DIAGNOSTICS_CTE}, {_rules()}, {_FOUND}, docs AS (SELECT DISTINCT doc_id, profile FROM found), names AS (SELECT DISTINCT diagnostic FROM rules) SELECT d.doc_id, d.profile, n.diagnostic, coalesce(CASE WHEN f.severity = 'insufficient_sample' THEN 'not-assessed' ELSE f.severity END, 'none') AS band FROM docs d CROSS JOIN names n LEFT JOIN found f ON f.doc_id = d.doc_id AND f.profile = d.profile AND f.diagnostic = n.diagnostic",
+    "available_samples": f"""WITH {SENTENCE_DIAGNOSTICS_CTE}, counts AS (
+  SELECT doc_id, CAST(len(b.s) AS BIGINT) AS ns, CAST(len(b.w) AS BIGINT) AS nw, CAST(len(h.h) AS BIGINT) AS nh,
+    CAST(len(list_filter(string_split_regex(coalesce(b.text, ''), '\\n[ \\t\\r]*(?:\\n[ \\t\\r]*)+'), lambda x: NOT regexp_full_match(x, '\\s*'))) AS BIGINT) AS np
+  FROM base b JOIN hit h USING (doc_id)
+), names AS (SELECT unnest([{', '.join(map(q, V.DIAGNOSTICS))}]) AS diagnostic)
+SELECT doc_id, diagnostic, coalesce(CASE WHEN diagnostic IN ('PARAGRAPH_UNIFORMITY', 'REPEATED_PARAGRAPH_OPENER', 'LEXICAL_OVERLAP', 'CANNED_FRAMING', 'LIST_DOMINANCE') THEN np
+  WHEN diagnostic = 'VOCABULARY_OVERUSE' THEN nw WHEN diagnostic = 'REPEATED_TRANSITION' THEN nh ELSE ns END, 0) AS sample FROM counts CROSS JOIN names""",
+    "opener_evidence": f"""WITH {SENTENCE_DIAGNOSTICS_CTE}, each AS (
+  SELECT b.doc_id, o.label, CAST(i - 1 AS INTEGER) AS place, trim(regexp_replace(b.s[i], '\\s+', ' ', 'g')) AS flat, {style_words('b.s[i]')} AS w FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM base) b JOIN op o ON o.doc_id = b.doc_id
+), shown AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS k FROM each WHERE array_to_string(w[1:len(string_split(label, ' '))], ' ') = label
+)
+SELECT doc_id, label, place, CASE WHEN length(flat) <= 72 THEN flat ELSE substr(flat, 1, 71) || '…' END AS excerpt FROM shown WHERE k <= 10""",
     "profile_coverage": f"WITH {BLOCK_DIAGNOSTICS_CTE}, {_rules()}, {_FOUND}, docs AS (SELECT DISTINCT doc_id FROM blocks) SELECT d.doc_id, r.profile, r.diagnostic, CASE WHEN f.severity IS NULL THEN 'silent' WHEN f.severity = 'insufficient_sample' THEN f.severity ELSE 'assessed' END AS status FROM docs d CROSS JOIN rules r LEFT JOIN found f ON f.doc_id = d.doc_id AND f.profile = r.profile AND f.diagnostic = r.diagnostic",
     "profile_targets": f"WITH metrics AS ({METRICS}), {_TARGETS}, long AS (" + " UNION ALL ".join(f"SELECT doc_id, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM metrics" for m in TARGET_METRICS) + ") SELECT doc_id, profile, metric, value, CASE WHEN value < low THEN 'below' WHEN value > high THEN 'above' ELSE 'within' END AS place FROM long JOIN targets USING (metric) WHERE value IS NOT NULL",
 }

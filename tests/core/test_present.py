@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from prosemill.operators import lexicon, present, readability, style
+from prosemill.operators import edits, lexicon, observe, present, readability, style
 from prosemill.sources import reports
 
 TEXT = " ".join(["Nevertheless, it was paid."] * 8 + ["However, it came late."] * 2)
@@ -31,6 +31,35 @@ def test_present_and_diagnose(spark):
     assert "text" not in present.diagnose(docs, "natural").columns
 
 
+def test_the_guard_withdraws_what_raises_a_band():
+    """A rule that makes every sentence open alike is withdrawn; a later one is tried without it."""
+    rules_ = [edits.Rule("a", {"Then": "So"}), edits.Rule("b", {"prior to": "before"})]
+    text = " ".join(["Then one waits prior to it.", "So two wait.", "Then three rest.", "So four go now.", "Five stay here.", "Six leave.", "Seven come.", "Eight sing."])
+    find = edits.Matcher(rules_)
+    accepted = [p for p in edits.planned(text, find) if p.decision == "accepted"]
+    measure = lambda t: [f for f in observe.of_sentences(t) if f["diagnostic"] == "REPEATED_SENTENCE_OPENER"]
+    assert present.admitted(text, accepted, measure, observe.limits("baseline")) == (["b"], ["a"])
+    assert present.admitted(text, [p for p in accepted if p.rule_id == "b"], measure, observe.limits("baseline")) == (["b"], [])
+
+
+def test_budgets():
+    assert present.budget(["a"] * 6 + ["b"] * 4, "a", "c", 0.6) == 1
+    assert present.budget(["a"] * 6 + ["b"] * 4, "a", "b", 0.55) == 1
+    assert present.budget(["a"], "a", "b", 0.5) == 0
+    assert present.density_budget(5, 10, 5, 0.4) == 2 and present.density_budget(5, 10, 1, 0.4) == 0
+
+
+def test_all_thirteen_diagnostics():
+    paragraph = "Every team reviews plans, budgets and schedules for another quarter because several partners asked early for answers about delivery dates, prices and costs while auditors waited patiently outside for signed copies."
+    others = ["They went home late.", "Nobody, it seems, had asked."]
+    text = "\n\n".join("It is important to note the plan. " + p for p in [paragraph, *others, paragraph]) + " However, so it goes. However, not only this but also that. Not only here but also there. A robust, robust and robust plan."
+    found = {f["diagnostic"]: f for f in present.document_findings(text, observe.simple_split)}
+    md = {f["diagnostic"] for f in present.document_findings("- one\n- two\n\nText.", observe.simple_split, as_markdown=True)}
+    assert set(found) | md == set(observe.V.DIAGNOSTICS)
+    assert all(f["evidence"] for f in found.values()) and all(len(f["evidence"]) <= 10 for f in found.values())
+    assert found["LEXICAL_OVERLAP"]["value"] > 0.4 and found["REPEATED_TRANSITION"]["label"] == "however"
+
+
 def test_stems_and_glossary(spark):
     words = spark.createDataFrame([(w,) for w in ("running", "carries", "agreement", "cats", "business", "is", "demonstrated", "implementations")], "word string")
     got = {r.word: r.s for r in words.select("word", lexicon.stem(F.col("word"), ["demonstrate"]).alias("s")).collect()}
