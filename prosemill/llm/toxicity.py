@@ -1,9 +1,9 @@
 """Toxicity through noisy-channel deobfuscation.
 
 A disguised word is a path through a lattice: a sign may stand for a letter or for nothing, a run of one letter for one
-or two, and single letters may be spread over a line.  A Viterbi search finds the likeliest path under a trigram model
-of the corpus's characters.  A regularised logistic model over words and word beginnings then scores the text together
-with what was restored.
+or two, and a gap in a row of single letters for nothing or for the end of a word.  A Viterbi search finds the likeliest
+path under a trigram model of the corpus's characters.  A regularised logistic model over words and word beginnings then
+scores the text together with what was restored.
 
 The character model is counted over all documents; the classifier is fitted on at most ``max_rows`` labelled documents.
 """
@@ -16,7 +16,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _Memo
@@ -24,8 +24,12 @@ from .common import batches, own_columns, slices, text_bytes
 
 #: What a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou"}
-#: Costs in nats of reading a sign as a letter, of dropping one, and of halving a run of letters.
-AS_LETTER, DROPPED, SHORTENED = 0.3, 6.0, 0.1
+#: Costs in nats of reading a sign as a letter, of dropping one, of halving a run of letters, and of ending a word in a gap.
+AS_LETTER, DROPPED, SHORTENED, PARTED = 0.3, 6.0, 0.1, 1.0
+#: Where a feature's likelihood ratio against chance counts: one in a thousand passes by chance (chi-square, one degree).
+SIGNIFICANT = 10.83
+#: How much worse it is to miss a toxic text than to suspect a clean one.
+MISSED = 2.0
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
 CLASSES = len(LETTERS) + 2
 _EDGE, _OTHER = 0, CLASSES - 1
@@ -33,7 +37,8 @@ _CLASS = {c: k + 1 for k, c in enumerate(LETTERS)}
 _LOOKUP = np.zeros(0x250, np.int32)
 for _c, _k in _CLASS.items():
     _LOOKUP[ord(_c)] = _k
-_SPREAD = re.compile(r"(?<!\S)(?:[^\W_](?: |[.\-_*~/]{1,2})|[@$!|+](?: |[.\-_*~/]{1,2})){2,}[^\W_](?=[.,;:!?]*(?!\S))")
+_GAP = re.compile(r"[ .\-_*~/]{1,3}")
+_SPREAD = re.compile(r"(?<!\S)(?:(?:[^\W_]{1,2}|[@$!|+])(?: {1,3}|[.\-_*~/]{1,2})){2,}[^\W_]{1,2}(?=[.,;:!?]*(?!\S))")
 _RUN = re.compile(r"(.)\1\1")
 _TAIL = re.compile(r"([#$%&*!.,?+])\1{2,}$")
 _STRIP = ".,;:!?\"'()[]{}<>«»„“”…#%&"
@@ -100,14 +105,19 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 def restore(token: str, costs: np.ndarray) -> str:
     """The likeliest reading of a disguised token."""
+    return likeliest(lattice(token), costs)
+
+
+def likeliest(steps: list[list[tuple[str, float]]], costs: np.ndarray) -> str:
+    """The path through a lattice that costs least, by Viterbi search over the last two characters."""
     states: dict[tuple[int, int], tuple[float, str]] = {(_EDGE, _EDGE): (0.0, "")}
-    for options in lattice(token):
+    for options in steps:
         nxt: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (cost, text) in states.items():
             for reading, extra in options:
                 p, q, c = a, b, cost + extra
                 for ch in reading:
-                    k = _CLASS.get(ch, _OTHER)
+                    k = _EDGE if ch == " " else _CLASS.get(ch, _OTHER)
                     c += float(costs[p, q, k])
                     p, q = q, k
                 old = nxt.get((p, q))
@@ -132,12 +142,17 @@ def readings(token: str, costs: np.ndarray) -> list[str]:
 
 
 def spread_words(text: str, costs: np.ndarray) -> list[str]:
-    """Words whose letters stand alone, restored."""
+    """Words whose letters stand alone or in pairs, restored; a gap between them joins or parts, as is likelier."""
     out = []
     for m in _SPREAD.finditer(text):
-        letters = re.sub(r"[ .\-_*~/]", "", m[0])
-        if sum(c.isalpha() for c in letters) >= 2:
-            out.append(restore(letters, costs))
+        chunks, gaps = _GAP.split(m[0]), _GAP.findall(m[0])
+        if sum(len(c) == 1 for c in chunks) < 3 or sum(c.isalpha() for c in m[0]) < 2:
+            continue
+        steps = lattice(chunks[0])
+        for gap, chunk in zip(gaps, chunks[1:], strict=True):
+            steps.append([("", 0.0), (" ", PARTED if len(gap) == 1 else 0.0)])
+            steps += lattice(chunk)
+        out += likeliest(steps, costs).split()
     return out
 
 
@@ -193,29 +208,45 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _fit(hits: list[list[int]], labels: np.ndarray, n: int, steps: int = 800, penalty: float = 1e-5) -> np.ndarray:
-    """Logistic regression by Adam on dense presence vectors; the last weight is the bias."""
-    x = np.zeros((len(hits), n + 1), np.float32)
-    for row, own in enumerate(hits):
-        x[row, own] = 1
-    x[:, n] = 1
+def _fit(hits: list[list[int]], labels: np.ndarray, n: int, steps: int = 400, penalty: float = 1e-5) -> np.ndarray:
+    """Logistic regression by Adam on presence vectors, held as (row, feature) pairs; the last weight is the bias."""
+    row = np.repeat(np.arange(len(hits)), [len(own) for own in hits]) if hits else np.empty(0, np.int64)
+    feature = np.fromiter((f for own in hits for f in own), np.int64, len(row))
     rate = np.clip(labels.mean(), 1e-3, 1 - 1e-3) if len(labels) else 0.5
-    w = np.zeros(n + 1, np.float32)
+    weight = np.where(labels > 0.5, MISSED, 1.0)
+    w = np.zeros(n + 1)
     w[n] = np.log(rate / (1 - rate))
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, steps + 1 if len(hits) else 1):
-        g = x.T @ ((1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))) - labels).astype(np.float32) / len(hits)
-        g[:n] += penalty * w[:n]
+    m, v, g = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, steps + 1 if hits else 1):
+        z = np.bincount(row, w[feature], len(hits)) + w[n]
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weight / len(hits)
+        g[:n] = np.bincount(feature, error[row], n) + penalty * w[:n]
+        g[n] = error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return w.astype(float)
+    return w
+
+
+def gain(toxic: Column, n: Column, all_toxic: int, all_n: int) -> Column:
+    """Likelihood ratio of a feature that stands in n texts, toxic of them toxic, against one that doesn't care."""
+
+    def term(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
+
+    cells = []
+    for with_feature, size in ((True, n), (False, all_n - n)):
+        for is_toxic, total in ((True, all_toxic), (False, all_n - all_toxic)):
+            own = toxic if is_toxic else n - toxic
+            cells.append(term((own if with_feature else total - own).cast("double"), size * (total / all_n)))
+    return 2 * sum(cells[1:], cells[0])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_features: int = 800) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000) -> Scorer:
     """Fit on at most ``max_rows`` labelled documents whose crc32(id) mod 5 isn't 0, chosen by a hash of their ids.
 
-    Rows with a null id or label teach nothing; of several labels of an id the largest counts.  Without any toxic or
-    clean row the score is a constant.
+    Features are all words and word beginnings whose share of toxic texts, higher or lower, is no chance (``SIGNIFICANT``),
+    however many or rare they are.  Rows with a null id or label teach nothing; of several labels of an id the largest
+    counts.  Without any toxic or clean row the score is a constant.
     """
     spark = docs.sparkSession
     costs = character_model(docs, text_col)
@@ -230,14 +261,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     rows = own_columns(docs, doc_id=id_col, text=text_col).join(F.broadcast(picked), "doc_id").select("text", "toxic")
     counted = rows.mapInArrow(_feature_map(shared), "feature string, toxic long, n long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-    n, toxic = (int(x or 0) for x in picked.agg(F.count(F.lit(1)), F.sum("toxic")).first())
+    n, toxic = (int(x or 0) for x in rows.agg(F.count(F.lit(1)), F.sum("toxic")).first())
     scorer = Scorer(costs, [])
     if not 0 < toxic < n:
         scorer.weights = _fit([], np.array([toxic / n if n else 0.0]), 0)
         return scorer
-    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("n") - F.col("toxic") + 0.5) / (n - toxic + 1))
-    best = counted.where(F.col("toxic") >= 5).withColumn("gain", F.col("toxic") * odds).where(odds > 2).orderBy(F.desc("gain"), "feature").limit(max_features)
-    scorer = Scorer(costs, [r.feature for r in best.collect()])
+    telling = counted.where(gain(F.col("toxic"), F.col("n"), toxic, n) >= SIGNIFICANT).select("feature").orderBy("feature")
+    scorer = Scorer(costs, [r.feature for r in telling.collect()])
 
     def vectors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer.start()
@@ -245,7 +275,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield batches({"hits": [scorer.hits(t) for t in text_bytes(batch.column(0))], "toxic": batch.column(1)}, _VECTORS)
 
     fitted = rows.mapInArrow(vectors, "hits array<int>, toxic int").collect()
-    scorer.weights = _fit([r.hits for r in fitted], np.array([r.toxic for r in fitted], np.float32), len(scorer.number))
+    scorer.weights = _fit([r.hits for r in fitted], np.array([r.toxic for r in fitted], np.float64), len(scorer.number))
     return scorer
 
 

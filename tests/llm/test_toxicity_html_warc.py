@@ -1,7 +1,9 @@
 import random
 import time
 from collections import Counter
+from itertools import product
 
+import numpy as np
 import pytest
 
 from prosemill.llm import html, toxicity, warc
@@ -46,6 +48,44 @@ def test_disguised_words(scorer, word):
     assert s.score(b"the 1st river moves past 24 trees, ok! really...") < 0.5
 
 
+def test_viterbi_against_all_paths():
+    r = random.Random(8)
+    costs = np.random.default_rng(3).random((toxicity.CLASSES,) * 3).astype(np.float32) * 5
+
+    def cost(path):
+        text, total = "".join(x for x, _ in path), sum(e for _, e in path)
+        p = q = 0
+        for c in text:
+            k = 0 if c == " " else toxicity._CLASS.get(c, toxicity.CLASSES - 1)
+            total += float(costs[p, q, k])
+            p, q = q, k
+        return total + float(costs[p, q, 0])
+
+    for _ in range(150):
+        token = "".join(r.choice("abeé1$@!*0x") * r.choice([1, 1, 1, 3]) for _ in range(r.randint(1, 4)))
+        steps = toxicity.lattice(token)
+        for k in range(r.randint(0, 2)):
+            steps.insert(r.randint(0, len(steps)), [("", 0.0), (" ", 0.5 * k)])
+        best = min(cost(path) for path in product(*steps))
+        got = toxicity.likeliest(steps, costs)
+        assert any("".join(x for x, _ in path) == got and abs(cost(path) - best) < 1e-4 for path in product(*steps))
+
+
+def test_gaps_join_or_part(scorer):
+    s = scorer[0]
+    assert toxicity.spread_words("he said i d i o t twice", s.costs) == ["idiot"]
+    assert "stupid" in toxicity.spread_words("r i v e r  s t u p i d", s.costs) and toxicity.spread_words("it is on us to go", s.costs) == []
+
+
+def test_rare_words_count_on_both_sides(spark):
+    """Three toxic texts are enough for a feature, and words of clean texts speak for them."""
+    rows = [(k, ("grump words here " if k < 4 else "kind words there ") + f"w{k}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    s = toxicity.train(docs, spark.createDataFrame([(k, int(k < 4)) for k in range(60)], "doc_id long, toxic int"))
+    assert s.weights[s.number["grump$"]] > 0 > s.weights[s.number["kind$"]]
+    assert len(s.number) == len([f for f in s.number if f[0] in "grumphkindte"])
+
+
 def test_too_few_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     s = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
