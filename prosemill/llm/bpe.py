@@ -3,9 +3,9 @@
 The tokens of a piece are found from left to right.  ``last[i]`` is the last token of the encoding of the first i
 bytes: the only token that ends there and is *compatible* with the last token of the prefix it leaves, which means that
 no merge of the list would have crossed the boundary between the two.  Later bytes can only build on the prefixes at
-most one token length back, so tokens on which all of those agree are stable and are emitted; the merge list bounds how
-far behind the input that point can be.  Memory doesn't grow with the text: windows of positions, and memos that are
-emptied at a fixed size.
+most one token length back, so tokens on which all of those agree are stable and are emitted at once; at the latest they
+are when the sufficient lookahead of the merge list lies behind them, so a stream never holds more than that bound and a
+block.  Memory doesn't grow with the text: windows of positions, and memos that are emptied at a fixed size.
 """
 
 from __future__ import annotations
@@ -103,6 +103,8 @@ class Transducer:
             self.text_of[n] = text.encode()
         self.pieces = regex.compile(PIECES)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.bound = 0
+        self.held = 0
         self.fits = _Memo(lambda pair: self.compatible(*pair))
         self.memo = _Memo(lambda piece: self.encode_piece(piece.encode()), _MEMO)
 
@@ -153,7 +155,11 @@ class Transducer:
         return best * self.longest
 
     def stream(self, blocks: Iterator[bytes]) -> Iterator[int]:
-        """Tokens of one piece that arrives in blocks, each as soon as it is stable."""
+        """Tokens of one piece that arrives in blocks, each as soon as it is stable.
+
+        What is held back never passes the merge list's lookahead; ``held`` is the most that a stream has held so far.
+        """
+        self.bound = self.bound or self.lookahead()
         held, last = b"", [-1]
         for block in blocks:
             held += block
@@ -165,6 +171,9 @@ class Transducer:
                 alive.remove(far)
                 alive.add(far - self.length[last[far]])
             stable = alive.pop()
+            self.held = max(self.held, n - stable)
+            if n - stable > self.bound:
+                raise AssertionError(f"{n - stable} bytes held back, more than the merge list's lookahead of {self.bound}")
             if stable:
                 yield from self._back(last, stable)
                 held, last = held[stable:], last[stable:]
@@ -205,15 +214,18 @@ class Transducer:
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Ids of a text in runs, little-endian; strings of added tokens stand for these tokens."""
-        for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
-            if k % 2:
-                yield self.added[part].to_bytes(4, "little")
-            elif len(part) < _BLOCK:
-                yield b"".join(map(self.memo.__getitem__, self.pieces.findall(part)))
+        at = 0
+        for special in [*(self.cut.finditer(text) if self.cut else ()), None]:
+            to = special.start() if special else len(text)
+            if to - at < _BLOCK:
+                yield b"".join(map(self.memo.__getitem__, self.pieces.findall(text, at, to)))
             else:
-                found = (m[0] for m in self.pieces.finditer(part))
+                found = (m[0] for m in self.pieces.finditer(text, at, to))
                 while run := list(islice(found, _BLOCK)):
                     yield b"".join([self.memo[p] if len(p) < _SHORT else self.encode_piece(p.encode()) for p in run])
+            if special:
+                yield self.added[special[0]].to_bytes(4, "little")
+                at = special.end()
 
     def decode(self, ids: bytes) -> Iterator[str]:
         """Text of little-endian ids in runs; the decoder holds bytes back until their character is whole."""

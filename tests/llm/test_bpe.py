@@ -57,8 +57,30 @@ def test_stream_keeps_a_bounded_window():
     t = bpe.transducer(PATH)
     piece = b"ab" * 4000
     whole = list(t.stream(iter([piece])))
+    t.held = 0
     parts = list(t.stream(piece[k : k + 100] for k in range(0, len(piece), 100)))
-    assert whole == parts and t.lookahead() > t.longest
+    assert whole == parts and t.bound == t.lookahead() > t.longest
+    assert 0 < t.held <= 200 < len(piece)
+    r = random.Random(4)
+    for _ in range(30):
+        odd = bytes(r.choice(b"abc =-\xc3\xa9") for _ in range(r.randint(1, 4))) * r.randint(50, 900)
+        t.held = 0
+        assert list(t.stream(odd[k : k + 64] for k in range(0, len(odd), 64))) == list(t.stream(iter([odd])))
+        assert t.held <= t.bound
+
+
+def test_tokens_come_before_the_end():
+    t = bpe.transducer(PATH)
+    read = []
+
+    def blocks():
+        for k in range(100):
+            read.append(k)
+            yield b"word" * 16
+
+    stream = t.stream(blocks())
+    next(stream)
+    assert len(read) < 10
 
 
 def test_empty(nothing):
