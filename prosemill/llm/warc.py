@@ -26,7 +26,7 @@ from .common import batches, own_columns, rejoin, shared_dir, slices, text_bytes
 
 MAGIC = b"WARC/1."
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_HASHED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("n", pa.int64()), ("packed", pa.binary())])
+_PACKED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("n", pa.int64()), ("packed", pa.binary())])
 _RECORD = pa.schema(
     [("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())]
 )
@@ -37,11 +37,10 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _hash(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=7).compress
     for batch in slices(it):
-        payloads = [p or b"" for p in text_bytes(batch.column(2))]
-        yield batches({"page_id": batch.column(0), "url": batch.column(1), "digest": [payload_digest(p) for p in payloads], "n": [len(p) for p in payloads], "packed": [press(p) for p in payloads]}, _HASHED)
+        yield batches({f.name: batch.column(f.name) for f in _PACKED if f.name != "packed"} | {"packed": [press(p or b"") for p in text_bytes(batch.column("html"))]}, _PACKED)
 
 
 def _urn(page_id: int | None) -> str:
@@ -67,7 +66,7 @@ def _lines(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in it:
         for batch in (whole.slice(k, 256) for k in range(0, len(whole), 256)):
             cols = {name: batch.column(name).to_pylist() for name in ("page_id", "url", "digest", "packed", "refers_to", "revisit")}
-            out = [record(i, u, unpack(z), d, r, v)[:-1] for i, u, d, z, r, v in zip(*cols.values(), strict=True)]
+            out = [record(i, u, unpack(z), base64.b32encode(bytes.fromhex(d)).decode(), r, v)[:-1] for i, u, d, z, r, v in zip(*cols.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
 
 
@@ -80,10 +79,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     table writes no record.  A payload travels compressed, and a hot one is dealt over several tasks.
     """
     rows = own_columns(pages, page_id=id_col, url=url_col, html=html_col).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    hashed = rows.mapInArrow(_hash, "page_id long, url string, digest string, n long, packed binary")
-    # The digests are counted in a pass of their own, so that no payload is shuffled for it.
-    last = hashed.select("digest", "page_id").groupBy("digest").agg(F.max("page_id").alias("last"))
-    joined = rejoin(hashed, last, "digest")
+    hashed = rows.select("page_id", "url", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").cast("long").alias("n"), "html")
+    # The digests are grouped by themselves, in the JVM, so that payloads are packed and shuffled once.
+    last = hashed.groupBy("digest").agg(F.max("page_id").alias("last"))
+    joined = rejoin(hashed.mapInArrow(_pack, "page_id long, url string, digest string, n long, packed binary"), last, "digest")
     revisit = (F.col("n") >= min_revisit_bytes) & F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     planned = joined.select("page_id", "url", "digest", "packed", F.when(revisit, F.col("last")).alias("refers_to"), revisit.alias("revisit"))
     planned.mapInArrow(_lines, "value string").write.option("maxRecordsPerFile", records_per_file).option("compression", "gzip").mode("errorifexists").text(path)
