@@ -25,6 +25,31 @@ def test_against_all_pairs(spark):
             assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
 
 
+def test_clustered_vectors_of_64_dimensions(spark):
+    """Clusters, ties, a repeated id and parts of cells; shuffled rows follow the vectors where they are clustered."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 64))
+    x = (np.repeat(centres, 12, 0) + 0.12 * rng.normal(size=(480, 64))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist()), (999, (2 * x[5]).tolist())]
+    every = np.array([v for _, v in rows], np.float64)
+    n = np.sqrt((every**2).sum(1))
+    link = every @ every.T / n[:, None] / n[None] >= 0.95
+    np.fill_diagonal(link, False)
+    ids = np.array([i for i, _ in rows])
+    label = ids.copy()
+    while True:
+        new = np.array([min(label[k], label[link[k]].min(initial=label[k])) for k in range(len(ids))])
+        if (new == label).all():
+            break
+        label = new
+    want = sorted(zip(ids.tolist(), link.sum(1).tolist(), label.tolist(), strict=True))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "'x' AS cell", "1 AS part")
+    for options in ({}, {"n_pivots": 5, "rows_per_part": 25}, {"n_pivots": 1, "rows_per_part": 60}):
+        got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicates(df, **options).collect())
+        assert got == want
+    assert sum(k for _, k, _ in want) > 1000
+
+
 def test_empty(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
