@@ -16,8 +16,13 @@ from .common import own_columns
 
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-#: Phrases of a page's furniture; a short line that holds one is no prose.
-BOILERPLATE = ["all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies", "accept cookies", "enable javascript", "lorem ipsum", "click here", "sign in", "log in", "subscribe to our", "is licensed under", "skip to content"]
+#: Phrases of a page's furniture, in English, German, French and Spanish; a short line that holds one is no prose.
+BOILERPLATE = [
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies", "accept cookies", "enable javascript", "lorem ipsum", "click here", "sign in", "log in", "subscribe to our", "is licensed under", "skip to content",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "cookie-richtlinie", "verwendet cookies", "cookies akzeptieren", "javascript aktivieren", "hier klicken", "jetzt anmelden", "newsletter abonnieren", "lizenziert unter", "zum inhalt springen",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "utilise des cookies", "accepter les cookies", "activer javascript", "cliquez ici", "se connecter", "abonnez-vous à notre", "sous licence", "aller au contenu",
+    "todos los derechos reservados", "condiciones de uso", "política de privacidad", "utiliza cookies", "aceptar cookies", "activar javascript", "haga clic aquí", "iniciar sesión", "suscríbete a nuestro", "bajo licencia", "saltar al contenido",
+]
 WINDOW, MIN_WORDS, MAX_REPEAT_PCT, MAX_LOST_PCT = 5, 10, 20, 50
 _LINE_RULES = dict(symbols_per_word=0.3, shouts_per_word=0.3, separators=3, boilerplate_words=30, unpunctuated_words=12, repeat_words=8, repeat_factor=3)
 
