@@ -44,6 +44,19 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of input for one bucket of names, and an estimate that says nothing.
+_BUCKET_BYTES, _UNKNOWN = 16 << 20, 1 << 60
+
+
+def buckets(df: DataFrame) -> int:
+    """Into how many buckets names of ``df`` are dealt: as many as partitions, and so many that one stays small.
+
+    Its size is what the plan knows of its files; nothing is read for it.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(parts(df.sparkSession), size // _BUCKET_BYTES if size < _UNKNOWN else 0)
+
+
 def own_columns(df: DataFrame, **names: str) -> DataFrame:
     """Keep only the named columns under fixed names, so that further or clashing columns cannot matter."""
     return df.select(*[df[f"`{src}`"].alias(dst) for dst, src in names.items()])

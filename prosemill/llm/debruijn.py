@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, cut, give_back, parts, slices
+from .common import batches, buckets, cut, give_back, slices
 from .repeats import HIT, HIT_SQL, LOWEST, SETTLED, Named, Rule, _hits, _passed, _pieces, _planes, _rank, _unplane, by_document, found, keyed, later, number, pack, refine, removed, runs, unpacked, verified, with_rest
 from .rolling import U64
 
@@ -159,7 +159,7 @@ def _along(rule: Rule) -> Callable:
 
 def walks(docs: DataFrame, rule: Rule) -> DataFrame:
     """(id, ord, spans) of every document of ``docs`` (id, ord, text) that holds repeated edges."""
-    edges = docs.select("id", "ord", "text").mapInArrow(_edge_map(rule, parts(docs.sparkSession)), f"bucket long, blob binary, {HIT_SQL}")
+    edges = docs.select("id", "ord", "text").mapInArrow(_edge_map(rule, buckets(docs)), f"bucket long, blob binary, {HIT_SQL}")
     hits = edges.groupBy("bucket").applyInArrow(_edge_reduce(rule), HIT_SQL)
     return by_document(hits, "hits").mapInArrow(_along(rule), _SPANS_SQL)
 

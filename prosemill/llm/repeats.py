@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, give_back, parts, slices, text_bytes
+from .common import batches, buckets, give_back, slices, text_bytes
 from .rolling import U64, bounds, byte_names, doubled, least, mix, word_names
 
 #: Kinds of hits: settled runs of windows, contexts open to a side, settled windows.
@@ -490,7 +490,7 @@ def with_hits(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     Every branch of the plan asks for the same columns of the shuffled documents and hits, so that each is shuffled once
     and used again; a column less in one of them would be another shuffle.
     """
-    n = parts(docs.sparkSession)
+    n = buckets(docs)
     blob = f"bucket long, blob binary, {HIT_SQL}"
     first = docs.select("id", "ord", "text").mapInArrow(_anchor_map(rule, n), blob).groupBy("bucket").applyInArrow(_anchor_reduce(rule), HIT_SQL)
     packed = pack(docs)

@@ -27,6 +27,8 @@ _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _SLICE = 1 << 15
 #: Groups above this size are first divided by exact parts of the remaining bits.
 _WIDE = 512
+#: Fingerprints of one mask that a task holds at most.
+_BUCKET = 1 << 20
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -156,8 +158,11 @@ def _links(radius: int, per_mask: int):
 
 
 def links(distinct_fps: DataFrame, radius: int = 4) -> DataFrame:
-    """(a, b) links that connect every two distinct fingerprints (column fp) at most ``radius`` bits apart."""
-    per_mask = max(1, -(-2 * parts(distinct_fps.sparkSession) // len(_masks(radius))))
+    """(a, b) links that connect every two distinct fingerprints (column fp) at most ``radius`` bits apart.
+
+    The masked fingerprints of each mask are dealt over so many buckets that one holds a bounded number.
+    """
+    per_mask = max(1, -(-2 * parts(distinct_fps.sparkSession) // len(_masks(radius))), -(-distinct_fps.count() // _BUCKET))
     blobs = distinct_fps.select("fp").mapInArrow(_variants(radius, per_mask), "bucket long, fps binary")
     return blobs.groupBy("bucket").applyInArrow(_links(radius, per_mask), "a long, b long")
 
