@@ -53,7 +53,7 @@ def buckets(df: DataFrame) -> int:
 
     Its size is what the plan knows of its files; nothing is read for it.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(parts(df.sparkSession), size // _BUCKET_BYTES if size < _UNKNOWN else 0)
 
 
