@@ -7,13 +7,17 @@ jargon, verbs for nouns) are parameters: DataFrames joined by broadcast when the
 from __future__ import annotations
 
 import re
+import string
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
 from . import lexicon as L
+from .observe import simple_split
 
 BARRIER = "array<struct<type:string,seq:int,match:string,severity:string>>"
 # Passive constructions (patterns with the participle in group 1).
@@ -204,13 +208,42 @@ def place(found: DataFrame, sentences: DataFrame) -> DataFrame:
     count code points; only placed findings have them.
     """
     rows = found.join(sentences.select("doc_id", "sentence", "text"), ["doc_id", "sentence"])
-    text, match = F.lower("text"), F.lower("match")
+    # A-Z only: other letters may change a text's length in lower case, and with it the offsets.
+    low = lambda c: F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
+    text, match = low(F.col("text")), low(F.col("match"))
     times = F.when(F.length(match) > 0, (F.length(text) - F.length(F.replace(text, match, F.lit("")))) / F.length(match)).otherwise(F.lit(0)).cast("long")
     status = F.when(times == 1, "placed").when(times > 1, "ambiguous").otherwise("absent")
     start = F.when(times == 1, F.instr(text, match) - 1).cast("long")
     return rows.withColumn("status", status).withColumn("start", start).withColumn("end", F.col("start") + F.length("match")).drop("text")
 
 
+_PLACES = pa.list_(pa.struct([("sentence", pa.int32()), ("from", pa.int64()), ("to", pa.int64())]))
+
+
+def sentence_places(docs: DataFrame) -> DataFrame:
+    """(doc_id, sentence, from, to): where every simple sentence stands in its source, found by one scan forward."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows = []
+            for text in batch.column(1).to_pylist():
+                at, own = 0, []
+                for k, s in enumerate(simple_split(text or "")):
+                    at = text.index(s, at)
+                    own.append({"sentence": k, "from": at, "to": at + len(s)})
+                    at += len(s)
+                rows.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, _PLACES)], names=["doc_id", "x"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<struct<sentence:int,from:bigint,to:bigint>>").select("doc_id", F.inline("x"))
+
+
+def place_in_source(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """``place`` with offsets of the document's text; the sentence is found first, then the match in it."""
+    placed = place(found, sentence_rows(docs)).join(sentence_places(docs), ["doc_id", "sentence"])
+    return placed.withColumn("start", F.col("from") + F.col("start")).withColumn("end", F.col("from") + F.col("end")).drop("from", "to")
+
+
 def lookup(kind: Column, table: dict[str, str], default: str) -> Column:
     out = F.lit(default)
     for k, v in table.items():

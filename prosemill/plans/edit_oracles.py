@@ -9,6 +9,7 @@ from ..operators import barriers as B
 from ..operators.edits import AUTOMATIC, PROTECTED
 from ..operators.present import STYLE_RULES
 from .oracles import SENTENCES, WORDS, syllables, text_list
+from .oracles import TABLE as READABILITY
 from .style_oracles import q
 from .templates import BARRIERS, CASES, DOCS_SQL, PAIRS_SQL
 
@@ -72,11 +73,17 @@ TABLE = {
     "verdict_cases": f"SELECT o_orderkey AS pair_id, {[c[2] for c in CASES]}[o_orderkey % {len(CASES)} + 1] AS verdict, {[c[3] for c in CASES]}[o_orderkey % {len(CASES)} + 1] AS codes FROM orders",
     "barrier_cases": "SELECT o_orderkey AS doc_id, CAST(sentence AS BIGINT) AS sentence, type, match, severity, confidence, priority FROM orders, (VALUES " + ", ".join(f"({b[0]}, " + ", ".join(map(q, b[1:])) + ")" for b in BARRIERS) + ") t(sentence, type, match, severity, confidence, priority)",
     "protection_words": "SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[\\p{L}''\\-]+')) AS BIGINT) AS n_words FROM documents",
+    "sealed_plans": f"WITH {DOCS_SQL}, a AS (SELECT doc_id, text, replace(replace(replace(replace(text, 'prior to', 'before'), 'utilise', 'use'), 'It is important to note that refunds', 'Refunds'), 'due to the fact that', 'because') AS after FROM template_docs) SELECT doc_id, ['applied', 'stale_policy', 'stale_document', 'tampered'][doc_id % 4 + 1] AS status, CAST(CASE doc_id % 4 WHEN 0 THEN length(after) WHEN 2 THEN length(text) + 6 ELSE length(text) END AS BIGINT) AS n_chars FROM a",
+    "touched_segments": "WITH s AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber * 6 + l_partkey % 5 AS BIGINT) AS start, CAST(l_linenumber * 6 + l_partkey % 5 + 3 + l_suppkey % 7 AS BIGINT) AS \"end\" FROM lineitem), g AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber * 8 AS BIGINT) AS \"from\", CAST(l_linenumber * 8 + 5 AS BIGINT) AS \"to\" FROM lineitem) SELECT * FROM s JOIN g USING (doc_id) WHERE start < \"to\" AND \"from\" < \"end\"",
+    "parsed_sources": "SELECT o_orderkey AS doc_id, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 9 ELSE 8 END AS BIGINT) AS blocks, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 8 END AS BIGINT) AS paragraphs FROM orders",
+    "readability_warnings": f"SELECT doc_id, array_to_string(list_concat(list_transform(list_filter(string_split(clamped, ','), lambda g: g <> ''), lambda g: g || ' was limited to the range 0 to 25'), CASE sample_status WHEN 'insufficient_sample' THEN ['fewer than 100 words or 3 sentences: scores mean little'] WHEN 'limited_sample' THEN ['fewer than 300 words: scores are rough'] ELSE [] END), '; ') AS warnings FROM ({READABILITY['readability']})",
     "revised_offsets": "WITH e AS (SELECT l_orderkey AS doc_id, l_linenumber * 10 AS s, l_linenumber * 10 + 2 + l_partkey % 6 AS e, l_suppkey % 9 AS len FROM lineitem) SELECT doc_id, CAST(CASE WHEN count(*) FILTER (WHERE s < 35 AND 35 < e) > 0 THEN max(s) FILTER (WHERE s < 35 AND 35 < e) ELSE 35 END + coalesce(sum(len - (e - s)) FILTER (WHERE e <= 35), 0) AS BIGINT) AS revised FROM e GROUP BY doc_id",
     "fix_budgets": "WITH h AS (SELECT o_custkey AS doc_id, count(*) AS n, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS t, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS r, greatest(count(*) FILTER (WHERE o_orderpriority = '2-HIGH'), count(*) FILTER (WHERE o_orderpriority = '3-MEDIUM'), count(*) FILTER (WHERE o_orderpriority = '4-NOT SPECIFIED')) AS o FROM orders GROUP BY 1), k AS (SELECT *, unnest(range(1, t + 1)) AS k FROM h) SELECT h.doc_id, CAST(coalesce(min(k.k) FILTER (WHERE greatest(k.t - k.k, k.r + k.k, k.o) / CAST(k.n AS DOUBLE) < 0.4::DOUBLE), 0) AS BIGINT) AS budget FROM h LEFT JOIN k USING (doc_id) GROUP BY h.doc_id",
     "verdicts": f"WITH {PAIRS_SQL} SELECT edit, CASE WHEN edit IN ('none', 'comparator') THEN 'ACCEPTED' WHEN edit = 'wording' THEN 'INCONCLUSIVE' ELSE 'REFUSED' END AS verdict, count(*) AS n FROM template_pairs GROUP BY ALL",
     "barriers": f"WITH {_FOUND} SELECT doc_id, sentence, type, match, severity, CAST(words AS BIGINT) AS words FROM uniq",
     "placed_barriers": f"WITH {_FOUND}, m AS (SELECT u.doc_id, u.sentence, u.type, u.match, lower(s.t) AS t, lower(u.match) AS x FROM uniq u JOIN sents s USING (doc_id, sentence)), c AS (SELECT *, (length(t) - length(replace(t, x, ''))) // length(x) AS k FROM m) SELECT doc_id, sentence, type, match, CASE WHEN k = 1 THEN 'placed' WHEN k > 1 THEN 'ambiguous' ELSE 'absent' END AS status, CAST(CASE WHEN k = 1 THEN strpos(t, x) - 1 END AS BIGINT) AS start, CAST(CASE WHEN k = 1 THEN strpos(t, x) - 1 + length(match) END AS BIGINT) AS \"end\" FROM c",
+    # What is shown at a barrier's place in the source is the match itself.
+    "source_barriers": f"WITH {_FOUND}, m AS (SELECT u.doc_id, u.sentence, u.type, lower(u.match) AS x, lower(s.t) AS t FROM uniq u JOIN sents s USING (doc_id, sentence)) SELECT doc_id, sentence, type, x AS match, x AS shown FROM m WHERE (length(t) - length(replace(t, x, ''))) // length(x) = 1",
     "barrier_summary": f"WITH {_FOUND} SELECT d.doc_id, count(u.type) AS total, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'info') AS infos FROM documents d LEFT JOIN uniq u USING (doc_id) GROUP BY d.doc_id",
     "barriers_by_sentence": f"WITH {_FOUND} SELECT doc_id, sentence, count(*) AS issues, count(DISTINCT type) AS types, ['info', 'consider', 'high'][max(p)] AS priority FROM ranked GROUP BY ALL",
     "top_improvements": f"WITH {_FOUND}, t AS (SELECT doc_id, sentence, type, p, min(place) AS place FROM ranked GROUP BY ALL), s AS (SELECT *, max(p) OVER (PARTITION BY doc_id, sentence) AS sp FROM t), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sp DESC, sentence, p DESC, place) AS rank FROM s WHERE type IN {text_list(B.ADVICE)}) SELECT doc_id, rank, sentence, type, {_ACTION} AS action FROM o WHERE rank <= 7",

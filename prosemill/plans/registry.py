@@ -340,6 +340,49 @@ def placed_barriers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("sentence").cast("long").alias("sentence"), "type", "match", "status", "start", "end")
 
 
+def source_barriers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every barrier stands in its document, and what stands there."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = B.place_in_source(B.deduplicate(B.detect(B.sentence_rows(docs))), docs).where("status = 'placed'")
+    at = found.join(docs, "doc_id")
+    shown = F.substring(F.col("text"), F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
+    return at.select("doc_id", F.col("sentence").cast("long").alias("sentence"), "type", F.lower("match").alias("match"), F.lower(shown).alias("shown"))
+
+
+def sealed_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sealed plans applied to documents of which some have changed since, and some plans have."""
+    docs = templates.template_docs(table(spark, sf_dir, "orders"))
+    kept = E.sealed(E.plans(docs))
+    k = F.col("doc_id") % 4
+    plans = kept.withColumn("policy_sha256", F.when(k == 1, "other").otherwise(F.col("policy_sha256"))).withColumn("edits", F.when(k == 3, F.transform("edits", lambda e: e.withField("replacement", F.lit("x")))).otherwise(F.col("edits")))
+    now = docs.withColumn("text", F.when(k == 2, F.concat("text", F.lit(" More."))).otherwise(F.col("text")))
+    return E.apply_sealed(now, plans).select("doc_id", "status", F.length("after").cast("long").alias("n_chars"))
+
+
+def touched_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    start, begin = F.col("l_linenumber") * 6 + F.col("l_partkey") % 5, F.col("l_linenumber") * 8
+    spans = lines.select(F.col("l_orderkey").alias("doc_id"), start.cast("long").alias("start"), (start + 3 + F.col("l_suppkey") % 7).cast("long").alias("end"))
+    segments = lines.select(F.col("l_orderkey").alias("doc_id"), begin.cast("long").alias("from"), (begin + 5).cast("long").alias("to"))
+    return E.touching(spans, segments)
+
+
+def parsed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts as Markdown and as plain text, by their blocks."""
+    kind = F.when(F.col("doc_id") % 2 == 0, "markdown").otherwise("text")
+    found = readers.parse_source(markdown_docs(spark, sf_dir).select("doc_id", kind.alias("format"), "text"))
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("kind") == "paragraph").alias("paragraphs"))
+
+
+def readability_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = R.readability(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", F.concat_ws("; ", reports.warnings()).alias("warnings"))
+
+
+def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.contract(fact_check(spark, sf_dir), "pair_id", "prosemill.check.1")
+
+
 def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Markdown document per order, with a block of every kind."""
     k, fence = F.col("o_orderkey").cast("string"), "```"
@@ -370,7 +413,7 @@ def verdict_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"readability": readability, "readability_by_band": readability_by_band, "word_measures": word_measures, "syllables": syllables}
-QUERIES |= {f.__name__: f for f in (style_metrics, block_metrics, sentence_diagnostics, block_diagnostics, profile_findings, profile_coverage, profile_targets, document_facts, fact_signature, fact_violations, fact_check, rule_matches, conflict_settlement, guarded_edits, vetoed_edits, article_edits, rule_listing, revised_offsets, fix_budgets, verdicts, verdict_cases, barriers, barrier_cases, available_samples, band_map, opener_evidence, review_bundle, protection_words,  barrier_summary, barriers_by_sentence, top_improvements, every_barrier, every_barrier_summary, every_barrier_by_sentence, every_improvement, sentences, paragraph_ranges, page_text, page_text_native, supported_formats, url_formats, json_reports, canonical_audit, protected_words, event_windows, stems, change_rows, style_proposals, approved_edits, style_guard, present, diagnose, placed_barriers, markdown_blocks, markdown_projection, plain_words, verdict_tokens)}
+QUERIES |= {f.__name__: f for f in (style_metrics, block_metrics, sentence_diagnostics, block_diagnostics, profile_findings, profile_coverage, profile_targets, document_facts, fact_signature, fact_violations, fact_check, rule_matches, conflict_settlement, guarded_edits, vetoed_edits, article_edits, rule_listing, revised_offsets, fix_budgets, verdicts, verdict_cases, barriers, barrier_cases, available_samples, band_map, opener_evidence, review_bundle, protection_words,  barrier_summary, barriers_by_sentence, top_improvements, every_barrier, every_barrier_summary, every_barrier_by_sentence, every_improvement, sentences, paragraph_ranges, page_text, page_text_native, supported_formats, url_formats, json_reports, canonical_audit, protected_words, event_windows, stems, change_rows, style_proposals, approved_edits, style_guard, present, diagnose, placed_barriers, source_barriers, sealed_plans, touched_segments, parsed_sources, readability_warnings, contracts, markdown_blocks, markdown_projection, plain_words, verdict_tokens)}
 
 
 def queries() -> dict[str, Query]:

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import markdown, segment
+
 try:
     from pypdf import PdfReader
 except ImportError:
@@ -46,6 +48,29 @@ def is_reviewable(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)).isin(REVIEWABLE)
 
 
+_BLOCKS = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("level", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
+
+
+def parse_source(docs: DataFrame) -> DataFrame:
+    """(doc_id, position, kind, level, start, end, text) of documents (doc_id, format, text).
+
+    Markdown has its blocks; any other text has paragraphs between blank lines, their lines joined by a space.
+    """
+
+    def one(kind: str | None, text: str) -> list[dict]:
+        if kind == "markdown":
+            return markdown.blocks(text)
+        return [{"position": k, "kind": "paragraph", "level": None, "start": a, "end": b, "text": " ".join(text[a:b].split())} for k, (a, b) in enumerate(segment.paragraph_ranges(text))]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            found = [one(f, t or "") for f, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _BLOCKS)], names=["doc_id", "x"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "format", "text")
+    return rows.mapInArrow(run, "doc_id long, x array<struct<position:int,kind:string,level:int,start:int,end:int,text:string>>").select("doc_id", F.inline("x"))
+
+
 def decode(data: bytes) -> str:
     """UTF-8 with or without a mark, else Latin-1, which reads anything."""
     try:

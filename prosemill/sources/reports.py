@@ -12,10 +12,29 @@ from pyspark.sql import functions as F
 PREVIEW = 5000
 
 
-def json_reports(scored: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, report): every score of a document and a preview of its text as one JSON string."""
+def json_reports(scored: DataFrame, text: str = "text", barriers: DataFrame | None = None) -> DataFrame:
+    """(doc_id, report): scores, the sample's status and warnings, barriers if given, and a preview of the text as JSON."""
+    rows = scored.withColumn("__warnings", warnings())
+    if barriers is not None:
+        found = barriers.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sentence", "type", "match", "severity"))).alias("__barriers"))
+        rows = rows.join(found, "doc_id", "left")
     fields = [F.col(c) for c in scored.columns if c not in ("doc_id", text)]
-    return scored.select("doc_id", F.to_json(F.struct(F.struct(*fields).alias("scores"), F.substring(text, 1, PREVIEW).alias("preview"))).alias("report"))
+    sample = F.struct(F.col("sample_status").alias("status"), F.col("__warnings").alias("warnings"))
+    listed = [F.col("__barriers").alias("barriers")] if barriers is not None else []
+    return rows.select("doc_id", F.to_json(F.struct(F.struct(*fields).alias("scores"), sample.alias("sample"), *listed, F.substring(text, 1, PREVIEW).alias("preview"))).alias("report"))
+
+
+def warnings() -> Column:
+    """What a reader of a scored document should know: grades that were limited, and a text too short to judge."""
+    limited = F.transform(F.filter(F.split("clamped", ","), lambda g: g != ""), lambda g: F.concat(g, F.lit(" was limited to the range 0 to 25")))
+    short = F.when(F.col("sample_status") == "insufficient_sample", F.array(F.lit("fewer than 100 words or 3 sentences: scores mean little"))).when(F.col("sample_status") == "limited_sample", F.array(F.lit("fewer than 300 words: scores are rough")))
+    return F.concat(limited, F.coalesce(short, F.array().cast("array<string>")))
+
+
+def contract(rows: DataFrame, key: str, schema: str) -> DataFrame:
+    """(key, document, sha256): each row as canonical JSON that names its schema."""
+    out = canonical_audit(rows.withColumn("schema", F.lit(schema)), key)
+    return out.withColumnRenamed("audit", "document")
 
 
 def canonical(value: object) -> str:

@@ -16,8 +16,8 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """
     rows = spark.read.parquet(f"{folder}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if len(rows.inputFiles()) < cores:
-        size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        if size <= SMALL * cores:
-            return rows.repartition(cores)
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    # Files are counted for a small table only, and where they are listed already.
+    if size <= SMALL * cores and len(rows._jdf.inputFiles()) < cores:
+        return rows.repartition(cores)
     return rows

@@ -84,3 +84,20 @@ def test_markdown_blocks():
 def test_projection(spark):
     docs = spark.createDataFrame([(1, "# H\n\nText.\n\n```\ncode\n```\n\n- x"), (2, None)], "doc_id long, text string")
     assert [(r.doc_id, r.text) for r in markdown.projection(markdown.document_blocks(docs)).collect()] == [(1, "H\n\nText.\n\nx")]
+
+
+def test_tidied():
+    from prosemill.operators.edits import tidied
+
+    assert tidied("a apple and an car. An hour, a unit? yes.") == "An apple and a car. An hour, a unit? Yes."
+
+
+def test_places_of_sentences(spark):
+    from prosemill.operators import barriers
+
+    text = "It was written.  Then it was written again! İt was written."
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    got = {r.sentence: text[r["from"] : r.to] for r in barriers.sentence_places(docs).collect()}
+    assert got == {0: "It was written.", 1: "Then it was written again! İt was written."}
+    found = barriers.place_in_source(barriers.deduplicate(barriers.detect(barriers.sentence_rows(docs))), docs).collect()
+    assert {(r.sentence, r.status, text[r.start : r.end] if r.start is not None else None) for r in found if r.type == "passive_voice"} == {(0, "placed", "was written"), (1, "ambiguous", None)}
