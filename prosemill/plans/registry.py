@@ -189,7 +189,7 @@ def band_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.band_map(profile_findings(spark, sf_dir))
 
 
-def opener_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def evidence_of_openers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the repeated sentence openers of every document stand, the first ten of each."""
     found = S.sentence_findings(table(spark, sf_dir, "documents")).where("diagnostic = 'REPEATED_SENTENCE_OPENER'")
     return found.select("doc_id", "label", F.inline("evidence"))
@@ -413,7 +413,7 @@ def verdict_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"readability": readability, "readability_by_band": readability_by_band, "word_measures": word_measures, "syllables": syllables}
-QUERIES |= {f.__name__: f for f in (style_metrics, block_metrics, sentence_diagnostics, block_diagnostics, profile_findings, profile_coverage, profile_targets, document_facts, fact_signature, fact_violations, fact_check, rule_matches, conflict_settlement, guarded_edits, vetoed_edits, article_edits, rule_listing, revised_offsets, fix_budgets, verdicts, verdict_cases, barriers, barrier_cases, available_samples, band_map, opener_evidence, review_bundle, protection_words,  barrier_summary, barriers_by_sentence, top_improvements, every_barrier, every_barrier_summary, every_barrier_by_sentence, every_improvement, sentences, paragraph_ranges, page_text, page_text_native, supported_formats, url_formats, json_reports, canonical_audit, protected_words, event_windows, stems, change_rows, style_proposals, approved_edits, style_guard, present, diagnose, placed_barriers, source_barriers, sealed_plans, touched_segments, parsed_sources, readability_warnings, contracts, markdown_blocks, markdown_projection, plain_words, verdict_tokens)}
+QUERIES |= {f.__name__: f for f in (style_metrics, block_metrics, sentence_diagnostics, block_diagnostics, profile_findings, profile_coverage, profile_targets, document_facts, fact_signature, fact_violations, fact_check, rule_matches, conflict_settlement, guarded_edits, vetoed_edits, article_edits, rule_listing, revised_offsets, fix_budgets, verdicts, verdict_cases, barriers, barrier_cases, available_samples, band_map, evidence_of_openers, review_bundle, protection_words,  barrier_summary, barriers_by_sentence, top_improvements, every_barrier, every_barrier_summary, every_barrier_by_sentence, every_improvement, sentences, paragraph_ranges, page_text, page_text_native, supported_formats, url_formats, json_reports, canonical_audit, protected_words, event_windows, stems, change_rows, style_proposals, approved_edits, style_guard, present, diagnose, placed_barriers, source_barriers, sealed_plans, touched_segments, parsed_sources, readability_warnings, contracts, markdown_blocks, markdown_projection, plain_words, verdict_tokens)}
 
 
 def queries() -> dict[str, Query]:

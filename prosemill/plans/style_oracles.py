@@ -222,7 +222,7 @@ TABLE = {
 ), names AS (SELECT unnest([{', '.join(map(q, V.DIAGNOSTICS))}]) AS diagnostic)
 SELECT doc_id, diagnostic, coalesce(CASE WHEN diagnostic IN ('PARAGRAPH_UNIFORMITY', 'REPEATED_PARAGRAPH_OPENER', 'LEXICAL_OVERLAP', 'CANNED_FRAMING', 'LIST_DOMINANCE') THEN np
   WHEN diagnostic = 'VOCABULARY_OVERUSE' THEN nw WHEN diagnostic = 'REPEATED_TRANSITION' THEN nh ELSE ns END, 0) AS sample FROM counts CROSS JOIN names""",
-    "opener_evidence": f"""WITH {SENTENCE_DIAGNOSTICS_CTE}, each AS (
+    "evidence_of_openers": f"""WITH {SENTENCE_DIAGNOSTICS_CTE}, each AS (
   SELECT b.doc_id, o.label, CAST(i - 1 AS INTEGER) AS place, trim(regexp_replace(b.s[i], '\\s+', ' ', 'g')) AS flat, {style_words('b.s[i]')} AS w FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM base) b JOIN op o ON o.doc_id = b.doc_id
 ), shown AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS k FROM each WHERE array_to_string(w[1:len(string_split(label, ' '))], ' ') = label
