@@ -105,7 +105,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_l
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_kept_words"]
 
-_PHRASES = "|".join(BOILERPLATE)
+_PHRASES = "|".join(BOILERPLATE).replace("'", "''")
 ORACLE = f"""
 WITH lines AS (
   SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents
