@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,12 +15,17 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or else the context's checkpoint folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or else the context's checkpoint folder.
+
+    Where neither is set, a session on one machine (tests) gets a folder of its own; on a cluster that is an error.
+    """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if where is None and current is None:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="prosemill-")
     if current is None:
         sc.setCheckpointDir(where)
     return where or current
