@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import re
 import tempfile
 from collections.abc import Iterator
@@ -46,6 +47,12 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free(spark: SparkSession) -> None:
+    """After a cut: let the driver collect its garbage, so that the shuffles behind the cut leave the executors' disks now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def parts(spark: SparkSession) -> int:
     """Number of shuffle partitions the session was sized for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

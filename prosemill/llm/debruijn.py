@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, buckets, cut, give_back, slices
+from .common import batches, buckets, cut, free, give_back, slices
 from .repeats import HIT, HIT_SQL, LOWEST, SETTLED, Named, Rule, _hits, _passed, _pieces, _planes, _rank, _unplane, by_document, found, keyed, later, number, pack, refine, removed, runs, unpacked, verified, with_rest
 from .rolling import U64
 
@@ -225,6 +225,7 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rule = Rule("words", window, gram, within=True)
     rows = keyed(docs, id_col, text_col, carry)
     spans = cut(walks(rows, rule))
+    free(docs.sparkSession)
     packed = pack(rows)
     spanned = packed.join(spans, ["id", "ord"], "left").select("id", "ord", "text", "rest", "spans")
     out = verified(spanned, packed, rule).mapInArrow(_cut_out(rule, untouched), with_rest("doc_id long, n_words long, n_removed long, spans array<long>, kept string", packed))

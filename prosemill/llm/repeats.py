@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, buckets, give_back, slices, text_bytes
+from .common import batches, buckets, cut, free, give_back, slices, text_bytes
 from .rolling import U64, bounds, byte_names, doubled, least, mix, word_names
 
 #: Kinds of hits: settled runs of windows, contexts open to a side, settled windows.
@@ -487,14 +487,17 @@ def with_hits(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     The first has id, ord, the packed text, rest, and the hits of contexts and windows as arrays hits and more, or null, of
     (v, sid, sord, spos) with the coordinate of an earlier equal.
 
-    Every branch of the plan asks for the same columns of the shuffled documents and hits, so that each is shuffled once
+    The hits of contexts are cut off first, so that the shuffle of the anchors is gone before texts are shuffled.  Every
+    branch of the plan behind asks for the same columns of the shuffled documents and hits, so that each is shuffled once
     and used again; a column less in one of them would be another shuffle.
     """
     n = buckets(docs)
     blob = f"bucket long, blob binary, {HIT_SQL}"
     first = docs.select("id", "ord", "text").mapInArrow(_anchor_map(rule, n), blob).groupBy("bucket").applyInArrow(_anchor_reduce(rule), HIT_SQL)
+    settled = cut(by_document(first, "hits"))
+    free(docs.sparkSession)
     packed = pack(docs)
-    held = packed.join(by_document(first, "hits"), ["id", "ord"], "left")
+    held = packed.join(settled, ["id", "ord"], "left")
     values = F.transform("hits", lambda h: h["v"])
     is_open = F.coalesce(F.exists(values, lambda v: v.bitwiseAND(F.lit(7)).isin(LEFT, RIGHT, LEFT | RIGHT)), F.lit(False))
     # No filter here: it would be pushed below the join and keep its shuffles from being used again further down.
