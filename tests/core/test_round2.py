@@ -7,7 +7,7 @@ from prosemill.plans import registry
 duckdb = pytest.importorskip("duckdb")
 
 
-@pytest.mark.parametrize("name", ["barriers", "barrier_summary", "barriers_by_sentence", "placed_barriers", "source_barriers"])
+@pytest.mark.parametrize("name", ["barriers", "barrier_summary", "barriers_by_sentence", "placed_barriers", "source_barriers", "top_improvements"])
 def test_participles_before_other_letters(spark, tmp_path, name):
     """A participle's end before a letter beyond ASCII counts as in SQL; a phrase's start within a word doesn't."""
     texts = ["It will be stß, and has been tekeitä now. It was sent.", "Aßis sent, äis sent. The end is enenß ist.", ""]
