@@ -2,6 +2,7 @@
 
 import pytest
 
+from prosemill.operators import edits, facts
 from prosemill.plans import registry
 
 duckdb = pytest.importorskip("duckdb")
@@ -20,3 +21,52 @@ def test_participles_before_other_letters(spark, tmp_path, name):
     names = sorted(d[0] for d in cursor.description)
     want = sorted(str([dict(zip([d[0] for d in cursor.description], row, strict=True))[c] for c in names]) for row in cursor.fetchall())
     assert sorted(str([r[c] for c in names]) for r in got.collect()) == want and want
+
+
+class Counting:
+    """A pattern that counts the characters it is given."""
+
+    read = 0
+
+    def __init__(self, pattern):
+        self.pattern = pattern
+
+    def finditer(self, text):
+        Counting.read += len(text)
+        return self.pattern.finditer(text)
+
+
+@pytest.fixture
+def read(monkeypatch):
+    """How many characters the patterns of facts are given while something runs."""
+    monkeypatch.setattr(facts, "_PATTERNS", [(kind, Counting(p)) for kind, p in facts._PATTERNS])
+
+    def during(run):
+        Counting.read = 0
+        run()
+        return Counting.read
+
+    return during
+
+
+def edited(n, name):
+    return " ".join(f"In {name} {k} they must have utilised 5 tools prior to day {k}." for k in range(n))
+
+
+@pytest.mark.parametrize("more", [[edits.Rule("test.must", {"must": "should"})]], ids=["vetoed_edits"])
+def test_planning_grows_with_the_text(read, more):
+    """Not with the square of it: the firewall reads what is near an edit, however long its block is."""
+    find = edits.Matcher([*edits.AUTOMATIC, *edits.PROTECTED, *more])
+    few, many = (read(lambda n=n: edits.planned(edited(n, f"town{n}"), find)) for n in (20, 80))
+    assert few and many < 6 * few
+
+
+def test_pieces_hold_the_facts_of_the_whole():
+    text = "Pay $5. Then 3 Jan. 2020 or 3 Jan. at 5 p.m. On /a/b. Is it v1.2.3? No more than 7! Don't (see c:\\x\\y). e@f.org. The end 5. USD 7. kg is /c/d"
+    assert len(facts.cuts(text)) > 5
+    assert facts.extract(text) == facts._claimed(text)
+
+
+def test_rules_are_tried_on_letters_of_any_case():
+    find = edits.Matcher([edits.Rule("a", {"risk": "chance"}), edits.Rule("b", {"Über": "over"}), edits.Rule("c", {}, pattern=r"\bx\d")])
+    assert [m[2] for m in find("RISK. ri\u017f\u212a. ÜBER x1 r\u0131sk")] == ["a", "a", "b", "c", "a"]
