@@ -39,6 +39,7 @@ class Counting:
 @pytest.fixture
 def read(monkeypatch):
     """How many characters the patterns of facts are given while something runs."""
+    facts._kept.cache_clear()
     monkeypatch.setattr(facts, "_PATTERNS", [(kind, Counting(p)) for kind, p in facts._PATTERNS])
 
     def during(run):
