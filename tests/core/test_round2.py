@@ -54,7 +54,7 @@ def edited(n, name):
     return " ".join(f"In {name} {k} they must have utilised 5 tools prior to day {k}." for k in range(n))
 
 
-@pytest.mark.parametrize("more", [[edits.Rule("test.must", {"must": "should"})], [], [], []], ids=["vetoed_edits", "change_rows", "sealed_plans", "guarded_edits"])
+@pytest.mark.parametrize("more", [[edits.Rule("test.must", {"must": "should"})], [], [], [], [edits.Rule("test.material", {"the material": "the stuff"}), edits.Rule("test.informed", {"informed": "told"})]], ids=["vetoed_edits", "change_rows", "sealed_plans", "guarded_edits", "article_edits"])
 def test_planning_grows_with_the_text(read, more):
     """Not with the square of it: the firewall reads what is near an edit, however long its block is."""
     find = edits.Matcher([*edits.AUTOMATIC, *edits.PROTECTED, *more])
