@@ -148,10 +148,8 @@ def _along(rule: Rule) -> Callable:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(it):
-            rows = []
-            for k in range(len(batch)):
-                start, end, sid, sord, at = found(batch.column(2), k, rule)
-                rows.append(pa.StructArray.from_arrays([start, end, sid, sord, at], fields=list(_SPAN)).to_pylist())
+            edges, columns = found(batch.column(2), rule)
+            rows = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays([*map(pa.array, columns)], fields=list(_SPAN)))
             yield batches({"id": batch.column(0), "ord": batch.column(1), "spans": rows}, _SPANS)
 
     return run
@@ -194,9 +192,10 @@ def _cut_out(rule: Rule, untouched: bool) -> Callable:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(it):
             n_words, n_removed, spans, kept = [], [], [], []
+            own_spans = found(batch.column(4), rule)
             for k, text in enumerate(unpacked(batch.column(2))):
                 words = text.split()
-                gone = removed(batch, k, len(words), rule)
+                gone = removed(batch, k, len(words), rule, own_spans)
                 n_words.append(len(words))
                 n_removed.append(0 if gone is None else int(gone.sum()))
                 edges = [] if gone is None else np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).tolist()
