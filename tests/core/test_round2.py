@@ -131,3 +131,12 @@ def test_the_firewall_reads_near_an_edit(read):
     find = edits.Matcher([*edits.AUTOMATIC, *edits.PROTECTED])
     text = " ".join(f"item {k} costs $5.0{k} and is due prior to 2020-01-0{k % 7}" for k in range(100, 180))
     assert read(lambda: edits.planned(text, find)) < len(text)
+
+
+def test_sealed_plans_are_made_once(spark):
+    """sealed_plans: documents are planned and compared in one pass each, and no table is joined with itself."""
+    docs = spark.createDataFrame([(1, "We utilise it."), (2, "Pay $5.")], "doc_id long, text string")
+    out = edits.apply_sealed(docs, edits.sealed(edits.plans(docs)))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.count("Join") == 1
+    assert sorted((r.doc_id, r.after, r.status) for r in out.collect()) == [(1, "We use it.", "applied"), (2, "Pay $5.", "unchanged")]
