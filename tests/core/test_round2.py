@@ -140,3 +140,26 @@ def test_sealed_plans_are_made_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 2 and plan.count("Join") == 1
     assert sorted((r.doc_id, r.after, r.status) for r in out.collect()) == [(1, "We use it.", "applied"), (2, "Pay $5.", "unchanged")]
+
+
+def test_equal_sentences_are_prepared_once(monkeypatch):
+    """verdicts: a sentence of both texts is planned once, and two equal texts are not looked at."""
+    import pyarrow as pa
+
+    seen, tasks = [], []
+    planned = edits._planned
+    monkeypatch.setattr(edits, "_planned", lambda text, *more: seen.append(text) or planned(text, *more))
+
+    class Pairs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, f, schema):
+            tasks.append(f)
+
+    monkeypatch.setattr(verify.F, "col", lambda name: type("C", (), {"cast": lambda self, kind: self})())
+    verify.verify(Pairs())
+    texts = [f"Order {k} is here. We utilise it. It ends." for k in range(9)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts), pa.array([t if k % 3 else t.replace("utilise", "use") for k, t in enumerate(texts)])], names=["pair_id", "before", "after"])
+    (out,) = tasks[0](iter([batch]))
+    assert out.column("verdict").to_pylist() == ["ACCEPTED"] * 9 and len(seen) == len(set(seen)) == 3 + 3
