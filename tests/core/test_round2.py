@@ -163,3 +163,60 @@ def test_equal_sentences_are_prepared_once(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts), pa.array([t if k % 3 else t.replace("utilise", "use") for k, t in enumerate(texts)])], names=["pair_id", "before", "after"])
     (out,) = tasks[0](iter([batch]))
     assert out.column("verdict").to_pylist() == ["ACCEPTED"] * 9 and len(seen) == len(set(seen)) == 3 + 3
+
+
+def planned_rows(texts, rules):
+    """Rows by id of a batch of texts, planned as a task does it, and the same texts planned one by one."""
+    import pyarrow as pa
+
+    find = edits.Matcher([*edits.AUTOMATIC, *edits.PROTECTED, *rules])
+    planner = edits._Planner(find, edits.Layout.of_text)
+    got = {r["doc_id"]: r for b in planner(pa.array(range(len(texts))), pa.array(texts)) for r in b.to_pylist()}
+    columns = [c.to_pylist() for c in edits._Planner(find, edits.Layout.of_text).one_by_one(texts)]
+    return got, {k: dict(zip(("doc_id", "before", "after", "proposals", "broken"), (k, t, *row), strict=True)) for k, (t, *row) in enumerate(zip(texts, *columns, strict=True))}
+
+
+ALIKE = [
+    "An utilised tool, number {0}. A commenced task is {1} kg.\n\nThe material prior to use is chronic, and informed consent comes first.",
+    "Ärger: order {0} must be paid prior to 2020-0{2}-1{2}. It is important to note that {1}% of refunds, due to the fact that ٣ prices move, are final.",
+    "No edit for {0}.", "", "Risk {1} weighs {2} kg", "{0}{1} utilise 5 {2}",
+]
+
+
+@pytest.mark.parametrize("rules", [[], [edits.Rule("test.must", {"must": "should"}), edits.Rule("test.kg", {"kg": "lb"}), edits.Rule("test.material", {"the material": "the stuff"})], [edits.Rule("test.5", {"utilise 5": "use 6"})]], ids=["article_edits", "vetoed_edits", "digits"])
+def test_texts_alike_are_planned_as_each(rules):
+    texts = [ALIKE[k % 6].format(100 + k, k % 9 + 1, k % 7 + 1) for k in range(600)] + ["One more utilised tool."]
+    got, want = planned_rows(texts, rules)
+    assert got == want
+
+
+def test_digits_that_matter_are_looked_at():
+    """An edit after which the currency stands by the other number is kept where both numbers are equal only."""
+    texts = [f"Pay {k % 9 + 1} USD {k * 5 % 9 + 1} now." for k in range(200)]
+    got, want = planned_rows(texts, [edits.Rule("test.usd", {"USD": "USD or"}, exact=True)])
+    assert got == want and len({r["proposals"][0]["decision"] for r in got.values()}) == 2
+
+
+def planned_texts(spark, tmp_path, monkeypatch, query):
+    """What a task of a query plans of a batch of 400 orders."""
+    import datetime
+
+    from pyspark import cloudpickle
+
+    tasks, of = [], type(spark.range(1))
+    mapped = of.mapInArrow
+    monkeypatch.setattr(of, "mapInArrow", lambda self, f, schema, *more: tasks.append((self, cloudpickle.loads(cloudpickle.dumps(f)))) or mapped(self, f, schema, *more))
+    rows = [(1000 + k, k, "O", 100.0 + k, datetime.date(2020, 1, 1 + k % 28)) for k in range(400)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate date").write.parquet(str(tmp_path / "orders.parquet"))
+    registry.queries()[query](spark, str(tmp_path))
+    seen = []
+    planned = edits._planned
+    monkeypatch.setattr(edits, "_planned", lambda text, *more: seen.append(text) or planned(text, *more))
+    ((docs, task),) = tasks
+    assert sum(len(b) for b in task(iter(docs.toArrow().combine_chunks().to_batches()))) == 400
+    return seen
+
+
+@pytest.mark.parametrize("query", ["article_edits"])
+def test_texts_that_differ_in_digits_are_planned_once(spark, tmp_path, monkeypatch, query):
+    assert 0 < len(planned_texts(spark, tmp_path, monkeypatch, query)) < 40
