@@ -217,6 +217,22 @@ def planned_texts(spark, tmp_path, monkeypatch, query):
     return seen
 
 
-@pytest.mark.parametrize("query", ["article_edits"])
+@pytest.mark.parametrize("query", ["article_edits", "guarded_edits"])
 def test_texts_that_differ_in_digits_are_planned_once(spark, tmp_path, monkeypatch, query):
     assert 0 < len(planned_texts(spark, tmp_path, monkeypatch, query)) < 40
+
+
+def test_guarded_edits_are_counted_where_they_are_planned(spark):
+    """guarded_edits: no proposal leaves the task, and what is counted is what the plans hold."""
+    rules = [*edits.AUTOMATIC, edits.Rule("test.must", {"must": "should"}), edits.Rule("test.usd", {"USD": "USD or"}, exact=True)]
+    texts = ["They must utilise it.", "They must go. Pay 5 USD 6 now.", "Pay 5 USD 5 prior to noon.", "It ends.", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = edits.guarded(docs, rules)
+    assert "proposals" not in out._jdf.queryExecution().optimizedPlan().treeString()
+    want = {}
+    for row in edits.plans(docs, rules).collect():
+        vetoed = [p.reason for p in row.proposals if p.decision == "vetoed"]
+        kinds = sorted({k for r in [*vetoed, row.broken] if r for k in r.split(",")})
+        n = 0 if row.broken else sum(p.decision == "accepted" for p in row.proposals)
+        want[row.doc_id] = (row.after, n, len(vetoed), "applied" if n else "refused" if kinds else "unchanged", ",".join(kinds))
+    assert {r.doc_id: tuple(r)[2:] for r in out.collect()} == want and {w[3] for w in want.values()} == {"applied", "refused", "unchanged"}
